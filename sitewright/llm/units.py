@@ -80,7 +80,7 @@ def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 class UnitEncoder:
     """encode_units(list of units) -> (ids, count for each unit); results are kept for up to `limit` units."""
 
-    def __init__(self, encode_units, limit: int = 1_000_000):
+    def __init__(self, encode_units, limit: int = 600_000):
         self.encode_units, self.limit = encode_units, limit
         self.clear()
 
