@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language, pii, quality, quality_rules, sharding, token_binary, toxicity
+from . import bpe, decontamination, language, neardup, pii, quality, quality_rules, sharding, token_binary, toxicity
 from .common import Scratch, documents
 
 
@@ -24,6 +24,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(documents(spark, sf_dir))
+
+
 def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = token_binary.write(documents(spark, sf_dir), tokenizer_path(), Scratch(spark, "token-ids"))
     return token_binary.checksums(token_binary.read(spark, root))
