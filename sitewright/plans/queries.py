@@ -1,0 +1,572 @@
+"""Named queries over the driver's tables, each beside the SQL that gives the same rows."""
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import contracts as C
+from ..functions import robots as R
+from ..functions import text as X
+from ..functions import urls as U
+from ..operators import diff as D
+from ..operators import measure as M
+from ..operators import pages as P
+from ..operators import rules
+from ..sources import standins as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- pages ----------------------------------------------------------------------------------------------------------
+
+PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
+NORM = f"""(CASE WHEN regexp_extract(url,'{PARTS}',1)<>'' THEN lower(regexp_extract(url,'{PARTS}',1))||':' ELSE '' END||'//'||lower(regexp_extract(url,'{PARTS}',2))
+ ||CASE WHEN regexp_extract(url,'{PARTS}',3)='' THEN '/' ELSE regexp_extract(url,'{PARTS}',3) END||CASE WHEN regexp_extract(url,'{PARTS}',4)<>'' THEN '?'||regexp_extract(url,'{PARTS}',4) ELSE '' END)"""
+HOST, PATH = f"lower(regexp_extract(url,'{PARTS}',2))", f"regexp_extract(url,'{PARTS}',3)"
+SEGMENT = f"regexp_extract({PATH},'^/([^/]+)',1)"
+TITLE = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_extract(html,'(?s)<title>(.*?)</title>',1),'&quot;','"'),'&lt;','<'),'&gt;','>'),'&amp;','&'),'&amp$','&'),'\s+',' ','g'))"""
+
+
+def _pages(spark, d):
+    return S.table(spark, d, "pages")
+
+
+@query(f"SELECT page_id, lower(regexp_extract(url,'{PARTS}',1)) AS scheme, {HOST} AS host, {PATH} AS path, regexp_extract(url,'{PARTS}',4) AS query, regexp_extract(url,'{PARTS}',5) AS fragment, NOT regexp_matches(lower({PATH}), '\\.({'|'.join(C.ASSET_SUFFIXES)})$') AS is_page FROM pages")
+def page_url_parts(spark, d):
+    return _pages(spark, d).select("page_id", U.scheme_of("url").alias("scheme"), U.host_of("url").alias("host"), U.part("url", 3).alias("path"), U.part("url", 4).alias("query"), U.part("url", 5).alias("fragment"), U.is_page("url").alias("is_page"))
+
+
+@query(f"SELECT {NORM} AS url, count(*) AS n FROM pages GROUP BY 1")
+def page_normalized_distinct(spark, d):
+    return _pages(spark, d).groupBy(U.normalize("url").alias("url")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {HOST} AS host, count(*) AS n FROM pages GROUP BY 1")
+def page_host_counts(spark, d):
+    return _pages(spark, d).groupBy(U.host_of("url").alias("host")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT CASE WHEN {SEGMENT}='' THEN '/' ELSE {SEGMENT} END AS section, count(*) AS n FROM pages GROUP BY 1")
+def page_section_hist(spark, d):
+    return P.section_histogram(_pages(spark, d))
+
+
+@query("""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages""")
+def page_links_exploded(spark, d):
+    return _pages(spark, d).select("page_id", F.explode(P.hrefs("html")).alias("href"))
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS links, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS distinct_links FROM pages""")
+def link_out_degree(spark, d):
+    links = P.hrefs("html")
+    return _pages(spark, d).select("page_id", F.size(links).cast("long").alias("links"), F.size(F.array_distinct(links)).cast("long").alias("distinct_links"))
+
+
+@query("""SELECT href, count(*) AS links, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) GROUP BY 1""")
+def link_in_degree(spark, d):
+    return page_links_exploded(spark, d).groupBy("href").agg(F.count("*").alias("links"), F.count_distinct("page_id").alias("pages"))
+
+
+@query("""SELECT regexp_extract(html,'<html lang="([^"]*)"',1) AS lang, count(*) AS n FROM pages GROUP BY 1""")
+def page_lang_counts(spark, d):
+    return _pages(spark, d).groupBy(F.regexp_extract("html", r'<html lang="([^"]*)"', 1).alias("lang")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT count(*) AS groups, CAST(coalesce(sum(n),0) AS BIGINT) AS pages, round_even(coalesce(sum(n),0)/(SELECT greatest(1,count(*)) FROM pages)::DOUBLE,3) AS ratio FROM (SELECT {TITLE} t, count(*) n FROM pages GROUP BY 1 HAVING count(*)>1 AND {TITLE}<>'')")
+def duplicate_title_finding(spark, d):
+    return rules.duplicate_summary(_pages(spark, d).select(P.plain_title("html").alias("title")), "title")
+
+
+@query(f"SELECT {TITLE} AS title, count(*) AS n FROM pages GROUP BY 1 HAVING count(*)>1 AND {TITLE}<>''")
+def duplicate_title_groups(spark, d):
+    return rules.duplicated(_pages(spark, d).select(P.plain_title("html").alias("title")), "title")
+
+
+def _page_table(spark, d):
+    """Stand-in page table: status, canonical and robots follow from page_id, so that every rule has something to find."""
+    p = _pages(spark, d)
+    pid = F.col("page_id")
+    title = P.plain_title("html")
+    return p.select(
+        U.normalize("url").alias("url"), F.when(pid % 17 == 0, 404).otherwise(200).alias("status"), U.normalize("url").alias("final_url"), F.when(pid % 13 != 0, title).alias("title"),
+        F.when(pid % 3 == 0, F.substring(title, 1, 30)).alias("meta_description"), F.when(pid % 11 == 0, "noindex, nofollow").alias("meta_robots"), F.lit(None).cast("string").alias("meta_googlebot"),
+        F.when(pid % 19 == 0, "otherbot: noindex, max-snippet:0\ngooglebot: nosnippet").alias("x_robots_tag"), F.when(pid % 7 == 0, "/other").when(pid % 2 == 0, U.normalize("url")).alias("canonical"),
+        F.array(title).alias("h1"), F.lit(0).alias("jsonld_count"), F.expr("cast(array() as array<string>)").alias("jsonld_types"), F.char_length("html").alias("text_chars"),
+        F.lit(False).alias("naver_site_verification"), F.lit(True).alias("intended_indexable"), pid.alias("pos"))
+
+
+_PT = f"""(SELECT {NORM} AS url, CASE WHEN page_id%17=0 THEN 404 ELSE 200 END AS status, CASE WHEN page_id%13<>0 THEN {TITLE} END AS title, CASE WHEN page_id%3=0 THEN left({TITLE},30) END AS meta_description,
+ page_id%11=0 AS noindex, page_id%19=0 AS restricted, CASE WHEN page_id%7=0 THEN '/other' WHEN page_id%2=0 THEN {NORM} END AS canonical, length(html) AS text_chars, page_id AS pos FROM pages)"""
+
+
+@query(f"""WITH p AS {_PT}, ok AS (SELECT * FROM p WHERE status=200), e AS (
+ SELECT 'HTTP_ERROR' AS code, count(*) AS n FROM p WHERE status>=400 UNION ALL SELECT 'NOINDEX', count(*) FROM ok WHERE noindex UNION ALL SELECT 'SNIPPET_RESTRICTED', count(*) FROM ok WHERE restricted
+ UNION ALL SELECT 'TITLE_MISSING', count(*) FROM ok WHERE coalesce(title,'')='' UNION ALL SELECT 'TITLE_DUPLICATE', count(*) FROM ok WHERE title IN (SELECT title FROM ok WHERE title<>'' GROUP BY 1 HAVING count(*)>1)
+ UNION ALL SELECT 'TITLE_TOO_LONG', count(*) FROM ok WHERE length(title)>60 UNION ALL SELECT 'TITLE_TOO_SHORT', count(*) FROM ok WHERE title<>'' AND length(title)<20
+ UNION ALL SELECT 'DESC_MISSING', count(*) FROM ok WHERE coalesce(meta_description,'')='' UNION ALL SELECT 'DESC_DUPLICATE', count(*) FROM ok WHERE meta_description IN (SELECT meta_description FROM ok WHERE meta_description<>'' GROUP BY 1 HAVING count(*)>1)
+ UNION ALL SELECT 'DESC_TOO_SHORT', count(*) FROM ok WHERE meta_description<>'' AND length(meta_description)<75
+ UNION ALL SELECT 'JSONLD_MISSING', count(*) FROM ok UNION ALL SELECT 'CANONICAL_MISSING', count(*) FROM ok WHERE coalesce(canonical,'')='' UNION ALL SELECT 'CANONICAL_NOT_SELF', count(*) FROM ok WHERE canonical='/other' AND NOT regexp_matches(url,'^[a-z]+://[^/]+/other/*$')
+ UNION ALL SELECT 'THIN_TEXT', count(*) FROM ok WHERE text_chars<300)
+ SELECT code, CAST(n AS BIGINT) AS n FROM e WHERE n>0 UNION ALL SELECT * FROM (VALUES ('FAQ_MISSING',0),('ORG_JSONLD_MISSING',0),('NAVER_VERIFY_MISSING',0))""")
+def finding_counts(spark, d):
+    return rules.page_findings(_page_table(spark, d)).select("code", F.col("count").alias("n"))
+
+
+@query()
+def finding_table(spark, d):
+    return rules.page_findings(_page_table(spark, d)).withColumn("urls", F.array_join("urls", " "))
+
+
+@query(f"WITH p AS {_PT}, ok AS (SELECT * FROM p WHERE status=200) SELECT (SELECT count(*) FROM p) AS pages_crawled, count(DISTINCT nullif(title,'')) AS unique_titles, count(DISTINCT nullif(meta_description,'')) AS unique_descriptions, CAST(0 AS BIGINT) AS pages_with_jsonld, count(*) FILTER (noindex) AS pages_noindex FROM ok")
+def audit_stats(spark, d):
+    return rules.stats(_page_table(spark, d))
+
+
+_SITEMAP = f"s AS (SELECT DISTINCT {NORM} AS url FROM pages WHERE page_id%3<>0), c AS (SELECT DISTINCT {NORM} AS url FROM pages WHERE page_id%2=0)"
+
+
+@query(f"WITH {_SITEMAP} SELECT url, 'only_in_sitemap' AS side FROM s WHERE url NOT IN (SELECT url FROM c) UNION ALL SELECT url, 'only_in_crawl' FROM c WHERE url NOT IN (SELECT url FROM s)")
+def sitemap_vs_crawl(spark, d):
+    p = _pages(spark, d).withColumn("url", U.normalize("url"))
+    return P.set_difference(p.where("page_id % 3 <> 0"), p.where("page_id % 2 = 0"))
+
+
+@query(f"WITH p AS {_PT}, h AS (SELECT {HOST} AS host FROM pages GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT DISTINCT url FROM p WHERE status=200 AND NOT noindex AND {HOST}=(SELECT host FROM h) AND (canonical IS NULL OR rtrim(canonical,'/')=rtrim(url,'/'))")
+def sitemap_eligible(spark, d):
+    host = page_host_counts(spark, d).orderBy(F.desc("n"), "host").first()["host"]
+    return P.eligible(_page_table(spark, d), host)
+
+
+@query(f"SELECT url, (row_number() OVER (ORDER BY url)-1)//40 AS chunk FROM (SELECT DISTINCT {NORM} AS url FROM pages)")
+def sitemap_chunks(spark, d):
+    return P.sitemap_chunks(_pages(spark, d).select(U.normalize("url").alias("url")).distinct(), 40)
+
+
+_SUFFIX = f"t AS (SELECT page_id, url, {TITLE}||CASE WHEN page_id%5<4 THEN ' | Acme' ELSE '' END AS title FROM pages)"
+
+
+@query(f"WITH {_SUFFIX}, s AS (SELECT title, CASE WHEN contains(title,'|') THEN '|' WHEN contains(title,'—') THEN '—' WHEN contains(title,'–') THEN '–' WHEN contains(title,'-') THEN '-' WHEN contains(title,'·') THEN '·' WHEN contains(title,':') THEN ':' END AS sep FROM t WHERE title<>''), g AS (SELECT sep, trim(string_split(title,sep)[-1]) AS tail, count(*) AS n FROM s WHERE sep IS NOT NULL GROUP BY 1,2 HAVING tail<>'') SELECT sep, tail, n FROM g WHERE n>=2 AND n>=(SELECT count(*) FROM s)*0.5 ORDER BY n DESC LIMIT 1")
+def brand_suffix(spark, d):
+    return P.brand_suffix(_pages(spark, d).select(F.concat(P.plain_title("html"), F.when(F.col("page_id") % 5 < 4, " | Acme").otherwise("")).alias("title")))
+
+
+@query(f"WITH {_SUFFIX}, c AS (SELECT page_id, CASE WHEN title='' THEN NULL WHEN title LIKE '%Acme' AND contains(title,'|') THEN coalesce(nullif(trim(left(title, length(title)-strpos(reverse(title),'|'))),''),title) ELSE title END AS core FROM t), n AS (SELECT core, count(*) k FROM c GROUP BY 1) SELECT page_id, coalesce(c.core,'') AS label, CASE WHEN c.core IS NULL THEN 'none' WHEN k=1 THEN 'title' ELSE 'shared_title' END AS source FROM c LEFT JOIN n ON c.core=n.core")
+def page_labels(spark, d):
+    p = _pages(spark, d).select(F.col("page_id").cast("string").alias("url"), F.concat(P.plain_title("html"), F.when(F.col("page_id") % 5 < 4, " | Acme").otherwise("")).alias("title"), F.expr("cast(array() as array<string>)").alias("h1"))
+    return P.labels(p).select(F.col("url").cast("long").alias("page_id"), "label", "source")
+
+
+@query(f"SELECT section, pages, url FROM (SELECT {SEGMENT} AS section, count(*) OVER (PARTITION BY {SEGMENT}) AS pages, url, row_number() OVER (PARTITION BY {SEGMENT} ORDER BY length(url), page_id) rn FROM pages) WHERE rn=1 ORDER BY section<>'', section LIMIT 20")
+def section_representative(spark, d):
+    return P.section_pages(_pages(spark, d).withColumn("pos", F.col("page_id"))).select("section", "pages", "url")
+
+
+@query(f"SELECT page_id, unnest(range(0, len(list_filter(string_split({PATH},'/'), lambda x: x<>''))+1)) AS depth FROM pages")
+def breadcrumb_depths(spark, d):
+    p = _pages(spark, d).select("page_id", "url", F.array(P.plain_title("html")).alias("h1"), P.plain_title("html").alias("title"))
+    return P.breadcrumbs(p.withColumn("url", F.col("url"))).join(p.select("page_id", "url"), "url").select("page_id", F.col("depth").cast("long").alias("depth"))
+
+
+# ---- texts ----------------------------------------------------------------------------------------------------------
+
+_HEAD = "left(regexp_replace(text,'\\s+',' ','g'),60)"
+
+
+@query(f"SELECT doc_id, CASE WHEN len(regexp_extract_all(t,'[가-힣]'))>=greatest(1.0,length(t)*0.15) THEN 'ko' ELSE 'en' END AS script, CASE WHEN length(t)=0 THEN 'none' WHEN length(t)<50 THEN 'short' WHEN length(t)>60 THEN 'long' ELSE 'ok' END AS verdict FROM (SELECT doc_id, {_HEAD} AS t FROM documents)")
+def title_length_verdict(spark, d):
+    t = F.substring(F.regexp_replace("text", r"\s+", " "), 1, 60)
+    return S.table(spark, d, "documents").select("doc_id", X.script_of(t).alias("script"), X.length_verdict(t, C.TITLE_BAND).alias("verdict"))
+
+
+@query("SELECT md5(text) AS text_md5, count(*) AS n FROM documents WHERE text<>'' GROUP BY text HAVING count(*)>1")
+def duplicate_text_groups(spark, d):
+    return rules.duplicated(S.table(spark, d, "documents").select("text"), "text").select(F.md5("text").alias("text_md5"), "n")
+
+
+@query("SELECT count(*) AS pages, count(*) FILTER (coalesce(lang,'')='') AS no_lang, count(*) FILTER (coalesce(text,'')='') AS no_text, round_even(count(*) FILTER (length(text)<300)/count(*)::DOUBLE,4) AS thin_ratio FROM documents")
+def missing_ratio(spark, d):
+    return S.table(spark, d, "documents").agg(F.count("*").alias("pages"), F.count_if(rules.missing("lang")).alias("no_lang"), F.count_if(rules.missing("text")).alias("no_text"), X.ratio(F.count_if(F.char_length("text") < 300), F.count("*")).alias("thin_ratio"))
+
+
+@query(f"WITH t AS (SELECT doc_id, {_HEAD} AS draft_title FROM documents), n AS (SELECT draft_title, count(*) k FROM t GROUP BY 1) SELECT doc_id, k>1 AS duplicate FROM t JOIN n USING (draft_title)")
+def meta_duplicate_flag(spark, d):
+    drafts = S.table(spark, d, "documents").select("doc_id", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 60).alias("draft_title"))
+    return P.draft_duplicates(drafts).select("doc_id", "duplicate")
+
+
+# ---- observation log ------------------------------------------------------------------------------------------------
+
+_LOG = """raw AS (SELECT event_id, ts, strftime(ts,'%Y-%m-%d') AS date, 'Q'||(user_id%10) AS query_id, CASE WHEN user_id%10<4 THEN 'brand' ELSE 'nonbrand' END AS type,
+ ['chatgpt','google_aio','gemini'][user_id%3+1] AS engine, CAST(json_extract_string(props,'$.k') AS INT)%5+1 AS run_no, CASE WHEN user_id%2=0 THEN 'en' ELSE 'ko' END AS locale,
+ CASE WHEN user_id%5=0 THEN NULL ELSE user_id%2=0 END AS search_enabled, user_id%10<>9 AS compatible,
+ CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'unmeasured' ELSE 'observed' END AS outcome, CASE WHEN event_type IN ('error','signup') THEN NULL ELSE event_type='purchase' END AS cited,
+ event_type IN ('purchase','click') AS mentioned, CASE WHEN event_type='purchase' THEN ['https://www.s'||(event_id%6)||'.example.com/p'||(event_id%4), 'https://t'||(event_id%9)||'.example.org/'] ELSE [] END AS cited_urls,
+ CASE WHEN event_type IN ('error','signup') THEN [] ELSE ['c'||(event_id%30)||'.example.net'] END AS competitor_domains FROM events),
+ allrows AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY date,query_id,engine,run_no,locale,coalesce(CAST(search_enabled AS VARCHAR),'') ORDER BY ts DESC,event_id DESC) rn FROM raw) WHERE rn=1),
+ log AS (SELECT * FROM allrows WHERE compatible)"""
+OUR_HOST = "s0.example.com"
+
+
+def _all_rows(spark, d):
+    return M.known(M.last_wins(S.log(spark, d), "ts", "event_id"), S.queries(spark))
+
+
+def _log(spark, d):
+    return _all_rows(spark, d).where("compatible")
+
+
+@query(f"WITH {_LOG} SELECT event_id, date, query_id, engine, run_no, locale, outcome, cited FROM allrows")
+def log_last_wins(spark, d):
+    return _all_rows(spark, d).select("event_id", "date", "query_id", "engine", "run_no", "locale", "outcome", "cited")
+
+
+_C = "count(*) AS attempts, count(*) FILTER (outcome='observed') AS runs, count(*) FILTER (outcome='observed' AND cited) AS cited, count(*) FILTER (outcome='observed' AND mentioned) AS mentioned, count(*) FILTER (outcome='error') AS errors, count(*) FILTER (outcome='unmeasured') AS unmeasured"
+
+
+@query(f"WITH {_LOG}, g AS (SELECT engine, type, {_C} FROM log GROUP BY 1,2) SELECT engine, type, attempts, runs, cited, mentioned, errors, unmeasured, round_even(cited/nullif(runs,0)::DOUBLE,4) AS rate, round_even(mentioned/nullif(runs,0)::DOUBLE,4) AS mention_rate FROM g")
+def engine_type_slots(spark, d):
+    return M.slots(_log(spark, d))
+
+
+@query(f"WITH {_LOG}, q AS (SELECT engine,type,query_id, bool_or(coalesce(cited,false)) AS c FROM log WHERE outcome='observed' GROUP BY ALL) SELECT engine, type, count(*) AS queries, count(*) FILTER (c) AS queries_cited, round_even(count(*) FILTER (c)/count(*)::DOUBLE,4) AS query_rate FROM q GROUP BY 1,2")
+def query_any_cited(spark, d):
+    return M.any_cited(_log(spark, d))
+
+
+@query(f"WITH {_LOG} SELECT type, count(*) FILTER (outcome='observed') AS runs, round_even(count(*) FILTER (cited)/nullif(count(*) FILTER (outcome='observed'),0)::DOUBLE,4) AS rate FROM log GROUP BY 1")
+def citation_rates(spark, d):
+    return _log(spark, d).groupBy("type").agg(*M.counts()).select("type", "runs", X.ratio("cited", "runs").alias("rate"))
+
+
+@query(f"WITH {_LOG}, q AS (SELECT 'Q'||i AS query_id, CASE WHEN i<4 THEN 'brand' ELSE 'nonbrand' END AS type FROM range(10) t(i)), g AS (SELECT query_id, count(*) AS runs, count(*) FILTER (cited) AS cited, count(DISTINCT engine) AS engines FROM log WHERE outcome='observed' GROUP BY 1) SELECT query_id, type, coalesce(runs,0) AS runs, coalesce(cited,0) AS cited, coalesce(engines,0) AS engines FROM q LEFT JOIN g USING (query_id)")
+def by_query_bucket(spark, d):
+    got = M.by_query(_log(spark, d), S.queries(spark))
+    return got.select("query_id", "type", "runs", "cited", F.greatest(F.lit(0), F.coalesce(F.size("engines"), F.lit(0))).cast("long").alias("engines"))
+
+
+@query(f"WITH {_LOG}, u AS (SELECT query_id, unnest(cited_urls) AS url FROM log WHERE outcome='observed'), g AS (SELECT query_id, url, count(*) AS n FROM u GROUP BY 1,2) SELECT * FROM (SELECT query_id, url, n, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, url) AS INT) AS rank FROM g) WHERE rank<=10")
+def top_urls_per_query(spark, d):
+    return M.top_urls(_log(spark, d))
+
+
+@query(f"WITH {_LOG}, u AS (SELECT unnest(competitor_domains) AS domain FROM log WHERE outcome='observed') SELECT domain, count(*) AS n FROM u WHERE domain<>'{OUR_HOST}' GROUP BY 1 ORDER BY n DESC, domain LIMIT 20")
+def competitor_top20(spark, d):
+    return M.competitors(_log(spark, d), OUR_HOST)
+
+
+@query(f"WITH {_LOG}, u AS (SELECT unnest(cited_urls) AS url FROM log WHERE outcome='observed') SELECT url, count(*) AS n FROM u WHERE regexp_extract(url,'//(www\\.)?([^/]*)',2)='{OUR_HOST}' GROUP BY 1")
+def ours_vs_competitor(spark, d):
+    return M.our_urls(_log(spark, d), OUR_HOST)
+
+
+_TYPES = ", ".join(f"count(*) FILTER (type='{t}') AS {t}_attempts, count(*) FILTER (type='{t}' AND outcome='observed') AS {t}_runs, count(*) FILTER (type='{t}' AND cited) AS {t}_cited, round_even(count(*) FILTER (type='{t}' AND cited)/nullif(count(*) FILTER (type='{t}' AND outcome='observed'),0)::DOUBLE,4) AS {t}_rate" for t in C.QUERY_TYPES)
+
+
+@query(f"WITH {_LOG} SELECT engine, 'manual' AS mode, engine AS surface, locale, 'signed_out' AS login_state, search_enabled, '' AS model, '' AS campaign_id, {_TYPES}, count(*) AS attempts, count(*) FILTER (outcome='error') AS errors, round_even(count(*) FILTER (outcome='error')/count(*)::DOUBLE,4) AS error_rate FROM log GROUP BY engine, locale, search_enabled")
+def cohort_slots(spark, d):
+    return M.cohorts(_log(spark, d))
+
+
+_TREND = f"WITH {_LOG}, q AS (SELECT date, query_id, {_C} FROM log GROUP BY 1,2), t AS (SELECT date, CAST(sum(attempts) AS BIGINT) AS attempts, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(cited) AS BIGINT) AS cited, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(unmeasured) AS BIGINT) AS unmeasured, count(*) FILTER (runs>0) AS queries, count(*) FILTER (cited>0) AS queries_cited, round_even(sum(cited)/nullif(sum(runs),0)::DOUBLE,4) AS rate FROM q GROUP BY 1)"
+
+
+@query(f"{_TREND} SELECT * FROM t")
+def daily_trend(spark, d):
+    return M.trend(_log(spark, d))
+
+
+@query(f"WITH {_LOG}, q AS (SELECT date, engine, query_id, count(*) AS runs, count(*) FILTER (cited) AS cited FROM log WHERE outcome='observed' GROUP BY ALL) SELECT date, engine, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(cited) AS BIGINT) AS cited, count(*) FILTER (cited>0) AS queries_cited FROM q GROUP BY 1,2")
+def daily_trend_engines(spark, d):
+    return M.trend_engines(_log(spark, d))
+
+
+@query(f"{_TREND} SELECT date, rate, round_even(round_even(rate - first_value(rate) OVER (ORDER BY date),4)*100,1) AS points FROM t")
+def trend_delta_vs_baseline(spark, d):
+    return M.against_baseline(M.trend(_log(spark, d)))
+
+
+@query(f"WITH {_LOG}, l AS (SELECT *, 'latest' AS scope FROM log WHERE date=(SELECT max(date) FROM log) UNION ALL SELECT *, 'cumulative' FROM log) SELECT scope, count(*) FILTER (outcome='observed') AS runs, count(*) FILTER (cited) AS cited, round_even(count(*) FILTER (cited)/nullif(count(*) FILTER (outcome='observed'),0)::DOUBLE,4) AS rate FROM l GROUP BY 1")
+def latest_vs_cumulative(spark, d):
+    rows = _log(spark, d)
+    both = M.latest(rows).withColumn("scope", F.lit("latest")).unionByName(rows.withColumn("scope", F.lit("cumulative")))
+    return both.groupBy("scope").agg(*M.counts()).select("scope", "runs", "cited", X.ratio("cited", "runs").alias("rate"))
+
+
+@query(f"WITH {_LOG} SELECT count(*) AS attempts, count(*) FILTER (outcome='observed') AS observed, count(*) FILTER (outcome='error') AS errors, count(*) FILTER (outcome='unmeasured') AS unmeasured, count(*) FILTER (NOT compatible) AS incompatible_rows, round_even(count(*) FILTER (outcome='error')/count(*)::DOUBLE,4) AS error_rate, count(*) FILTER (outcome='error')=0 AND count(*) FILTER (NOT compatible)=0 AS regression_eligible FROM allrows")
+def quality_block(spark, d):
+    return M.quality(_all_rows(spark, d))
+
+
+@query(f"WITH {_LOG} SELECT string_agg(DISTINCT engine, ',' ORDER BY engine) AS surface, string_agg(DISTINCT locale, ',' ORDER BY locale) AS locale, string_agg(DISTINCT CASE WHEN search_enabled IS NULL THEN 'None' WHEN search_enabled THEN 'True' ELSE 'False' END, ',' ORDER BY CASE WHEN search_enabled IS NULL THEN 'None' WHEN search_enabled THEN 'True' ELSE 'False' END) AS search_enabled FROM log")
+def condition_sets(spark, d):
+    return M.conditions(_log(spark, d)).select(*[F.array_join(c, ",").alias(c) for c in ("surface", "locale", "search_enabled")])
+
+
+@query("SELECT id, type, sha256(type||chr(10)||text) AS fingerprint FROM (SELECT 'Q'||i AS id, 'question '||i AS text, CASE WHEN i<4 THEN 'brand' ELSE 'nonbrand' END AS type FROM range(10) t(i))")
+def query_fingerprint(spark, d):
+    return S.queries(spark).select("id", "type", "fingerprint")
+
+
+@query("SELECT sha256(string_agg(f, chr(10) ORDER BY f)) AS fingerprint FROM (SELECT sha256(CASE WHEN i<4 THEN 'brand' ELSE 'nonbrand' END||chr(10)||'question '||i) AS f FROM range(10) t(i))")
+def queryset_fingerprint(spark, d):
+    return S.queries(spark).agg(X.set_fingerprint("fingerprint").alias("fingerprint"))
+
+
+@query("SELECT 'Q'||i AS id, e AS engine, CAST(r AS INT) AS run_no FROM range(10) t(i), (VALUES ('chatgpt'),('google_aio')) x(e), range(1,6) y(r)")
+def planned_form_rows(spark, d):
+    engines = spark.createDataFrame([(e,) for e in C.DEFAULT_ENGINES], "engine string")
+    return M.plan_rows(S.queries(spark), engines, 5).select("id", "engine", "run_no")
+
+
+_FORM = """('2026-01-02','Q1','question 1','brand','chatgpt','1','signed_out','y','예'),('2026-1-2','Q5','','','gemini','2','','',''),('2026-13-01','Q1','','','chatgpt','1','','',''),('2026-01-02','Q77','','','chatgpt','1','','',''),
+('2026-01-02','Q1','other','','chatgpt','1','','',''),('2026-01-02','Q1','','nonbrand','chatgpt','1','','',''),('2026-01-02','Q1','','','altavista','1','','',''),('2026-01-02','Q1','','','chatgpt','0','','',''),('2026-01-02','Q1','','','chatgpt','x','','',''),
+('2026-01-02','Q1','','','chatgpt','1','','','maybe'),('2026-01-02','Q1','','','chatgpt','1','away','',''),('2026-01-02','Q1','','','chatgpt','1','','perhaps','n')"""
+_FORM_COLS = "t(date,query_id,query_text,type,engine,run_no,login_state,search_enabled,cited)"
+
+
+@query(f"""WITH q AS (SELECT 'Q'||i AS id, 'question '||i AS text, CASE WHEN i<4 THEN 'brand' ELSE 'nonbrand' END AS kind FROM range(10) r(i)), f AS (SELECT * FROM (VALUES {_FORM}) AS {_FORM_COLS}) SELECT date, query_id, engine, run_no, cited,
+ CASE WHEN try_cast(date AS DATE) IS NULL THEN 'bad_date' WHEN q.id IS NULL THEN 'unknown_query' WHEN query_text<>'' AND query_text<>q.text THEN 'stale_text' WHEN type<>'' AND type<>kind THEN 'stale_type' WHEN engine NOT IN ({','.join(repr(e) for e in C.ENGINES)}) THEN 'bad_engine'
+ WHEN coalesce(try_cast(run_no AS INT),0)<1 THEN 'bad_run_no' WHEN cited<>'' AND cited NOT IN ('예','n') THEN 'bad_cited' WHEN login_state<>'' AND login_state NOT IN ({','.join(repr(e) for e in C.LOGIN_STATES)}) THEN 'bad_login_state' WHEN search_enabled<>'' AND search_enabled NOT IN ('y') THEN 'bad_search_enabled' END AS reason FROM f LEFT JOIN q ON f.query_id=q.id""")
+def csv_row_validation(spark, d):
+    form = spark.sql(f"SELECT *, '' AS cited_urls FROM VALUES {_FORM} AS {_FORM_COLS}")
+    return M.parse_form(form, S.queries(spark)).select("date", "query_id", "engine", "run_no", "cited", "reason")
+
+
+_WILSON = "CASE WHEN n>0 THEN round_even({f}(({p}+1.959963984540054*1.959963984540054/(2*n))/(1+1.959963984540054*1.959963984540054/n) {s} 1.959963984540054*sqrt({p}*(1-{p})/n+1.959963984540054*1.959963984540054/(4*n*n))/(1+1.959963984540054*1.959963984540054/n)),4) END"
+_LOW, _HIGH = _WILSON.format(f="greatest(0.0,", p="(s/n)", s="-").replace("(0.0,(", "(0.0,", 1), _WILSON.format(f="least(1.0,", p="(s/n)", s="+").replace("(1.0,(", "(1.0,", 1)
+
+
+@query(f"WITH {_LOG}, g AS (SELECT engine, type, CAST(count(*) FILTER (cited) AS DOUBLE) AS s, CAST(count(*) FILTER (outcome='observed') AS DOUBLE) AS n FROM log GROUP BY 1,2) SELECT engine, type, {_LOW} AS low, {_HIGH} AS high FROM g")
+def wilson_interval(spark, d):
+    return M.slots(_log(spark, d)).withColumn("w", X.wilson("cited", "runs")).select("engine", "type", "w.low", "w.high")
+
+
+_SIDES = "b AS (SELECT engine, count(*) FILTER (cited) AS cited, count(*) FILTER (outcome='observed') AS runs FROM log WHERE date<'2024-01-16' GROUP BY 1), a AS (SELECT engine, count(*) FILTER (cited) AS cited, count(*) FILTER (outcome='observed') AS runs FROM log WHERE date>='2024-01-16' GROUP BY 1)"
+
+
+def _sides(spark, d, *by):
+    rows = _log(spark, d)
+    return tuple(t.groupBy(*by).agg(*M.counts()) for t in (rows.where("date < '2024-01-16'"), rows.where("date >= '2024-01-16'")))
+
+
+@query(f"WITH {_LOG}, {_SIDES}, j AS (SELECT engine, round_even(a.cited/nullif(a.runs,0)::DOUBLE,4) AS rate_after, round_even(b.cited/nullif(b.runs,0)::DOUBLE,4) AS rate_before, least(a.runs,b.runs) AS m FROM a FULL JOIN b USING (engine)) SELECT engine, rate_before, rate_after, round_even(rate_after-rate_before,4) AS delta, CASE WHEN rate_after-rate_before IS NULL THEN 'not_measured' WHEN NOT (abs(round_even(rate_after-rate_before,4))>=0.1 AND m>=5) THEN 'inconclusive' WHEN rate_after<rate_before THEN 'regression' ELSE 'improvement' END AS verdict FROM j")
+def rate_significance(spark, d):
+    before, after = _sides(spark, d, "engine")
+    return M.significance(before, after, ["engine"]).select("engine", "rate_before", "rate_after", "delta", "verdict")
+
+
+@query(f"WITH {_LOG}, {_SIDES} SELECT engine, round_even(round_even(coalesce(round_even(a.cited/nullif(a.runs,0)::DOUBLE,4),0)-coalesce(round_even(b.cited/nullif(b.runs,0)::DOUBLE,4),0),4)*100,1) AS points FROM a FULL JOIN b USING (engine)")
+def engine_points_diff(spark, d):
+    before, after = (t.withColumn("rate", X.ratio("cited", "runs")) for t in _sides(spark, d, "engine"))
+    return D.engine_points(before, after).select("engine", "points")
+
+
+_HALF = "SELECT {c} FROM log WHERE outcome='observed' AND date{op}'2024-01-16'"
+
+
+@query(f"WITH {_LOG}, b AS (SELECT url, count(*) AS n FROM (SELECT unnest(cited_urls) AS url FROM log WHERE outcome='observed' AND date<'2024-01-16') GROUP BY 1), a AS (SELECT url, count(*) AS n FROM (SELECT unnest(cited_urls) AS url FROM log WHERE outcome='observed' AND date>='2024-01-16') GROUP BY 1) SELECT url, coalesce(b.n,0) AS before, coalesce(a.n,0) AS after, coalesce(a.n,0)-coalesce(b.n,0) AS change FROM a FULL JOIN b USING (url)")
+def ours_diff(spark, d):
+    rows = _log(spark, d)
+    side = lambda t: M.url_counts(t).groupBy("url").agg(F.sum("n").alias("n"))
+    return D.count_diff(side(rows.where("date < '2024-01-16'")), side(rows.where("date >= '2024-01-16'")), "url")
+
+
+@query(f"WITH {_LOG}, b AS (SELECT domain, count(*) AS n FROM (SELECT unnest(competitor_domains) AS domain FROM log WHERE date<'2024-01-16') GROUP BY 1), a AS (SELECT domain, count(*) AS n FROM (SELECT unnest(competitor_domains) AS domain FROM log WHERE date>='2024-01-16') GROUP BY 1) SELECT domain, coalesce(b.n,0) AS before, coalesce(a.n,0) AS after, coalesce(a.n,0)-coalesce(b.n,0) AS change FROM a FULL JOIN b USING (domain) ORDER BY after DESC, domain LIMIT 20")
+def competitor_diff(spark, d):
+    rows = _log(spark, d)
+    side = lambda t: M.competitors(t, OUR_HOST, None)
+    return D.count_diff(side(rows.where("date < '2024-01-16'")), side(rows.where("date >= '2024-01-16'")), "domain", 20)
+
+
+# ---- snapshots ------------------------------------------------------------------------------------------------------
+
+_SNAP = "snap AS (SELECT DISTINCT strftime(ts,'%Y-%m-%d') AS date, CASE WHEN day(ts)%7=1 THEN 'audit' WHEN day(ts)%3=0 THEN 'measure' ELSE 'verify' END AS kind FROM events), s AS (SELECT kind, date, kind||'-'||date||'.json' AS file, CASE WHEN kind='measure' THEN 'm '||date ELSE '' END AS label FROM snap)"
+
+
+def _snapshots(spark, d):
+    day = F.dayofmonth("ts")
+    kind = F.when(day % 7 == 1, "audit").when(day % 3 == 0, "measure").otherwise("verify")
+    s = S.table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("date"), kind.alias("kind")).distinct()
+    return s.withColumns({"file": F.concat("kind", F.lit("-"), "date", F.lit(".json")), "label": F.when(F.col("kind") == "measure", F.concat(F.lit("m "), "date")).otherwise("")})
+
+
+@query(f"WITH {_SNAP}, d AS (SELECT DISTINCT date FROM s), m AS (SELECT * FROM s WHERE kind='measure') SELECT d.date, m.date AS snapshot_date, m.file FROM d ASOF LEFT JOIN m ON d.date>=m.date")
+def asof_snapshot(spark, d):
+    s = _snapshots(spark, d)
+    return D.as_of(s.select("date").distinct(), s)
+
+
+@query(f"WITH {_SNAP} SELECT strftime(CAST(coalesce(max(date) FILTER (kind='measure'), max(date)) AS DATE)+14,'%Y-%m-%d') AS next_due FROM s")
+def next_due(spark, d):
+    return D.next_due(_snapshots(spark, d))
+
+
+@query(f"WITH {_SNAP} SELECT kind, min(date) AS baseline, date_diff('day', CAST(min(date) AS DATE), DATE '2024-02-10')>30 AS stale FROM s GROUP BY 1")
+def stale_baseline(spark, d):
+    return _snapshots(spark, d).groupBy("kind").agg(F.min("date").alias("baseline")).withColumn("stale", D.stale("baseline", F.lit("2024-02-10")))
+
+
+@query(f"WITH {_SNAP} SELECT date, max(file) FILTER (kind='audit') AS audit, max(file) FILTER (kind='measure') AS measure, max(file) FILTER (kind='verify') AS verify, max(nullif(label,'')) AS label FROM s GROUP BY 1")
+def timeline_merge(spark, d):
+    return D.timeline(_snapshots(spark, d))
+
+
+_METRICS = "('noindex','up_bad',1,2),('noindex','up_bad',2,1),('jsonld_pages','down_bad',5,4),('jsonld_pages','down_bad',4,4),('dup_titles','up_bad',3,3),('sitemap_urls','shrink20',100,79),('sitemap_urls','shrink20',100,80),('pages','info',8,9),('pages','info',NULL,9)"
+
+
+@query(f"SELECT metric, before, after, CASE WHEN before IS NULL OR after IS NULL THEN 'unknown' WHEN rule='info' THEN 'info' WHEN rule='up_bad' THEN CASE WHEN after>before THEN 'regression' WHEN after<before THEN 'improvement' ELSE 'flat' END WHEN rule='down_bad' THEN CASE WHEN after<before THEN 'regression' WHEN after>before THEN 'improvement' ELSE 'flat' END ELSE CASE WHEN after<before*0.8 THEN 'regression' ELSE 'flat' END END AS verdict FROM (VALUES {_METRICS}) AS t(metric,rule,before,after)")
+def metric_classification(spark, d):
+    t = spark.sql(f"SELECT * FROM VALUES {_METRICS} AS t(metric,rule,before,after)")
+    return t.select("metric", "before", "after", D.metric_verdict("rule", "before", "after").alias("verdict"))
+
+
+def _halves(spark, d):
+    """Findings-like counts of two halves of documents: one code a source and script."""
+    docs = S.table(spark, d, "documents").select("doc_id", F.concat(F.lit("C_"), "source").alias("code"), F.when(F.col("doc_id") % 5 == 0, "critical").otherwise("warn").alias("severity"))
+    return docs.where("doc_id % 2 = 0 and code <> 'C_src3'"), docs.where("doc_id % 2 = 1 and code <> 'C_src4'")
+
+
+_FD = "h AS (SELECT doc_id, 'C_'||source AS code, CASE WHEN doc_id%5=0 THEN 'critical' ELSE 'warn' END AS severity FROM documents), b AS (SELECT code, arg_min(severity, doc_id) AS severity_before, count(*) AS urls_before FROM h WHERE doc_id%2=0 AND code<>'C_src3' GROUP BY 1), a AS (SELECT code, arg_min(severity, doc_id) AS severity_after, count(*) AS urls_after FROM h WHERE doc_id%2=1 AND code<>'C_src4' GROUP BY 1)"
+
+
+@query(f"WITH {_FD} SELECT code, severity_before, urls_before, severity_after, urls_after, CASE WHEN severity_after IS NULL THEN 'resolved' WHEN severity_before IS NULL THEN 'new' ELSE 'persisting' END AS state FROM b FULL JOIN a USING (code)")
+def finding_diff(spark, d):
+    sides = [t.withColumns({"lane": F.lit("SEO"), "urls": F.array(F.col("doc_id").cast("string")), "pos": F.col("doc_id")}) for t in _halves(spark, d)]
+    grouped = [t.groupBy("code").agg(F.min_by("severity", "pos").alias("severity"), F.sum(F.size("urls")).alias("urls")) for t in sides]
+    return D.finding_diff(*grouped)
+
+
+@query(f"WITH {_FD} SELECT code AS key, urls_before AS before, urls_after AS after, urls_after-urls_before AS change FROM b FULL JOIN a USING (code)")
+def stats_diff(spark, d):
+    b, a = (t.groupBy(F.col("code").alias("key")).agg(F.count("*").alias("value")) for t in _halves(spark, d))
+    return D.stats_diff(b, a)
+
+
+@query(f"WITH p AS (SELECT DISTINCT {NORM} AS url, page_id%3<>0 AS b, page_id%4<>0 AS a FROM pages), b AS (SELECT DISTINCT url FROM p WHERE b), a AS (SELECT DISTINCT url FROM p WHERE a) SELECT url, 'gone' AS state FROM b WHERE url NOT IN (SELECT url FROM a) UNION ALL SELECT url, 'new' FROM a WHERE url NOT IN (SELECT url FROM b)")
+def page_diff(spark, d):
+    p = _pages(spark, d).withColumns({"url": U.normalize("url"), "status": F.lit(200)})
+    return D.page_diff(p.where("page_id % 3 <> 0"), p.where("page_id % 4 <> 0"))
+
+
+_FINDINGS = "('SEO','warn','TITLE_DUPLICATE'),('SEO','critical','NOINDEX'),('AEO','info','FAQ_MISSING'),('GEO','warn','AI_CRAWLER_PARTIAL'),('NEO','warn','NAVER_VERIFY_MISSING')"
+
+
+@query(f"WITH f AS (SELECT * FROM (VALUES {_FINDINGS}) t(lane,severity,code)), l AS (SELECT * FROM (VALUES ('SEO'),('AEO'),('GEO'),('LLMO'),('NEO'),('reputation')) t(lane)) SELECT lane, CASE WHEN lane='reputation' THEN 'na' WHEN bool_or(severity='critical') THEN 'bad' WHEN bool_or(severity='warn') THEN 'warn' ELSE 'ok' END AS status, coalesce(string_agg(code, ',' ORDER BY code),'') AS evidence FROM l LEFT JOIN f USING (lane) GROUP BY lane")
+def scorecard_from_findings(spark, d):
+    f = spark.sql(f"SELECT * FROM VALUES {_FINDINGS} AS t(lane,severity,code)")
+    return rules.scorecard(f).select("lane", "status", F.array_join(F.array_sort("evidence"), ",").alias("evidence"))
+
+
+_LANES = "('SEO','ok','bad'),('AEO','warn','ok'),('GEO','ok','ok'),('NEO',NULL,'warn')"
+
+
+@query(f"WITH t AS (SELECT * FROM (VALUES {_LANES}) x(lane,b,a)), l AS (SELECT * FROM (VALUES ('SEO'),('AEO'),('GEO'),('LLMO'),('NEO'),('reputation')) y(lane)), j AS (SELECT lane, coalesce(b,'na') AS before, coalesce(a,'na') AS after FROM l LEFT JOIN t USING (lane)) SELECT lane, before, after, list_position(['na','ok','warn','bad'],after)>list_position(['na','ok','warn','bad'],before) AS worse FROM j")
+def lane_diff(spark, d):
+    t = spark.sql(f"SELECT * FROM VALUES {_LANES} AS t(lane,b,a)")
+    sides = [t.where(f"{c} is not null").select("lane", F.col(c).alias("status")) for c in ("b", "a")]
+    return D.lane_diff(rules.lanes(spark).select("lane"), *sides)
+
+
+@query()
+def roadmap_order(spark, d):
+    return rules.roadmap(rules.page_findings(_page_table(spark, d)))
+
+
+# ---- robots, links, crawl -------------------------------------------------------------------------------------------
+
+ROBOTS = {
+    "open": "User-agent: *\nDisallow:\n", "closed": "User-agent: *\nDisallow: /\n", "mixed": "# c\nUser-agent: GPTBot\nDisallow: /\n\nUser-agent: *\nDisallow: /private/\nAllow: /private/ok$\nSitemap: https://x.example/s.xml\n",
+    "groups": "User-agent: Googlebot\nUser-agent: Bingbot\nDisallow: /\nAllow: /open/*.html\nUser-agent: Yeti\nAllow: /\n", "none": "",
+}
+AGENTS = ("GPTBot", "Googlebot", "Yeti", "PerplexityBot")
+TARGETS = ("/", "/private/x", "/private/ok", "/private/ok2", "/open/a.html", "/open/a")
+_POLICY = {
+    "open": ["star-allow"] * 4, "closed": ["star-block"] * 4, "mixed": ["explicit-block", "star-partial", "star-partial", "star-partial"],
+    "groups": ["none", "explicit-partial", "explicit-allow", "none"], "none": ["none"] * 4,
+}
+_BARRED = {("closed", a, t) for a in AGENTS for t in TARGETS} | {("mixed", "GPTBot", t) for t in TARGETS} | {("mixed", a, t) for a in AGENTS[1:] for t in ("/private/x", "/private/ok2")} | {("groups", "Googlebot", t) for t in TARGETS if t != "/open/a.html"}
+
+
+def _robots(spark):
+    return spark.createDataFrame(list(ROBOTS.items()), "site string, raw string")
+
+
+def _asked(spark):
+    agents = spark.createDataFrame([(a,) for a in AGENTS], "ua string")
+    return _robots(spark).select("site").crossJoin(F.broadcast(agents))
+
+
+@query("SELECT * FROM (VALUES " + ",".join(f"('{s}','{a}','{p}')" for s, row in _POLICY.items() for a, p in zip(AGENTS, row)) + ") AS t(site,ua,policy)")
+def robots_policy_matrix(spark, d):
+    return R.policies(R.rules_table(_robots(spark)), _asked(spark))
+
+
+@query("SELECT * FROM (VALUES " + ",".join(f"('{s}','{a}','{t}',{str((s, a, t) not in _BARRED).lower()})" for s in ROBOTS for a in AGENTS for t in TARGETS) + ") AS t(site,ua,target,allowed)")
+def robots_allowed(spark, d):
+    targets = spark.createDataFrame([(t,) for t in TARGETS], "target string")
+    return R.allowed(R.rules_table(_robots(spark)), _asked(spark).crossJoin(F.broadcast(targets)))
+
+
+@query("SELECT trim(l) AS line FROM (SELECT unnest(string_split(raw, chr(10))) AS l FROM (VALUES ('User-agent: *\nDisallow: /a\nDisallow: /b\n')) t(raw)) WHERE trim(l)<>'' AND trim(l) NOT IN ('User-agent: *','Disallow: /b')".replace("\n", "'||chr(10)||'"))
+def robots_lost_lines(spark, d):
+    lines = lambda raw: spark.range(1).select(F.explode(F.split(F.lit(raw), "\n")).alias("l")).select(X.collapse("l").alias("line")).where("line <> ''")
+    return lines("User-agent: *\nDisallow: /a\nDisallow: /b\n").join(lines("User-agent: *\nDisallow: /b\n"), "line", "left_anti").distinct()
+
+
+_EDGES = "('a','b'),('a','c'),('b','d'),('c','d'),('d','a'),('d','e'),('f','g'),('e','e')"
+
+
+@query(f"WITH RECURSIVE e AS (SELECT * FROM (VALUES {_EDGES}) t(src,dst)), r(url,depth) AS (SELECT 'a',0 UNION SELECT e.dst, r.depth+1 FROM r JOIN e ON r.url=e.src WHERE r.depth<6) SELECT url, min(depth) AS depth FROM r GROUP BY 1")
+def crawl_bfs_levels(spark, d):
+    edges = spark.sql(f"SELECT * FROM VALUES {_EDGES} AS t(src,dst)")
+    return P.reach(edges, spark.sql("SELECT 'a' AS url"))
+
+
+@query("SELECT ua, count(*) AS n FROM (VALUES ('GET / gptbot/1.0'),('GET /a GPTBot'),('x PerplexityBot y'),('none')) t(v), (VALUES ('GPTBot'),('PerplexityBot'),('Yeti')) u(ua) WHERE contains(lower(v), lower(ua)) GROUP BY 1")
+def ai_bot_tally(spark, d):
+    return P.bot_tally(spark.sql("SELECT * FROM VALUES ('GET / gptbot/1.0'),('GET /a GPTBot'),('x PerplexityBot y'),('none') AS t(value)"))
+
+
+_VISIBLE = "('p1','What is it? It costs 12,000 won','What is it?'),('p1','What is it? It costs 12,000 won','12000'),('p1','What is it? It costs 12,000 won','15000'),('p2','hello','bye')"
+
+
+@query(f"SELECT url, needle FROM (VALUES {_VISIBLE}) t(url,text,needle) WHERE NOT contains(text, needle) AND NOT coalesce(contains(text, format('{{:,}}', try_cast(needle AS BIGINT))), false)")
+def visible_text_misses(spark, d):
+    t = spark.sql(f"SELECT * FROM VALUES {_VISIBLE} AS t(url,text,needle)")
+    return t.where(~F.exists(X.price_forms("needle"), lambda n: F.col("text").contains(n))).select("url", "needle")
+
+
+@query()
+def jsonld_objects(spark, d):
+    from ..sources import html
+
+    block = '[{"@type":"Product","name":"A","url":"/a","offers":{"@type":"Offer","price":"12000"}},{"@graph":[{"@type":["Organization","X"],"@id":"#o","name":"N"}]}]'
+    pages = spark.createDataFrame([("u1", [block, "{broken"]), ("u2", [])], "url string, ld array<string>")
+    return html.ld_table(pages).withColumns({c: F.array_join(c, "|") for c in ("types", "org_ids", "visible")})
+
+
+@query()
+def parsed_pages(spark, d):
+    from ..sources import html
+
+    got = html.parse_html(_pages(spark, d).select("page_id", F.col("html").alias("body")))
+    return got.select("page_id", "page.title", "page.lang", F.size("page.links").alias("links"), "page.text_chars", F.size("page.h1").alias("h1"))
+
+
+@query("SELECT host, CASE WHEN host IN ('localhost') OR regexp_matches(host,'^[0-9.]+$') OR NOT contains(host,'.') THEN NULL WHEN starts_with(host,'www.') THEN substr(host,5) ELSE 'www.'||host END AS alternate, regexp_replace(host,'[:*?\"<>|\\\\/]','_','g') AS file FROM (VALUES ('www.a.com'),('a.com'),('localhost'),('10.0.0.1'),('intranet')) t(host)")
+def host_forms(spark, d):
+    t = spark.sql("SELECT * FROM VALUES ('www.a.com'),('a.com'),('localhost'),('10.0.0.1'),('intranet') AS t(host)")
+    return t.select("host", U.alternate_host("host").alias("alternate"), U.safe_host("host").alias("file"))
