@@ -48,6 +48,16 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(df: DataFrame, most: int = 16 << 20) -> DataFrame:
+    """df, after the session's limit on the bytes of an Arrow batch is lowered to `most` (never raised): what a Python
+    worker and the buffers beside the heap hold at once does not depend on how long texts are."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, "64m")
+    if now.lower().rstrip("b").isdigit() and int(now.lower().rstrip("b")) > most or now.lower() == "64m":
+        conf.set(key, str(most))
+    return df
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo parts; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
