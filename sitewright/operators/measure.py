@@ -11,8 +11,6 @@ from .. import contracts as C
 from ..functions import text as X
 from ..functions import urls as U
 
-SIGNED = F.lit("signed_out")
-
 
 def row_key() -> list[Column]:
     """Ten values that tell one planned observation from another; the model is not among them."""
@@ -60,13 +58,14 @@ def latest(log: DataFrame, cumulative: bool = False) -> DataFrame:
     return log if cumulative else log.join(log.agg(F.max("date").alias("date")), "date", "left_semi")
 
 
-OBSERVED = F.col("outcome") == "observed"
+def observed() -> Column:
+    return F.col("outcome") == "observed"
 
 
 def counts() -> list[Column]:
     return [
-        F.count("*").alias("attempts"), F.count_if(OBSERVED).alias("runs"), F.count_if(OBSERVED & F.col("cited")).alias("cited"),
-        F.count_if(OBSERVED & F.col("brand_mentioned")).alias("mentioned"), F.count_if(F.col("outcome") == "error").alias("errors"),
+        F.count("*").alias("attempts"), F.count_if(observed()).alias("runs"), F.count_if(observed() & F.col("cited")).alias("cited"),
+        F.count_if(observed() & F.col("brand_mentioned")).alias("mentioned"), F.count_if(F.col("outcome") == "error").alias("errors"),
         F.count_if(F.col("outcome") == "unmeasured").alias("unmeasured")]
 
 
@@ -80,19 +79,19 @@ def slots(log: DataFrame) -> DataFrame:
 
 def any_cited(log: DataFrame) -> DataFrame:
     """For each engine and type: queries measured, and those cited in any run."""
-    by = log.where(OBSERVED).groupBy("engine", "type", "query_id").agg(F.bool_or(F.coalesce("cited", F.lit(False))).alias("any"))
+    by = log.where(observed()).groupBy("engine", "type", "query_id").agg(F.bool_or(F.coalesce("cited", F.lit(False))).alias("any"))
     return by.groupBy("engine", "type").agg(F.count("*").alias("queries"), F.count_if("any").alias("queries_cited")).withColumn("query_rate", X.ratio("queries_cited", "queries"))
 
 
 def by_query(log: DataFrame, queries: DataFrame) -> DataFrame:
     """Every query with its runs and citations, and one entry an engine, also if it was never run."""
-    by = log.where(OBSERVED).groupBy("query_id", "engine").agg(F.count("*").alias("runs"), F.count_if("cited").alias("cited"))
+    by = log.where(observed()).groupBy("query_id", "engine").agg(F.count("*").alias("runs"), F.count_if("cited").alias("cited"))
     one = by.groupBy("query_id").agg(F.sum("runs").alias("runs"), F.sum("cited").alias("cited"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("engine", F.struct("runs", "cited"))))).alias("engines"))
     return queries.select(F.col("id").alias("query_id"), "type").join(one, "query_id", "left").fillna(0, ["runs", "cited"])
 
 
 def url_counts(log: DataFrame) -> DataFrame:
-    return log.where(OBSERVED).select("query_id", F.explode("cited_urls").alias("url")).groupBy("query_id", "url").agg(F.count("*").alias("n"))
+    return log.where(observed()).select("query_id", F.explode("cited_urls").alias("url")).groupBy("query_id", "url").agg(F.count("*").alias("n"))
 
 
 def top_urls(log: DataFrame, k: int = 10) -> DataFrame:
@@ -102,13 +101,13 @@ def top_urls(log: DataFrame, k: int = 10) -> DataFrame:
 
 
 def our_urls(log: DataFrame, host: str) -> DataFrame:
-    urls = log.where(OBSERVED).select(F.explode("cited_urls").alias("url")).groupBy("url").agg(F.count("*").alias("n"))
+    urls = log.where(observed()).select(F.explode("cited_urls").alias("url")).groupBy("url").agg(F.count("*").alias("n"))
     return urls.where(U.is_ours("url", F.lit(host)))
 
 
 def competitors(log: DataFrame, host: str, k: int | None = 20) -> DataFrame:
     """Domains named beside ours; the k most frequent (a report's top list), ties by name."""
-    named = log.where(OBSERVED).select(F.explode("competitor_domains").alias("domain")).where(U.bare_domain("domain") != U.bare_domain(F.lit(host)))
+    named = log.where(observed()).select(F.explode("competitor_domains").alias("domain")).where(U.bare_domain("domain") != U.bare_domain(F.lit(host)))
     found = named.groupBy("domain").agg(F.count("*").alias("n"))
     return found.orderBy(F.desc("n"), "domain").limit(k) if k else found
 
@@ -116,7 +115,7 @@ def competitors(log: DataFrame, host: str, k: int | None = 20) -> DataFrame:
 def cohorts(log: DataFrame) -> DataFrame:
     """Counts for each set of conditions, by type; null-safe on whether search was on."""
     per_type = lambda t, c, n: F.count_if((F.col("type") == t) & c).alias(f"{t}_{n}")
-    aggs = [x for t in C.QUERY_TYPES for x in (per_type(t, F.lit(True), "attempts"), per_type(t, OBSERVED, "runs"), per_type(t, OBSERVED & F.col("cited"), "cited"))]
+    aggs = [x for t in C.QUERY_TYPES for x in (per_type(t, F.lit(True), "attempts"), per_type(t, observed(), "runs"), per_type(t, observed() & F.col("cited"), "cited"))]
     got = with_cohort(log).groupBy(*COHORT).agg(*aggs, F.count("*").alias("attempts"), F.count_if(F.col("outcome") == "error").alias("errors"))
     got = got.withColumn("error_rate", X.ratio("errors", "attempts"))
     return got.withColumns({f"{t}_rate": X.ratio(f"{t}_cited", f"{t}_runs") for t in C.QUERY_TYPES})
@@ -136,7 +135,7 @@ def trend(log: DataFrame) -> DataFrame:
 
 
 def trend_engines(log: DataFrame) -> DataFrame:
-    by = log.where(OBSERVED).groupBy("date", "engine", "query_id").agg(F.count("*").alias("runs"), F.count_if("cited").alias("cited"))
+    by = log.where(observed()).groupBy("date", "engine", "query_id").agg(F.count("*").alias("runs"), F.count_if("cited").alias("cited"))
     return by.groupBy("date", "engine").agg(F.sum("runs").alias("runs"), F.sum("cited").alias("cited"), F.count_if(F.col("cited") > 0).alias("queries_cited"))
 
 
