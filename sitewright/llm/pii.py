@@ -5,7 +5,8 @@ generators propose further, overlapping candidates: obfuscated or short addresse
 phone numbers without a plus sign.  Boosted trees judge a candidate by its format and by the words around it; a
 threshold for each kind, set for high precision on rows that the trees did not see and never below ``LEAST`` (log odds),
 selects what is added.  An added
-span never overlaps a base span, and of overlapping added spans the first kind in the list, then the first start, stays.
+span never overlaps a base span, and of overlapping added spans the first kind in the list, then the first start, then the
+longest, stays.
 
 There is no labelled table for this task, so the trees are fitted at the start on ``TRAIN_ROWS`` snippets made from
 templates with a fixed seed; their features come from the same expressions as those of the documents.  The fitted trees
@@ -275,7 +276,7 @@ def find_spans(df: DataFrame, model: Model | None = None, keep_text: bool = Fals
             rows = rows.withColumn(f"added_{kind}", empty)
             continue
         chosen = F.concat(*[_selected(text, i, model, limit) for i, g in enumerate(GENERATORS) if g[0] == kind])
-        free = lambda c: let(F.struct(F.sort_array(c).alias("c"), F.col("base_all").alias("t")), lambda v: F.filter(v["c"], lambda x: apart(x, v["t"])))
+        free = lambda c: let(F.struct(_longest_first(c).alias("c"), F.col("base_all").alias("t")), lambda v: F.filter(v["c"], lambda x: apart(x, v["t"])))
         # of the rest, a span stays if no earlier one of its kind reaches into it
         first = lambda s: let(scan(F.transform(s, lambda x: x["e"]), lambda a, b: F.greatest(a, b), F.lit(0)), lambda ends: F.filter(s, lambda x, i: (i == 0) | (F.get(ends, i - 1) <= x["s"])))
         rows = rows.withColumn(f"added_{kind}", let(chosen, lambda c: F.when(F.size(c) > 0, let(free(c), first)).otherwise(empty)))
@@ -283,6 +284,12 @@ def find_spans(df: DataFrame, model: Model | None = None, keep_text: bool = Fals
     return rows.drop("base_all")
 
 
+def _longest_first(spans: Column) -> Column:
+    """By start, the longest of equal starts first."""
+    keyed = F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("d"))))
+    return F.transform(keyed, lambda x: F.struct(x["s"].alias("s"), (-x["d"]).alias("e")))
+
+
 def _selected(text: Column, number: int, model: Model, limit: float) -> Column:
     return _plain(F.filter(candidates(text, number), lambda c: model.score(c["f"]) >= limit))
 

@@ -70,5 +70,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+def _quality_rules_sql() -> str:
+    """op8 in DuckDB's SQL, with the thresholds of the table."""
+    space = r"[\x20\x09-\x0D]"
+    stops = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+    ratios = {
+        "mean_word_chars": "word_chars / n_words", "symbol_ratio": "n_symbols / greatest(word_chars, 1)",
+        "stop_ratio": "n_stop / n_words", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
+    }
+    bounds = [f"{ratios[n]} {op} {v}" for n, low, high in quality_rules.THRESHOLDS for op, v in ((">=", low), ("<=", high)) if v is not None]
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '{space}+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+g AS (SELECT r, i, list_slice(w, i, i + 7) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g),
+c AS (SELECT r, count(DISTINCT i + k) AS n FROM h, range(0, 8) AS x(k) WHERE n > 1 GROUP BY r),
+m AS (SELECT doc_id, len(w) AS n_words, length(list_aggregate(w, 'string_agg', '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_filter(w, lambda x: x IN ({stops}))) AS n_stop
+  FROM w LEFT JOIN c USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND CASE WHEN base_failed THEN false ELSE {" AND ".join(bounds)} END AS kept FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the same; the other operators are tested against brute force, round trips or held-out rows."""
+    return {"op8_quality_rules": _quality_rules_sql()}

@@ -1,0 +1,119 @@
+"""Native operators against plain Python."""
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+
+from sitewright.llm import pii, quality_rules, sharding
+from tests.llm.conftest import frame, prose
+
+ODD = ["", None, "one", " \t\n ", "#*$ a|b <x>", "same line\nsame line\n\n\nsame line ", "a b c d e f g h " * 3, "w " * 19, "w " * 20, "é " * 30, "the of and " * 4000, "x" * 100_000, "no\x0bbreak\x0chere\r\n"]
+
+
+def plain_measures(text):
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams, again = {}, set()
+    for i in range(len(words) - 7):
+        grams.setdefault(tuple(words[i : i + 8]), []).append(i)
+    for places in grams.values():
+        if len(places) > 1:
+            again.update(p + k for p in places for k in range(8))
+    failed = len(words) < 20 or 100 * len(again) > 30 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(again), failed
+
+
+def test_quality_rules(spark, texts):
+    rows = [*texts, *ODD, texts[0] + "\n" + texts[0]]
+    for r in quality_rules.quality_rules(frame(spark, rows)).collect():
+        want = plain_measures(rows[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == want, rows[r["doc_id"]]
+        assert not (r["kept"] and r["base_failed"])
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(frame(spark, [texts[0], texts[0].upper() + "!!", re.sub(r"\b ", "*** ", texts[0])])).collect()}
+    assert kept == {0: True, 1: False, 2: False}
+    assert quality_rules.quality_rules(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_hilbert_is_a_curve(spark):
+    """Neighbours on the curve are neighbours in space, and every point has its own index."""
+    from pyspark.sql import functions as F
+
+    n = 4
+    grid = spark.range(n**3).select(*[(F.floor(F.col("id") / n**k) % n).cast("int").alias(c) for k, c in enumerate("xyz")])
+    points = {r["h"]: (r["x"], r["y"], r["z"]) for r in grid.select("*", sharding.hilbert_index([F.col("x"), F.col("y"), F.col("z")], bits=2).alias("h")).collect()}
+    assert sorted(points) == list(range(n**3))
+    assert all(sum(abs(a - b) for a, b in zip(points[i], points[i + 1])) == 1 for i in range(n**3 - 1))
+
+
+def test_shards(spark, texts):
+    rows = [*texts, None, "", *[texts[0]] * 40]
+    docs = frame(spark, rows)
+    got = sharding.shard_rows(docs, 16).collect()
+    by = {}
+    for r in got:
+        t = rows[r["doc_id"]]
+        assert r["size"] == len((t or "").encode()) + 1 and r["text_crc32"] == zlib.crc32((t or "").encode())
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == len(rows) and sorted(by) == list(range(16))
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    ordered = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+    assert [r["curve"] for r in ordered] == sorted(r["curve"] for r in got)
+    assert sharding.shard_rows(docs.limit(0)).count() == 0
+    assert len(sharding.shard_rows(docs.unionByName(docs)).collect()) == 2 * len(rows)
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def plain_spans(text):
+    out, n = [], []
+    for kind, pattern in PATTERNS.items():
+        found = 0
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+                found += 1
+        n.append(found)
+    return n, ",".join(out)
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return pii.fit(spark)
+
+
+def test_pii(spark, model):
+    rng = random.Random(9)
+    bits = ["a@b.c", "@", "x.y", "1.2.3.4", ".", "4111 1111 1111 1111", "4111111111111111", " ", "-", "12", "+1 (988) 555-2485", "+", "(", ")", "é", "😀", "\n", "_", "a.b@c-d.ef@g.hi", "300.1.1.1", "0001.2.3.4", "(988) 555-2485", "name (at) host (dot) com", "5" * 40, "00", "%"]
+    rows = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(3000)] + [None, "a" * 50_000, "1" * 50_000, "+1 (988) 555-2485 " * 900, "1.2.3.4 " * 5000]
+    for r in pii.report(frame(spark, rows), model).collect():
+        n, spans = plain_spans(rows[r["doc_id"]] or "")
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == n
+        assert r["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+        assert set(filter(None, spans.split(","))) <= set(r["spans"].split(","))
+
+
+def test_added_spans_and_clean_prose(spark, model, texts):
+    told = ["please call (988) 555-2485 today", "mail jane.doe (at) example (dot) com now", "card 4111.1111.1111.1111 is mine", "order 2024 of 17 items at noon. Then we left"]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(frame(spark, [*told, *texts]), model).collect()}
+    assert (got[0], got[1], got[2], got[3]) == ("phone:12:26", "email:5:36", "card:5:24", "")
+    assert not any(got[4 + i] for i in range(len(texts)))
+
+
+def test_redact(spark, model):
+    docs = frame(spark, ["mail a@b.cd, ip 10.0.0.1 é +1 (988) 555-2485!", None, "clean"])
+    got = {r["doc_id"]: r for r in pii.redact(docs, model).collect()}
+    assert got[0]["text"] == "mail [EMAIL], ip [IP] é [PHONE]!" and got[0]["n_chars"] == len(got[0]["text"])
+    assert got[1]["text"] is None and got[2]["text"] == "clean" and got[2]["words"] == ["x"]
+    assert pii.redact(docs.limit(0), model).columns == docs.columns
+    assert prose(random.Random(1), 3)
