@@ -115,3 +115,21 @@ def timeline(snapshots: DataFrame) -> DataFrame:
     rank = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(C.SNAPSHOT_KINDS)])
     label = F.min_by(X.falsy("label", F.lit(None)), F.when(X.falsy("label", F.lit(None)).isNotNull(), rank))
     return snapshots.groupBy("date").agg(*files, label.alias("label"))
+
+
+def audit_metrics(pages: DataFrame, findings: DataFrame, sitemaps: DataFrame) -> DataFrame:
+    """(metric, value) of an audit: the five that the metric rules judge."""
+    from . import rules
+
+    p = pages.agg(F.count("*").alias("pages"), F.count_if((F.col("status") == 200) & rules.noindex()).alias("noindex"), F.count_if((F.col("status") == 200) & (F.col("jsonld_count") > 0)).alias("jsonld_pages"))
+    d = findings.agg(F.coalesce(F.max(F.when(F.col("code") == "TITLE_DUPLICATE", F.col("count"))), F.lit(0)).alias("dup_titles"))
+    s = sitemaps.agg(F.coalesce(F.sum(F.when(~F.col("is_index"), F.col("url_count"))), F.lit(0)).alias("sitemap_urls"))
+    one = p.crossJoin(F.broadcast(d)).crossJoin(F.broadcast(s))  # one row each
+    return one.unpivot([], one.columns, "metric", "value")
+
+
+def metric_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """metric, before, after, verdict by the metric's rule."""
+    rules = before.sparkSession.createDataFrame(list(C.METRIC_RULES.items()), "metric string, rule string")
+    both = pairs(before, after, ["metric"], "value").join(F.broadcast(rules), "metric")
+    return both.select("metric", "before", "after", metric_verdict("rule", "before", "after").alias("verdict"))

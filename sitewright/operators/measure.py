@@ -196,3 +196,32 @@ def significance(before: DataFrame, after: DataFrame, by: list[str]) -> DataFram
     clear = (F.abs(delta) >= C.MIN_DELTA) & (F.least("runs_before", "runs_after") >= C.MIN_RUNS)
     verdict = F.when(delta.isNull(), "not_measured").when(~clear, "inconclusive").when(delta < 0, "regression").otherwise("improvement")
     return both.withColumns({"delta": delta, "verdict": verdict, "interval_before": X.wilson("cited_before", "runs_before"), "interval_after": X.wilson("cited_after", "runs_after")})
+
+
+def headline(days: DataFrame, n_queries: int, n_engines: int) -> DataFrame:
+    """First and last date with rates, points between them, runs per query and engine on the last date, and the next date."""
+    edge = lambda pick, c: pick(F.col(c), F.col("date"))
+    one = days.agg(F.min("date").alias("baseline"), F.max("date").alias("latest"), edge(F.min_by, "rate").alias("rate_before"), edge(F.max_by, "rate").alias("rate_after"), edge(F.max_by, "runs").alias("runs"))
+    per_query = F.greatest(F.lit(1), F.bround(F.try_divide(F.col("runs").cast("double"), F.lit(float(n_queries * n_engines))), 0).cast("int"))
+    return one.withColumns({
+        "points": F.bround(F.bround(F.col("rate_after") - F.col("rate_before"), 4) * 100, 1), "runs_per_query": per_query,
+        "next_date": F.date_format(F.date_add(F.to_date("latest"), C.REMEASURE_DAYS), "yyyy-MM-dd")})
+
+
+AI_HOSTS = ("chatgpt.com", "perplexity.ai", "gemini.google.com", "claude.ai", "copilot.microsoft.com")
+
+
+def ai_referrals(sessions: DataFrame) -> DataFrame:
+    """Sessions per day that came from an answer engine (date, source)."""
+    return sessions.where(U.bare_domain("source").isin(*AI_HOSTS)).groupBy("date").agg(F.count("*").alias("sessions"))
+
+
+def settled(rows: DataFrame, today: str, lag: int = 3) -> DataFrame:
+    """Rows old enough that late reports no longer change them."""
+    return rows.where(F.col("date") < F.date_format(F.date_sub(F.to_date(F.lit(today)), lag), "yyyy-MM-dd"))
+
+
+def totals(engines: DataFrame) -> DataFrame:
+    """Sums over engines by type, with rate and interval."""
+    got = engines.groupBy("type").agg(*[F.sum(c).alias(c) for c in ("attempts", "runs", "cited", "errors")])
+    return got.withColumns({"rate": X.ratio("cited", "runs"), "interval": X.wilson("cited", "runs")})

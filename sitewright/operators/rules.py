@@ -182,3 +182,7 @@ def coverage(c: DataFrame) -> DataFrame:
         ("robots_unavailable", F.col("robots_unavailable")), ("sitemap_invalid", F.col("sitemap_invalid") > 0), ("sitemap_truncated", F.col("sitemap_truncated") > 0))
     reasons = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), n) for n, t in tests]))
     return c.withColumn("reasons", reasons).withColumn("complete", F.size("reasons") == 0)
+
+
+def severity_counts(findings: DataFrame) -> DataFrame:
+    return findings.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in C.SEVERITY])

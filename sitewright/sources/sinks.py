@@ -85,3 +85,22 @@ def collect_garbage(previous: list[str], current: list[str], remade: set[str], r
             path.unlink()
             gone.append(name)
     return gone
+
+
+def archive(path: str | Path, folder: str | Path, stamp: str) -> Path | None:
+    """A copy of a document under its time before a new one takes its place; None if there is none yet."""
+    path = Path(path)
+    if not path.exists():
+        return None
+    copy = Path(folder) / f"{path.stem}-{stamp}{path.suffix}"
+    write_bytes(copy, path.read_bytes())
+    return copy
+
+
+def init_queries(path: str | Path) -> bool:
+    """A question set to fill in, unless there is one; whether it was written."""
+    if Path(path).exists():
+        return False
+    rows = [{"id": f"{kind[0]}{i}", "text": f"{C.TODO}: question>>", "type": kind, "note": ""} for kind in C.QUERY_TYPES for i in (1, 2)]
+    write_json(path, {"schema": "sitewright/queries/2", "queries": rows})
+    return True
