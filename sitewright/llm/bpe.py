@@ -19,8 +19,9 @@ import json
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .common import pick
+from .common import pick, small_batches
 from .units import UnitEncoder, ranges, slices, worker_cache
 
 # Fixed value: the pattern that splits text before merges.
@@ -284,7 +285,7 @@ def codec(path: str) -> tuple[Vocabulary, UnitEncoder]:
     cache = worker_cache()
     if ("bpe", path) not in cache:
         vocabulary = Vocabulary(path)
-        cache["bpe", path] = vocabulary, UnitEncoder(vocabulary.encode_units)
+        cache["bpe", path] = vocabulary, UnitEncoder(vocabulary.encode_units, limit=150_000, recent=1)
     return cache["bpe", path]
 
 
@@ -295,12 +296,12 @@ def _ids_array(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """df with the ids of a text column; all other columns are kept, an older column of that name is replaced."""
     kept = df.drop(out)
-    schema = kept.schema.add(out, "array<int>")
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         _, encoder = codec(path)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 2_000_000):
                 yield pa.RecordBatch.from_arrays([*part.columns, _ids_array(*encoder(part.column(text)))], names=[*part.schema.names, out])
 
     return kept.mapInArrow(run, schema)
@@ -309,7 +310,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids")
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """df with the text of a column of ids."""
     kept = df.drop(out)
-    schema = kept.schema.add(out, "string")
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches):
         vocabulary, _ = codec(path)
@@ -323,14 +324,14 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
 
 def round_trip(df: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, token_ids: encoding and decoding in one pass."""
-    rows = pick(df, doc_id="long", text="string")
+    rows = small_batches(pick(df, doc_id="long", text="string"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
 
     def run(batches):
         vocabulary, encoder = codec(path)
         sha = lambda runs: pa.array([hashlib.sha256(x).hexdigest() for x in runs], pa.string())
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2_000_000):
                 ids, offsets = encoder(part.column("text"))
                 columns = [part.column("doc_id"), pa.array(np.diff(offsets)), sha(vocabulary.decimal(ids, offsets)), sha(vocabulary.decode(ids, offsets))]
                 columns += [_ids_array(ids, offsets)] if with_ids else []

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import class_sample, fold, pick
+from .common import class_sample, fold, pick, small_batches
 
 PROFILE, PER_LANGUAGE, FOLDS, HELD = 400, 2000, 4, 2
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -99,7 +99,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = FOLDS,
 def identify(docs: DataFrame, profiles: Profiles, folds: int = FOLDS, held: int = HELD) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # PROFILE codes a language
-    rows = pick(docs, doc_id="long", text="string")
+    rows = small_batches(pick(docs, doc_id="long", text="string"))
 
     def run(batches):
         p = shared.value

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, pick
+from .common import fold, pick, small_batches
 from .quality import FOLDS, training_sample
 from .units import slices
 
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: i
 def score(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
     """doc_id, held_out, score, predicted, n_sentences (those located) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY words
-    rows = pick(docs, doc_id="long", text="string")
+    rows = small_batches(pick(docs, doc_id="long", text="string"))
 
     def run(batches):
         m = shared.value
@@ -132,7 +132,7 @@ def score(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
 def locate(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, sentence (its text), probability of each offending sentence."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = pick(docs, doc_id="long", text="string")
+    rows = small_batches(pick(docs, doc_id="long", text="string"))
 
     def run(batches):
         m = shared.value
