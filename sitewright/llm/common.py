@@ -58,6 +58,17 @@ def small_batches(df: DataFrame, most: int = 16 << 20) -> DataFrame:
     return df
 
 
+def trim() -> None:
+    """Gives freed memory of the Python process back to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo parts; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts

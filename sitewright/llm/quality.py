@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import class_sample, fold, pick
+from .common import class_sample, fold, pick, small_batches, trim
 
 BITS, ORDERS, PER_CLASS, FOLDS = 18, 4, 3000, 5
 KEEP = 0.3
@@ -42,22 +42,24 @@ def margin(found: np.ndarray, weights: np.ndarray, bias: float) -> float:
 
 def dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights of the scaled indicators (scaled again, so that they apply to plain indicators) and the bias."""
-    w, alpha, rng = np.zeros(len(scale) + 1), np.zeros(len(rows)), np.random.default_rng(seed)
-    values = [np.append(scale[r] / np.sqrt(max(1, len(r))), 1.0) for r in rows]
-    places = [np.append(r, len(scale)).astype(np.int64) for r in rows]
-    norm = np.array([v @ v for v in values])
+    w, bias, alpha, rng = np.zeros(len(scale)), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
+    unit = np.array([1 / np.sqrt(max(1, len(r))) for r in rows])
+    norm = np.array([((scale[r] * u) ** 2).sum() + 1.0 for r, u in zip(rows, unit)])
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            gradient = y[i] * (w[places[i]] @ values[i]) - 1
+            values = scale[rows[i]] * unit[i]  # made anew each time: only the bins are held
+            gradient = y[i] * (w[rows[i]] @ values + bias) - 1
             new = min(max(alpha[i] - gradient / norm[i], 0.0), cost)
             if new != alpha[i]:
-                w[places[i]] += (new - alpha[i]) * y[i] * values[i]
+                step = (new - alpha[i]) * y[i]
+                w[rows[i]] += step * values
+                bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w[:-1] * scale, float(w[-1])
+    return w * scale, float(bias)
 
 
 def logistic(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -115,20 +117,23 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         return [], np.empty(0), 0.5
     chosen = class_sample(known, label, F.concat(F.lit(label), F.col("doc_id").cast("string")), per_class)
     rows = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")  # at most about 2 x per_class ids
-    got = rows.select("doc_id", label, F.coalesce("text", F.lit("")).alias("text")).toPandas().sort_values(["doc_id", "text"])
-    return got["text"].tolist(), got[label].to_numpy(float), counts.get(1, 0) / sum(counts.values())
+    got = sorted((r["doc_id"], r["text"], r[label]) for r in rows.select("doc_id", label, F.coalesce("text", F.lit("")).alias("text")).collect())
+    return [t for _, t, _ in got], np.array([float(y) for _, _, y in got]), counts.get(1, 0) / sum(counts.values())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, folds: int = FOLDS) -> Model:
     texts, y, share = training_sample(docs, labels, label, per_class, folds)
     order = np.random.default_rng(11).permutation(len(texts))
-    return fit_rows([texts[i] for i in order], y[order], share)
+    model = fit_rows([texts[i] for i in order], y[order], share)
+    del texts
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: float = KEEP, folds: int = FOLDS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^18 weights, whatever the input
-    rows = pick(docs, doc_id="long", text="string")
+    rows = small_batches(pick(docs, doc_id="long", text="string"))
 
     def run(batches):
         m = shared.value
@@ -150,4 +155,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, per_class:
             good = pa.array([m.score(t.as_py()) >= keep for t in batch.column("text")], pa.bool_())
             yield batch.filter(good)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
