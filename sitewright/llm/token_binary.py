@@ -19,26 +19,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick
+from .common import Scratch, pick, small_batches
 from .units import library_encoder, ranges, slices
 
 BLOCK_TOKENS, SHARD_TOKENS = 2_000_000, 8_000_000
 END_ID = 0
 
 #: Fixed rule: the four lengths that a control byte stands for, least significant pair first.
-LENGTHS = 1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64)
+LENGTHS = (1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3)).astype(np.uint8)
+
+
+def real_slots(count: np.ndarray, n_control: np.ndarray) -> np.ndarray:
+    """Which of the slots of all control bytes hold a rank; up to three at the end of a run are unused."""
+    real = np.ones(4 * int(n_control.sum()), bool)
+    unused = 4 * n_control - count
+    real[ranges(4 * np.cumsum(n_control) - unused, unused)] = False
+    return real
 
 
 def pack(ranks: np.ndarray, count: np.ndarray) -> tuple[bytes, np.ndarray, bytes, np.ndarray]:
     """Control and data bytes of runs of ranks, and how many bytes of each belong to a run.  Every run begins a new
     control byte; the unused length pairs of its last one are 0 and have no data."""
-    size = 1 + (ranks > 0xFF).astype(np.int64) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    data = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    width = 2 if not len(ranks) or ranks.max() <= 0xFFFF else 4
+    size = 1 + (ranks > 0xFF).astype(np.uint8)
+    if width == 4:
+        size += (ranks > 0xFFFF).astype(np.uint8) + (ranks > 0xFFFFFF)
+    data = ranks.astype(f"<u{width}").view(np.uint8).reshape(-1, width)[np.arange(width, dtype=np.uint8) < size[:, None]]
     n_control = (count + 3) // 4
     pairs = np.zeros(int(n_control.sum()) * 4, np.uint8)
-    pairs[ranges(4 * (np.cumsum(n_control) - n_control), count)] = size - 1
-    control = (pairs.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    edge = np.concatenate([[0], np.cumsum(size)])
+    pairs[real_slots(count, n_control)] = size - 1
+    control = pairs[0::4] | pairs[1::4] << 2 | pairs[2::4] << 4 | pairs[3::4] << 6
+    edge = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     ends = np.cumsum(count)
     return control.tobytes(), n_control, data.tobytes(), edge[ends] - edge[ends - count]
 
@@ -46,50 +57,67 @@ def pack(ranks: np.ndarray, count: np.ndarray) -> tuple[bytes, np.ndarray, bytes
 def unpack(control: bytes, data: bytes, count: np.ndarray) -> np.ndarray:
     """All ranks of a block."""
     n_control = (count + 3) // 4
-    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[ranges(4 * (np.cumsum(n_control) - n_control), count)]
-    begin = np.cumsum(size) - size
-    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)]).astype(np.uint32)
-    ranks = raw[begin]
+    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[real_slots(count, n_control)]
+    begin = np.cumsum(size, dtype=np.int64) - size
+    raw = np.frombuffer(data, np.uint8)
+    ranks = raw[begin].astype(np.uint32)
     for k in (1, 2, 3):
-        more = size > k
-        if more.any():
-            ranks[more] |= raw[begin[more] + k] << np.uint32(8 * k)
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        ranks[more] |= raw[begin[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return ranks
 
 
+def flat(column: pa.Array, dtype: str) -> np.ndarray:
+    """The bytes of a binary column end to end, as numbers; no copy."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32 if pa.types.is_binary(column.type) else np.int64)
+    a, b = int(offsets[column.offset]), int(offsets[column.offset + len(column)])
+    return np.frombuffer(column.buffers()[2], np.uint8)[a:b].view(dtype) if b > a else np.empty(0, dtype)
+
+
+def id_type(path: str) -> str:
+    """Two bytes hold every id of a vocabulary below 65536, else four are used."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() < 65536 else "<u4"
+
+
+COUNTS = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())]))
+
+
 def tokenize(df: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian, 4 bytes each), with the end id."""
-    rows = pick(df, doc_id="long", text="string")
+    """doc_id, n_tokens, ids (little-endian, as id_type says), with the end id; counts is null.  Each task adds one row with
+    counts alone: how often it wrote each id."""
+    dtype = id_type(path)
+    width = int(dtype[2])
+    rows = small_batches(pick(df, doc_id="long", text="string"))
+    names = ["doc_id", "n_tokens", "ids", "counts"]
 
     def run(batches):
-        encoder = library_encoder(path)
+        encoder, total = library_encoder(path), np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 16_000_000):
                 ids, offsets = encoder(part.column("text"))
-                ids = np.insert(ids.astype("<u4"), offsets[1:], end_id)
+                ids = np.insert(ids.astype(dtype), offsets[1:], end_id)
                 edge = offsets + np.arange(len(offsets))
                 data = ids.tobytes()
-                blobs = pa.array([data[4 * a : 4 * b] for a, b in zip(edge.tolist(), edge[1:].tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(edge)), blobs], names=["doc_id", "n_tokens", "ids"])
+                blobs = pa.array([data[width * a : width * b] for a, b in zip(edge.tolist(), edge[1:].tolist())], pa.binary())
+                seen = np.bincount(ids)
+                if len(seen) > len(total):
+                    total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
+                total[: len(seen)] += seen
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(edge)), blobs, pa.nulls(len(blobs), COUNTS)], names=names)
+        found = np.flatnonzero(total)
+        pairs = pa.StructArray.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([b""], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pairs)], names=names)
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts array<struct<id:int,n:long>>")
 
 
 def rank_table(tokens: DataFrame) -> list[int]:
     """Ids by descending count over all documents, ties by id.  One row per id comes back: bounded by the vocabulary."""
-
-    def count(batches):
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for x in batch.column("ids"):
-                seen = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-                if len(seen) > len(total):
-                    total = np.concatenate([total, np.zeros(len(seen) - len(total), np.int64)])
-                total[: len(seen)] += seen
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
-
-    counted = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = tokens.where("counts is not null").select(F.explode("counts").alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n"))
     return [r["id"] for r in counted.orderBy(F.desc("n"), "id").collect()]
 
 
@@ -97,7 +125,9 @@ def write(df: DataFrame, path: str, scratch: Scratch, end_id: int = END_ID) -> s
     """Encodes df into files below the scratch folder; the path of the files.  Text is read once."""
     spark = df.sparkSession
     tokens = scratch.table("ids", tokenize(df, path, end_id))
+    dtype = id_type(path)
     order = rank_table(tokens)
+    tokens = tokens.where("counts is null").drop("counts")
     scratch.table("ranks", spark.createDataFrame([(r, i) for r, i in enumerate(order)], "rank int, id int").coalesce(1))
 
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
@@ -118,8 +148,7 @@ def write(df: DataFrame, path: str, scratch: Scratch, end_id: int = END_ID) -> s
                     continue
                 part = batch.slice(int(group[0]), len(group))
                 n = count[group]
-                ids = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in part.column("ids")), "<u4")
-                control, n_control, data, n_data = pack(table[ids], n)
+                control, n_control, data, n_data = pack(table[flat(part.column("ids"), dtype)], n)
                 ce, de = np.concatenate([[0], np.cumsum(n_control)]).tolist(), np.concatenate([[0], np.cumsum(n_data)]).tolist()
                 ids_of = part.column("doc_id")
                 shard = np.searchsorted(np.array(cuts, np.int64), np.array(ids_of.fill_null(-(1 << 63)).to_numpy()), side="left")
@@ -156,7 +185,7 @@ def write(df: DataFrame, path: str, scratch: Scratch, end_id: int = END_ID) -> s
     coded = tokens.mapInArrow(encode, "shard int, doc_id long, n_tokens long, control binary, data binary")
     placed = coded.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n_tokens", "data")
     files = placed.mapInArrow(blocks, "shard int, block long, start long, doc_ids array<long>, n_tokens array<long>, control binary, data binary")
-    scratch.table("blocks", files)
+    scratch.table("blocks", files, "none")  # coded already: another compression gains nothing
     scratch.drop("ids")
     return scratch.root
 
