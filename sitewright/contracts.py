@@ -48,8 +48,8 @@ TITLE_SEPARATORS = ("|", "—", "–", "-", "·", ":")
 YES = ("y", "yes", "true", "1", "o", "예", "네", "인용", "있음")
 NO = ("n", "no", "false", "0", "x", "아니오", "아니요", "없음")
 ASSET_SUFFIXES = (
-    "jpg jpeg png gif webp svg ico bmp avif css js mjs json xml txt pdf zip gz tar rar 7z mp3 mp4 avi mov webm wav "
-    "woff woff2 ttf eot doc docx xls xlsx ppt pptx"
+    "jpg jpeg png gif webp avif svg ico bmp css js mjs map json xml txt pdf zip mp4 webm mp3 wav "
+    "woff woff2 ttf otf eot rss atom csv doc docx xls xlsx ppt pptx"
 ).split()
 METRIC_RULES = {"noindex": "up_bad", "jsonld_pages": "down_bad", "dup_titles": "up_bad", "sitemap_urls": "shrink20", "pages": "info"}
 REMEASURE_DAYS, STALE_DAYS, MIN_RUNS, MIN_DELTA = 14, 30, 5, 0.10

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .text import col
 
+# Fixed value: how a part of an X-Robots-Tag line names the crawler that it is for.
+SCOPED = r"(?i)^\s*([\w-]+(?:bot|user))\s*:\s*(.*)$"
+
 
 def rules_table(robots: DataFrame, key: str = "site", raw: str = "raw") -> DataFrame:
     """key, grp, agent (lower case), path, allow of each rule; a group without rules has one row with null path."""
@@ -78,13 +81,12 @@ def directives(meta_robots, meta_googlebot, header, ua: str = "googlebot") -> Co
 
     A header line is read segment by segment; `name: value` with a crawler's name (…bot, …user) switches the scope until
     the line ends, and a segment counts if its scope is everyone or the crawler.  none stands for noindex, nofollow."""
-    scoped = r"(?i)^\s*([\w-]+(?:bot|user))\s*:\s*(.*)$"
     words = lambda c: F.split(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"(?U)\s*:\s*", ":"), r"(?U)[,;\s]+")
 
     def walk(acc: Column, segment: Column) -> Column:
-        switch = segment.rlike(scoped)
-        scope = F.when(switch, F.lower(F.regexp_extract(segment, scoped, 1))).otherwise(acc["scope"])
-        value = F.when(switch, F.regexp_extract(segment, scoped, 2)).otherwise(segment)
+        switch = segment.rlike(SCOPED)
+        scope = F.when(switch, F.lower(F.regexp_extract(segment, SCOPED, 1))).otherwise(acc["scope"])
+        value = F.when(switch, F.regexp_extract(segment, SCOPED, 2)).otherwise(segment)
         keep = (scope == "") | (F.lit(ua.lower()) == scope)
         return F.struct(scope.alias("scope"), F.when(keep, F.concat(acc["out"], words(value))).otherwise(acc["out"]).alias("out"))
 
