@@ -11,11 +11,13 @@ surely filled; the few documents where one is not are drawn again up to a later
 Copies (equal word sequences) collapse first.  Signatures are cut into 25 bands of 4; a pair at 0.8 meets in some band
 with probability 1 - 2e-6.  Candidates must agree in 62 of 100 components (a pair at 0.8 falls below that
 once in 10^5) and are then compared exactly, on whole texts.  Links are found in two rounds, so that a group is never
-turned into all its pairs: each member of a bucket with the bucket's most central member (the one that shares most
-buckets), then, for members that are still in different components, all pairs of a bucket of up to 16, and in a larger one,
-dealt into pieces of about 256, each member with the 3 members of other components that agree most with its signature.  Members
-that differ from the centre by the same edits meet again in the smaller buckets of those edits.  On a table whose largest
-groups have thousands of different texts this left about 1 text in 5000 outside its class (figures in the README).
+turned into all its pairs as rows: each member of a bucket with the bucket's most central member (the one that shares most
+buckets), then every pair of a bucket that is still in different components: as rows in buckets of up to 16, and in a
+larger one block by block.  There the members outside the bucket's main component and those inside it are each dealt
+into pieces, and every piece of the former meets every other piece in some task.  A task first compares signatures,
+each pair in the first band that it shares, and sends on only members with a partner that agrees; these are then compared
+exactly.  Nothing is left out at any size: the time for a bucket grows with its members outside the main component times
+all its members, the memory of a task does not grow.
 
 Null texts count as empty.  Texts without a word match only equal texts.  Rows of one doc_id count as one document, a
 null doc_id gets no class.  An empty table gives an empty result.  class_id is the least doc_id of the class.
@@ -37,7 +39,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 4
 COMPONENTS = BANDS * ROWS
 AGREE = 62
-SMALL, PIECE, NEAREST = 16, 256, 3
+SMALL, PIECE, PIECE_CHARS = 16, 1024, 4_000_000
+RARE, COLUMNS = 16, 1024
 BROADCAST_IDS = 2_000_000  # ids (16 MB) that may be sent to every executor; more are joined by shuffle
 _EDGE = re.compile(r"^\W+|\W+$")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -143,7 +146,7 @@ def signatures(s: np.ndarray, count: np.ndarray, doc: np.ndarray, n_docs: int, m
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (128 bits of the word sequence), sig, bands."""
+    """doc_id, k1, k2 (128 bits of the word sequence), size (characters), sig, bands."""
     rows = small_batches(pick(docs, doc_id="long", text="string")).where("doc_id is not null")
 
     def run(batches):
@@ -172,9 +175,9 @@ def sign(docs: DataFrame) -> DataFrame:
                 lens = np.where(n > 0, BANDS, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(bands[has].reshape(-1).view(np.int64)))
                 blobs = pa.array([x.tobytes() for x in sig], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), blobs, lists], names=["doc_id", "k1", "k2", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), pc.cast(pc.utf8_length(pc.fill_null(texts, "")), pa.int32()), blobs, lists], names=["doc_id", "k1", "k2", "size", "sig", "bands"])
 
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, sig binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, size int, sig binary, bands array<long>")
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -191,27 +194,98 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _nearest(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): each member of a large bucket with those of other components whose signatures agree most with its own.
-
-    A bucket is dealt by hash into pieces of about PIECE members, so no task holds a whole large one; all signatures
-    of a piece are compared at once, and no pair leaves it but the NEAREST of each member."""
-    piece = F.pmod(F.xxhash64("rep", "bucket"), F.ceil(F.col("n") / PIECE))
-    rows = members.select("bucket", piece.alias("piece"), "rep", "comp").join(nodes.select("rep", "sig"), "rep")
-
-    def pairs(table: pa.Table) -> pa.Table:
-        rep, comp = (table.column(c).to_numpy() for c in ("rep", "comp"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, COMPONENTS)
-        a, b = [], []
-        for i in range(len(rep)):
-            agree = np.where(comp != comp[i], (sig == sig[i]).sum(axis=1), 0)
-            best = np.argsort(-agree, kind="stable")[:NEAREST]
-            best = rep[best[agree[best] >= AGREE]]
-            a.append(np.minimum(best, rep[i]))
-            b.append(np.maximum(best, rep[i]))
+def _blocks(members: DataFrame) -> DataFrame:
+    """members with i, j and piece: a row for each block (two pieces) of its bucket that a member takes part in.
+
+    Members of the component with most members in the bucket need not meet each other.  The others are dealt into
+    pieces 0 .. po-1, these into po .. po+pm-1; blocks are i < po and j > i.  Pairs inside piece i are compared in the one
+    block with j = po (`inner`)."""
+    held = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+    dims = held.groupBy("bucket").agg(F.max(F.struct("c", (-F.col("comp")).alias("k"), "s")).alias("m"), (F.sum("c") - F.max("c")).alias("others"), F.sum("s").alias("s")).where("others > 0")
+    pieces = lambda c, s: F.greatest(F.ceil(c / PIECE), F.ceil(s / PIECE_CHARS), F.lit(1)).cast("int")
+    dims = dims.select("bucket", (-F.col("m.k")).alias("main"), pieces(F.col("others"), F.col("s") - F.col("m.s")).alias("po"), pieces(F.col("m.c"), F.col("m.s")).alias("pm"))
+    deal = lambda n: F.pmod(F.xxhash64("rep", "bucket"), F.col(n)).cast("int")
+    dealt = members.join(dims, "bucket").withColumn("piece", F.when(F.col("comp") == F.col("main"), F.col("po") + deal("pm")).otherwise(deal("po")))
+    partner = F.sequence(F.lit(0), F.when(F.col("comp") == F.col("main"), F.col("po") - 1).otherwise(F.col("po") + F.col("pm") - 1))
+    met = dealt.withColumn("x", F.explode(partner)).where("x <> piece")
+    return met.select("bucket", "rep", "comp", "piece", F.least("x", "piece").alias("i"), F.greatest("x", "piece").alias("j"), (F.greatest("x", "piece") == F.col("po")).alias("inner"))
+
+
+def _partnered(table: pa.Table) -> pa.Table:
+    """Members of a block with a partner in another component that agrees in AGREE components or more, where this
+    bucket's band is the first that the two share."""
+    comp, piece = (table.column(c).to_numpy() for c in ("comp", "piece"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, COMPONENTS)
+    quads = np.ascontiguousarray(sig).view(np.uint64)
+    bucket, i = np.int64(table.column("bucket")[0].as_py()).view(np.uint64), table.column("i")[0].as_py()
+    with np.errstate(over="ignore"):
+        band = int(np.argmax(mix(quads[0] + np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP) == bucket))
+    left, right = np.flatnonzero(piece == i), np.flatnonzero(piece != i)
+    keep = np.zeros(len(comp), bool)
+    for other in (right, left) if table.column("inner")[0].as_py() else (right,):
+        agree = np.zeros((len(left), len(other)), np.uint8)
+        x, y = np.ascontiguousarray(sig[left].T), np.ascontiguousarray(sig[other].T)
+        for c in range(COMPONENTS):
+            agree += x[c][:, None] == y[c]
+        a, b = np.nonzero((agree >= AGREE) & (comp[left][:, None] != comp[other]))
+        for part in range(0, len(a), 1 << 18):
+            u, v = left[a[part : part + (1 << 18)]], other[b[part : part + (1 << 18)]]
+            here = ~(quads[u, :band] == quads[v, :band]).any(axis=1)
+            keep[u[here]] = keep[v[here]] = True
+    return table.select(["bucket", "i", "j", "rep", "comp"]).filter(pa.array(keep))
+
+
+def common(s: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """n x n, above the diagonal: the size of the multiset intersection of the shingles of each two texts."""
+    n = len(begin) - 1
+    doc = np.repeat(np.arange(n), np.diff(begin))
+    first = np.ones(len(s), bool)
+    first[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(first)
+    copy = np.arange(len(s)) - np.repeat(at, np.diff(np.append(at, len(s))))
+    with np.errstate(over="ignore"):  # the k-th copy of a shingle is an element of its own
+        _, column, often = np.unique(mix(s + copy.astype(np.uint64) * _STEP), return_inverse=True, return_counts=True)
+    out = np.zeros((n, n), np.float32)  # whole numbers, exact up to 2^24
+    dense = np.flatnonzero(often > RARE)
+    number = np.full(len(often), -1)
+    number[dense] = np.arange(len(dense))
+    number = number[column]
+    for c in range(0, len(dense), COLUMNS):
+        at = np.flatnonzero((number >= c) & (number < c + COLUMNS))
+        has = np.zeros((n, min(COLUMNS, len(dense) - c)), np.float32)
+        has[doc[at], number[at] - c] = 1
+        out += has @ has.T
+    at = np.flatnonzero((often[column] > 1) & (number < 0))
+    at = at[np.argsort(column[at], kind="stable")]
+    for step in range(1, RARE):
+        same = np.flatnonzero(column[at[step:]] == column[at[:-step]])
+        np.add.at(out, (doc[at[same]], doc[at[same + step]]), 1)
+    return out
+
+
+def _block_links(kept: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between components that connect all that the exact comparison of each block connects."""
+
+    def links(table: pa.Table) -> pa.Table:
+        comp = table.column("comp").to_numpy()
+        s, begin = shingles(*word_hashes(table.column("text").combine_chunks()))
+        both, weight = common(s, begin).astype(np.float64), np.diff(begin)
+        near = np.triu(both / (weight[:, None] + weight - both) >= similarity, 1) & (comp[:, None] != comp)
+        near |= near.T
+        todo, a, b = np.ones(len(comp), bool), [], []
+        for start in range(len(comp)):
+            ahead = [start] if todo[start] else []
+            todo[start] = False
+            while ahead:
+                u = ahead.pop()
+                new = np.flatnonzero(near[u] & todo)
+                todo[new] = False
+                ahead += new.tolist()
+                a.append(np.minimum(comp[u], comp[new]))
+                b.append(np.maximum(comp[u], comp[new]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return rows.groupBy("bucket", "piece").applyInArrow(pairs, "a long, b long").distinct()
+    return kept.join(texts, "rep").select("bucket", "i", "j", "comp", "text").groupBy("bucket", "i", "j").applyInArrow(links, "a long, b long")
 
 
 def overlap(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
@@ -277,7 +351,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, scratch: Scratch |
     signed = scratch.table("signed", sign(docs))
     reps = scratch.table("reps", signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
     own = signed.join(reps.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")))
-    nodes = scratch.table("nodes", own.select("rep", "sig", "bands"))
+    nodes = scratch.table("nodes", own.select("rep", "size", "sig", "bands"))
     members_of = scratch.table("member", signed.select("doc_id", "k1", "k2"))
     scratch.drop("signed")
 
@@ -299,14 +373,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, scratch: Scratch |
     small = comp.where(F.col("n") <= SMALL)
     left, right = small.select("bucket", F.col("rep").alias("a"), F.col("comp").alias("ca")), small.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("cb"))
     every = left.join(right, "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
-    second = _agreeing(every, nodes).union(_nearest(comp.where(F.col("n") > SMALL), nodes)).distinct()
-    second = scratch.table("second", second)
+    second = scratch.table("second", _agreeing(every, nodes))
     more = _verified(second, texts, similarity)
+    large = comp.where(F.col("n") > SMALL).select("bucket", "rep", "comp").join(nodes.select("rep", "size"), "rep")
+    met = _blocks(large).join(nodes.select("rep", "sig"), "rep").select("bucket", "i", "j", "piece", "inner", "rep", "comp", "sig")
+    kept = scratch.table("kept", met.groupBy("bucket", "i", "j").applyInArrow(_partnered, "bucket long, i int, j int, rep long, comp long"))
     named = joined.select(F.col("node"), "comp")
     lifted = more.join(named.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(named.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-    lifted = lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    lifted = lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").union(_block_links(kept, texts, similarity)).distinct()
     lifted = scratch.table("linked-2", lifted)
-    scratch.drop("texts", "dealt", "nodes", "held", "buckets")
+    scratch.drop("texts", "dealt", "kept", "nodes", "held", "buckets")
     top = components(lifted, scratch, "comp-2")
 
     told = members_of.join(reps, ["k1", "k2"]).select("doc_id", "rep")

@@ -69,6 +69,47 @@ def test_large_group(spark):
     assert got == plain_classes(rows)
 
 
+def crowded(rng, n_pairs, base_words=100):
+    """A text, and pairs of near-duplicates that are each below 0.8 to it and to all other pairs; large buckets, small classes."""
+    base = prose(rng, base_words).split(" ")
+    rows = [" ".join(base)]
+    for p in range(n_pairs):
+        words = list(base)
+        for at in rng.sample(range(0, base_words, 5), 6):
+            words[at] = f"pair{p}at{at}"
+        rows += [" ".join(words), " ".join(words[:-1] + [f"end{p}"])]
+    return rows
+
+
+def test_pairs_inside_large_buckets(spark):
+    """Classes are pairs far from the centre."""
+    rows = crowded(random.Random(12), 300)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, rows)).collect()}
+    want = {0: 0} | {i: i - (i + 1) % 2 for i in range(1, len(rows))}
+    assert got == want
+
+
+def test_pieces_that_all_meet(spark, monkeypatch):
+    """A group of many pieces, by count and by characters, with a main component and classes outside it."""
+    rng = random.Random(13)
+    base = prose(rng, 150)
+    rows = [base] + [edited(rng, base, rng.randint(1, 12)) for _ in range(150)]
+    for piece, chars in ((7, 10**9), (10**6, 9000)):
+        monkeypatch.setattr(neardup, "PIECE", piece)
+        monkeypatch.setattr(neardup, "PIECE_CHARS", chars)
+        got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, rows)).collect()}
+        assert got == plain_classes(rows)
+
+
+def test_common_is_the_multiset_intersection():
+    rng = random.Random(14)
+    base = prose(rng, 60)
+    rows = [edited(rng, base, k % 9) for k in range(40)] + ["a b c d e f a b c d e", "a b c d e f a b c d e f a b c d e", "x"] * 3
+    got = neardup.common(*neardup.shingles(*neardup.word_hashes(pa.array(rows))))
+    sets = [multiset(t) for t in rows]
+    assert all(got[i, j] == sum((sets[i] & sets[j]).values()) for j in range(len(rows)) for i in range(j))
+
+
 def test_keep_one(spark):
     rows = corpus()
     docs = frame(spark, rows)
