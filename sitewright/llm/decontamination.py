@@ -7,7 +7,8 @@ are then compared exactly: weighted Jaccard of the shingle multisets, 0.8 or mor
 
 A window without any shingle of an item has similarity 0, so only windows that hold one are fingerprinted:
 a document's shingle hashes are tested against the set of item hashes inside the row, and each hit places windows at
-the item's own alignment.  The item set is taken in chunks of at most ``CHUNK`` hashes (the bound of what is sent
+the item's own alignment.  A window that would reach over the document's start or end is slid back inside; a document
+shorter than the item is one window of its own length, compared with items of the length that placed it.  The item set is taken in chunks of at most ``CHUNK`` hashes (the bound of what is sent
 to the executors); further chunks are further passes.  Documents are never shuffled, only windows are.
 
 Null and empty texts, and items under five words, have no shingle and match nothing.  A pair (doc_id, item_id)
@@ -60,7 +61,7 @@ def _hits(text: str, chunk: list[int], longest: int) -> Column:
     def inside(w: Column) -> Column:
         place = lambda s: F.filter(F.transform(s, lambda h, i: F.when(h.isin(chunk), F.struct(i.alias("doc_at"), h.alias("h")))), lambda x: x.isNotNull())
         near = lambda x: F.struct(
-            x["doc_at"].alias("doc_at"), x["h"].alias("h"), F.greatest(F.lit(0), x["doc_at"] - longest).alias("from"),
+            x["doc_at"].alias("doc_at"), x["h"].alias("h"), F.size(w).alias("size"), F.greatest(F.lit(0), x["doc_at"] - longest).alias("from"),
             F.slice(w, F.greatest(F.lit(0), x["doc_at"] - longest) + 1, 2 * longest + WORDS).alias("near"))
         return F.transform(let(shingle_hashes(w), place), near)
 
@@ -92,9 +93,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     hits = reduce(DataFrame.unionByName, found).where("x is not null").select("doc_id", "x.*")
     hits = scratch.table("hits", hits.join(places, "h"))
 
-    start = F.col("doc_at") - F.col("at")
-    whole = (start >= F.col("from")) & (start - F.col("from") + F.col("len") <= F.size("near"))
-    windows = hits.where(whole).select("doc_id", start.alias("start"), "len", F.slice("near", (start - F.col("from") + 1).cast("int"), F.col("len")).alias("words"))
+    # slid back inside the document; one shorter than the item is a single window, under the item's length
+    start = F.greatest(F.lit(0), F.least(F.col("doc_at") - F.col("at"), F.col("size") - F.col("len")))
+    windows = hits.select("doc_id", start.alias("start"), "len", F.slice("near", (start - F.col("from") + 1).cast("int"), F.least("len", "size")).alias("words"))
     windows = windows.select("doc_id", "start", "len", shingle_hashes(F.col("words")).alias("w")).dropDuplicates(["doc_id", "start", "len", "w"])
     windows = scratch.table("windows", windows.withColumn("wfp", simhash(F.col("w"))))
 

@@ -177,6 +177,23 @@ def test_leaks(spark, texts):
     assert decontamination.find_leaks(docs.limit(0), bench).count() == 0 and decontamination.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_at_the_edges(spark):
+    """Items cut at an edge of the document, and items shortened to a whole document."""
+    rng = random.Random(9)
+    items = [prose(rng, n) for n in (30, 45, 59)]
+    rows, want = [], set()
+    for k, item in enumerate(items):
+        words, other = item.split(), prose(rng, 80)
+        short = [words[1:], words[:-1], words[2:], words[:-2]]
+        for doc in [" ".join(x) for x in short] + [" ".join(x) + " " + other for x in short[::2]] + [other + " " + " ".join(x) for x in short[1::2]]:
+            want.add((len(rows), k))
+            rows.append(doc)
+        rows.append(" ".join(words[len(words) // 2 :]) + " " + other)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontamination.find_leaks(frame(spark, rows), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
 def test_more_items_than_one_pass_takes(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "CHUNK", 20)
     rng = random.Random(6)
