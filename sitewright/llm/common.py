@@ -19,19 +19,26 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session.  Where it is unset, a run on one machine gets a temporary folder and a
+    cluster an error, since its executors would each write to a disk of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sitewright-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; a lost executor rereads them, nothing is recomputed."""
+    """Tables written to the shared folder to cut lineage; a lost executor rereads them, nothing is recomputed.  The
+    folder goes when the application ends, unless it holds a result (`keep`)."""
 
-    def __init__(self, spark: SparkSession, tag: str):
+    def __init__(self, spark: SparkSession, tag: str, keep: bool = False):
         self.spark, self.root = spark, f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+        if not keep:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

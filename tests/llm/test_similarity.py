@@ -157,9 +157,10 @@ def plain_leaks(rows, items):
         words = cut(t)
         for k, item in enumerate(items):
             want, n = grams(cut(item)), len(cut(item))
-            for s in range(len(words) - n + 1) if n >= 5 else ():
-                common = sum((grams(words[s : s + n]) & want).values())
-                out[i, k] = max(out.get((i, k), 0), common / (2 * (n - 4) - common))
+            m = min(n, len(words))
+            for s in range(len(words) - m + 1) if n >= 5 and m >= 5 else ():
+                common = sum((grams(words[s : s + m]) & want).values())
+                out[i, k] = max(out.get((i, k), 0), common / (n - 4 + m - 4 - common))
     return {p for p, v in out.items() if v >= 0.8}
 
 
@@ -194,8 +195,7 @@ def test_leaks_at_the_edges(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == want
 
 
-def test_more_items_than_one_pass_takes(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "CHUNK", 20)
+def test_several_items_in_one_text(spark):
     rng = random.Random(6)
     items = [prose(rng, 20) for _ in range(6)]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
@@ -208,3 +208,45 @@ def test_blocks_miss_nothing_inside_the_radius(spark):
     masks = [sum(1 << b for b in rng.sample(range(64), k)) for k in (0, 5, 15, decontamination.RADIUS) for _ in range(50)]
     near = [any(bin(m >> 8 * b & 255).count("1") <= decontamination.FLIPS for b in range(decontamination.BLOCKS)) for m in masks]
     assert all(near)
+
+
+def test_leaks_cut_swapped_and_spliced(spark):
+    """Random damage to items, alone and inside other text, against brute force over all windows."""
+    rng = random.Random(21)
+    items = [prose(rng, n) for n in (9, 15, 31, 45, 59, 80)] + [prose(rng, 30) * 2]
+    rows = []
+    for _ in range(160):
+        words = rng.choice(items).split()
+        for _ in range(rng.randint(1, 3)):
+            at, n = rng.randrange(len(words)), rng.randint(1, 4)
+            words = rng.choice([
+                words[at:] + words[:at], words[n:], words[:-n], words[:at] + words[at + n :], words[:at] + prose(rng, n).split() + words[at:],
+                words[:at] + ["other"] + words[at + 1 :], words + words[:at]]) or ["none"]
+        before, after = ("", prose(rng, rng.randint(1, 60)), prose(rng, 3))[rng.randrange(3)], ("", prose(rng, rng.randint(1, 60)), prose(rng, 2))[rng.randrange(3)]
+        rows.append(f"{before} {' '.join(words)} {after}".strip())
+    rows += [" ".join(items), items[5].split(" ", 40)[-1] + " " + " ".join(items[5].split()[:40]), items[0], None, ""]
+    docs = frame(spark, rows)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = plain_leaks(rows, items)
+    assert len(want) > 60
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, bench).collect()} == want
+    twice = decontamination.find_leaks(docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long"))), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in twice if r["doc_id"] is not None} == want and {r["item_id"] for r in twice if r["doc_id"] is None} == {k for _, k in want}
+
+
+def test_very_long_text(spark):
+    rng = random.Random(22)
+    item = prose(rng, 40)
+    rows = [prose(rng, 20_000) + " " + item + " " + prose(rng, 20_000), (item + " ") * 300]
+    got = decontamination.find_leaks(frame(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {0, 1}
+
+
+def test_crowded_filter_loses_nothing(spark, monkeypatch):
+    """So many hashes a bit that most of the text passes the filter."""
+    monkeypatch.setattr(decontamination, "FILTER_BITS", 7)
+    rng = random.Random(23)
+    items = [prose(rng, 20) for _ in range(30)]
+    rows = [prose(rng, 100) for _ in range(5)] + [items[3] + " " + prose(rng, 50), items[7]]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(frame(spark, rows), bench).collect()} == {(5, 3), (6, 7)}
