@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+LABELS = 10_000  # values of a label or language that a model may tell apart
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -106,9 +109,15 @@ def scan(values: Column, op, start: Column, block: int = 256) -> Column:
     return F.when(F.size(values) > 0, let(values, whole)).otherwise(F.slice(F.array(start), 1, 0))
 
 
-def class_sample(rows: DataFrame, label: str, key: Column, per_class: int) -> DataFrame:
-    """About per_class rows of each label, chosen by a hash of key: each label keeps the share of its hash range
-    that its row count asks for, so the sample's size has a bound and no row is moved to find it."""
-    counts = rows.groupBy(label).count().withColumnRenamed("count", "_n")
-    unit = (F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    return rows.withColumn("_u", unit).join(F.broadcast(counts), label).where(F.col("_u") < F.lit(float(per_class)) / F.col("_n")).drop("_u", "_n")
+def place(key: Column) -> Column:
+    """Where a key's hash lies in [0, 1)."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def class_shares(keys: DataFrame, label: str, per_class: int) -> DataFrame:
+    """label, _share: the share of the hash range that holds about per_class of a label's distinct keys.  A table of as many rows
+    as there are labels, for all executors: more than ``LABELS`` are refused."""
+    counts = keys.groupBy(label).count().limit(LABELS + 1).collect()
+    if len(counts) > LABELS:
+        raise ValueError(f"more than {LABELS} values of {label}")
+    return keys.sparkSession.createDataFrame([(r[label], per_class / r["count"]) for r in counts], keys.select(label).schema.add("_share", "double"))

@@ -5,28 +5,35 @@ document's own most frequent n-grams are compared to each profile: the out-of-pl
 far apart its two ranks are, and the profile's length where the profile lacks it.  The nearest profile wins,
 ties go to the language first in alphabet; the score is the gap to the second nearest in parts of that distance.
 
-Profiles are learned from at most about ``PER_LANGUAGE`` rows of each language, chosen by a hash of the id (a
-documented bound).  A null text, or one without a letter, is ``und`` with score 0, as is every text if no language is
-known.  With one known language that language wins with score 1.  Repeated rows are judged alike.
+Profiles are learned from about ``PER_LANGUAGE`` texts of each language, chosen by a hash of id and text (a documented
+bound; the counts are made by the executors, so that repeated rows cost time and not memory).  A letter is a character of
+Unicode category L.  A null text, or one without a letter, is ``und`` with score 0, as is every text if no language is known.
+With one known language that language wins with score 1.  Repeated rows are judged alike, texts of any length are taken
+whole, other columns are left out, whatever their names; an empty table gives an empty result.  More than
+``common.LABELS`` languages are refused.
 """
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import class_sample, fold, pick, small_batches
+from .common import class_shares, fold, pick, place, small_batches
 
 PROFILE, PER_LANGUAGE, FOLDS, HELD = 400, 2000, 4, 2
-_LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def grams(text: str) -> np.ndarray:
+def letter_runs():
+    """Finds the runs of letters (category L) of a text."""
+    import regex
+
+    return regex.compile(r"\p{L}+").findall
+
+
+def grams(text: str, runs=letter_runs()) -> np.ndarray:
     """Codes of all n-grams: three letters of 21 bits, blank is 32."""
-    framed = " ".join(_LETTERS.findall(text.lower()))
+    framed = " ".join(runs(text.lower()))
     if not framed:
         return np.empty(0, np.int64)
     c = np.frombuffer(f" {framed} ".encode("utf-32-le"), "<u4").astype(np.int64)
@@ -46,7 +53,7 @@ def ranked(text: str, most: int = PROFILE) -> np.ndarray:
 
 class Profiles:
     def __init__(self, ordered: dict[str, list[int]]):
-        self.languages = sorted(ordered)
+        self.ordered, self.languages = ordered, sorted(ordered)
         self.sorted, self.rank = [], []
         for lang in self.languages:
             codes = np.array(ordered[lang], np.int64)
@@ -76,7 +83,9 @@ class Profiles:
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = FOLDS, held: int = HELD) -> Profiles:
     rows = pick(docs, doc_id="long", text="string", lang="string").where((fold("doc_id", folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = class_sample(rows, "lang", F.coalesce(F.col("doc_id"), F.lit(0)), per_language).select("lang", "text")
+    key = F.xxhash64("doc_id", "text")
+    shares = class_shares(rows.select("lang", key.alias("key")).distinct(), "lang", per_language)
+    chosen = rows.join(F.broadcast(shares), "lang").where(place(key) < F.col("_share")).select("lang", "text")
 
     def count(batches):
         totals: dict[str, list[np.ndarray]] = {}
@@ -98,11 +107,11 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = FOLDS,
 
 def identify(docs: DataFrame, profiles: Profiles, folds: int = FOLDS, held: int = HELD) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # PROFILE codes a language
+    shared = docs.sparkSession.sparkContext.broadcast(profiles.ordered)  # PROFILE codes a language, plain values
     rows = small_batches(pick(docs, doc_id="long", text="string"))
 
     def run(batches):
-        p = shared.value
+        p = Profiles(shared.value)
         for batch in batches:
             found = [p.predict(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])

@@ -4,10 +4,12 @@ Each n-gram (1 to 4 bytes, hashed to 2^18 bins) counts once a document; indicato
 of the classes' smoothed document shares, a linear hinge-loss model is fitted on them by dual coordinate descent, and
 its margin becomes a probability by a logistic curve fitted on rows that the model did not see.
 
-The fit takes at most about ``PER_CLASS`` labelled rows of each class, chosen by a hash of the id (a documented bound;
-scoring covers all rows).  Nulls score as empty texts, an empty text has no n-gram and gets the curve's value at its
-own margin.  Without labels of both classes every score is the share of label 1 (0.5 without any label).  Repeated
-rows score alike, several labels of one id count as rows of their own, an empty table gives an empty result.
+The fit takes at most about ``PER_CLASS`` labelled ids of each class, in the order of a hash of the id and as far as their
+texts fit into ``TRAIN_BYTES`` (documented bounds of what the driver holds; scoring covers all rows).  Nulls score as empty
+texts, an empty text has no n-gram and gets the curve's value at its own margin.  Without labels of both classes every score
+is the share of label 1 (0.5 without any label).  Repeated rows score alike and are learned from once; of an id with several
+texts one is learned from, an id with both labels counts in both classes.  Texts of any length are taken whole.  Other columns
+are kept (``keep_good``) or left out (``score``), whatever their names.  An empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -16,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import class_sample, fold, pick, small_batches, trim
+from .common import class_shares, fold, pick, place, small_batches, trim
 
 BITS, ORDERS, PER_CLASS, FOLDS = 18, 4, 3000, 5
+TRAIN_BYTES = 64 << 20  # of the texts of one fit
 KEEP = 0.3
 
 
@@ -82,6 +85,10 @@ class Model:
     def __init__(self, weights: np.ndarray | None, bias: float, slope: float, offset: float):
         self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
 
+    def state(self) -> tuple:
+        """Plain values: what is broadcast names no class, so that workers need no copy of the package."""
+        return self.weights, self.bias, self.slope, self.offset
+
     def score(self, text: str | None) -> float:
         m = 0.0 if self.weights is None else margin(features(text or ""), self.weights, self.bias)
         return float(1 / (1 + np.exp(-np.clip(self.slope * m + self.offset, -30, 30))))
@@ -109,16 +116,30 @@ def fit_rows(texts: list[str], labels: np.ndarray, share: float) -> Model:
     return Model(*train(np.arange(len(rows))), slope, offset)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels of at most about per_class rows a class whose fold is not 0, and the share of label 1."""
-    known = pick(labels, **{"doc_id": "long", label: "int"}).where(F.col(label).isin(0, 1) & (fold("doc_id", folds) != 0))
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int, most_bytes: int = TRAIN_BYTES) -> tuple[list[str], np.ndarray, float]:
+    """Texts and labels of at most about per_class ids a class whose fold is not 0, with at most most_bytes of text (half for
+    each class, and at least one text), and the share of label 1 among the labelled ids."""
+    known = pick(labels, **{"doc_id": "long", label: "int"}).where(F.col(label).isin(0, 1) & (fold("doc_id", folds) != 0)).distinct()
     counts = {r[label]: r["count"] for r in known.groupBy(label).count().collect()}
     if not counts:
         return [], np.empty(0), 0.5
-    chosen = class_sample(known, label, F.concat(F.lit(label), F.col("doc_id").cast("string")), per_class)
-    rows = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")  # at most about 2 x per_class ids
-    got = sorted((r["doc_id"], r["text"], r[label]) for r in rows.select("doc_id", label, F.coalesce("text", F.lit("")).alias("text")).collect())
-    return [t for _, t, _ in got], np.array([float(y) for _, _, y in got]), counts.get(1, 0) / sum(counts.values())
+    at = place(F.concat(F.lit(label), F.col(label).cast("string"), F.col("doc_id").cast("string")))
+    shares = class_shares(known, label, per_class)
+    chosen = known.withColumn("_u", at).join(F.broadcast(shares), label).where("_u < _share").select("doc_id", label, "_u")  # at most about 2 x per_class ids
+    rows = pick(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text"))
+    sized = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", label).agg(F.min(F.struct("h", F.octet_length("text").alias("n"))).alias("t"), F.first("_u").alias("u")).collect()
+    taken, used, full = [], dict.fromkeys(counts, 0), set()
+    for r in sorted(sized, key=lambda r: (r["u"], r["doc_id"])):
+        y = r[label]
+        if used[y] and used[y] + r["t"]["n"] > most_bytes / 2:
+            full.add(y)
+        if y not in full:
+            used[y] += r["t"]["n"]
+            taken.append((r["doc_id"], y, r["t"]["h"]))
+    wanted = docs.sparkSession.createDataFrame(taken, f"doc_id long, {label} int, h long")
+    got = rows.join(F.broadcast(wanted), ["doc_id", "h"]).dropDuplicates(["doc_id", label]).select("doc_id", "text", label).collect()
+    got.sort(key=lambda r: (r["doc_id"], r[label]))
+    return [r["text"] for r in got], np.array([float(r[label]) for r in got]), counts.get(1, 0) / sum(counts.values())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, folds: int = FOLDS) -> Model:
@@ -132,11 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 
 def score(docs: DataFrame, model: Model, keep: float = KEEP, folds: int = FOLDS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^18 weights, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())  # 2^18 weights, whatever the input
     rows = small_batches(pick(docs, doc_id="long", text="string"))
 
     def run(batches):
-        m = shared.value
+        m = Model(*shared.value)
         for batch in batches:
             s = pa.array([m.score(t.as_py()) for t in batch.column("text")], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), s], names=["doc_id", "score"])
@@ -147,10 +168,10 @@ def score(docs: DataFrame, model: Model, keep: float = KEEP, folds: int = FOLDS)
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, per_class: int = PER_CLASS) -> DataFrame:
     """docs without the rows that score below `keep`; all columns are kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class=per_class))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class=per_class).state())
 
     def run(batches):
-        m = shared.value
+        m = Model(*shared.value)
         for batch in batches:
             good = pa.array([m.score(t.as_py()) >= keep for t in batch.column("text")], pa.bool_())
             yield batch.filter(good)

@@ -4,11 +4,12 @@ A document is a bag of sentences.  A sentence's probability is logistic in the c
 document's is the noisy-or of its sentences and of a small leak; the weights are trained from document labels alone,
 and the sentences with a probability of a half or more are the located ones.
 
-Telling words are those whose document share differs between the labels by ``MIN_Z`` standard errors, at most
-``VOCABULARY``; a sentence without any has probability 0.  The fit takes at most about ``PER_CLASS`` labelled rows of
-each class, chosen by a hash of the id (a documented bound).  Nulls score as empty texts, which get the leak alone;
-without labels of both classes every score is the share of label 1 (0.5 without any).  Texts of any length are
-taken whole, repeated rows score alike, an empty table gives an empty result.
+Telling words are all whose document share differs between the labels by ``MIN_Z`` standard errors and that ``MIN_DOCS``
+documents hold: with thousands of words to choose from, weaker ones are chance.  A sentence without any has probability 0.
+The fit takes at most about ``PER_CLASS`` labelled ids of each class within the bytes that ``quality.training_sample`` allows
+(documented bounds of what the driver holds).  Nulls score as empty texts, which get the leak alone; without labels of both
+classes every score is the share of label 1 (0.5 without any).  Texts of any length are taken whole, repeated rows score alike
+and are learned from once, other columns are left out, whatever their names; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -24,7 +25,7 @@ from .common import fold, pick, small_batches
 from .quality import FOLDS, training_sample
 from .units import slices
 
-PER_CLASS, VOCABULARY, MIN_Z, MIN_DOCS = 4000, 1000, 4.0, 5
+PER_CLASS, MIN_Z, MIN_DOCS = 4000, 4.0, 5
 SENTENCE_END = r"[.!?]+(?:\s+|$)|\n+"
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -47,6 +48,10 @@ class Model:
     def __init__(self, weight: dict[str, float], bias: float, leak: float):
         self.weight, self.bias, self.leak = weight, bias, leak
 
+    def state(self) -> tuple:
+        """Plain values, to be broadcast."""
+        return self.weight, self.bias, self.leak
+
     def sentences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The sentences with a telling word: number, probability, and the text they belong to."""
         words, index, word_at, sentence_at = bags(texts)
@@ -59,22 +64,33 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         _, p, text = self.sentences(texts)
-        none = np.bincount(text, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts)) if len(p) else np.zeros(len(texts))
+        return self.combined(p, text, len(texts))
+
+    def combined(self, p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+        """The noisy-or of each text's sentences and the leak."""
+        none = np.bincount(text, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n) if len(p) else np.zeros(n)
         return 1 - (1 - self.leak) * np.exp(none)
 
 
-def noisy_or(sentence: np.ndarray, word: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray, n_words: int, rounds: int = 400, penalty: float = 2e-3) -> tuple[np.ndarray, float]:
+def likelihood(theta: np.ndarray, sentence: np.ndarray, word: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean weighted log likelihood of bag labels under the noisy-or, and its gradient; theta ends with the bias."""
+    z = theta[-1] + np.bincount(sentence, weights=theta[word], minlength=len(bag))
+    p = np.minimum(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 - 1e-9)
+    log_none = np.bincount(bag, weights=np.log1p(-p), minlength=len(y))
+    none, total = np.exp(log_none), weight.sum()
+    value = np.where(y > 0, np.log(np.maximum(1 - none, 1e-12)), log_none)
+    pull = np.where(y > 0, none / np.maximum(1 - none, 1e-6), -1.0) * weight
+    dz = pull[bag] * p / total
+    return float((weight * value).sum() / total), np.append(np.bincount(word, weights=dz[sentence], minlength=len(theta) - 1), dz.sum())
+
+
+def noisy_or(sentence: np.ndarray, word: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray, n_words: int, rounds: int = 400, penalty: float = 2e-5) -> tuple[np.ndarray, float]:
     """Maximises the weighted likelihood of bag labels; (sentence, word) are the telling words, bag of each sentence."""
     theta = np.append(np.full(n_words, 0.1), -2.0)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    n_bags, total = len(y), weight.sum()
     for step in range(1, rounds + 1):
-        z = theta[-1] + np.bincount(sentence, weights=theta[word], minlength=len(bag))
-        p = np.minimum(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 - 1e-9)
-        none = np.exp(np.bincount(bag, weights=np.log1p(-p), minlength=n_bags))
-        pull = np.where(y > 0, none / np.maximum(1 - none, 1e-6), -1.0) * weight
-        dz = pull[bag] * p / total
-        gradient = np.append(np.bincount(word, weights=dz[sentence], minlength=n_words) - penalty / 100 * theta[:-1], dz.sum())
+        gradient = likelihood(theta, sentence, word, bag, y, weight)[1]
+        gradient[:-1] -= penalty * theta[:-1]
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         theta += 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
     return theta[:-1], float(theta[-1])
@@ -93,7 +109,7 @@ def fit_rows(texts: list[str], labels: np.ndarray, share: float) -> Model:
     pooled = (hits[0] + hits[1]) / len(texts)
     z = (hits[0] / n1 - hits[1] / n0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n1 + 1 / n0))
     able = (hits[0] + hits[1] >= MIN_DOCS) & (np.abs(z) >= MIN_Z) & (np.array([len(w) for w in words]) > 0)
-    telling = np.flatnonzero(able)[np.argsort(-np.abs(z[able]), kind="stable")[:VOCABULARY]]
+    telling = np.flatnonzero(able)[np.argsort(-np.abs(z[able]), kind="stable")]
     weight = np.where(up, share / up.mean(), (1 - share) / (~up).mean())
     if not len(telling):
         return Model({}, 0.0, share)
@@ -114,16 +130,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: i
 
 def score(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
     """doc_id, held_out, score, predicted, n_sentences (those located) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY words
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())  # the telling words of a bounded sample
     rows = small_batches(pick(docs, doc_id="long", text="string"))
 
     def run(batches):
-        m = shared.value
+        m = Model(*shared.value)
         for batch in batches:
             for part in slices(batch, "text"):
                 _, p, text = m.sentences(part.column("text"))
                 n = np.bincount(text[p >= 0.5], minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(m.scores(part.column("text"))), pa.array(n)], names=["doc_id", "score", "n_sentences"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(m.combined(p, text, part.num_rows)), pa.array(n)], names=["doc_id", "score", "n_sentences"])
 
     scored = rows.mapInArrow(run, "doc_id long, score double, n_sentences long")
     return scored.select("doc_id", (fold("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_sentences")
@@ -131,11 +147,11 @@ def score(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
 
 def locate(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, sentence (its text), probability of each offending sentence."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())
     rows = small_batches(pick(docs, doc_id="long", text="string"))
 
     def run(batches):
-        m = shared.value
+        m = Model(*shared.value)
         for batch in batches:
             for part in slices(batch, "text"):
                 number, p, text = m.sentences(part.column("text"))
