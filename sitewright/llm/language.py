@@ -14,6 +14,8 @@ whole, other columns are left out, whatever their names; an empty table gives an
 """
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,10 +27,9 @@ PROFILE, PER_LANGUAGE, FOLDS, HELD = 400, 2000, 4, 2
 
 
 def letter_runs():
-    """Finds the runs of letters (category L) of a text."""
-    import regex
-
-    return regex.compile(r"\p{L}+").findall
+    """Finds the runs of letters (category L) of a text: word characters without digits, marks that join, and number signs."""
+    signs = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[^\W\d_{re.escape(signs)}]+").findall
 
 
 def grams(text: str, runs=letter_runs()) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, pick, small_batches
+from .common import fold, pick, small_batches, trim
 from .quality import FOLDS, training_sample
 from .units import slices
 
@@ -38,8 +38,8 @@ def bags(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray
     coded = words.flatten().dictionary_encode()
     plain = [_EDGE.sub("", w).lower() for w in coded.dictionary.to_pylist()]
     number: dict[str, int] = {}
-    merge = np.array([number.setdefault(w, len(number)) for w in plain], np.int64)
-    index = merge[coded.indices.to_numpy(zero_copy_only=False)] if len(merge) else np.empty(0, np.int64)
+    merge = np.array([number.setdefault(w, len(number)) for w in plain], np.int32)
+    index = merge[coded.indices.to_numpy(zero_copy_only=False)] if len(merge) else np.empty(0, np.int32)
     offsets = [x.offsets.to_numpy().astype(np.int64) for x in (words, sentences)]
     return list(number), index, offsets[0] - offsets[0][0], offsets[1] - offsets[1][0]
 
@@ -100,9 +100,9 @@ def fit_rows(texts: list[str], labels: np.ndarray, share: float) -> Model:
     if len(set(labels.tolist())) < 2:
         return Model({}, 0.0, share)
     words, index, word_at, sentence_at = bags(pa.array(texts, pa.string()))
-    sentence_of = np.repeat(np.arange(len(word_at) - 1), np.diff(word_at))
-    text_of = np.repeat(np.arange(len(texts)), np.diff(sentence_at))
-    seen = np.unique(text_of[sentence_of] * len(words) + index)  # a word counts once a document
+    sentence_of = np.repeat(np.arange(len(word_at) - 1, dtype=np.int32), np.diff(word_at))
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(sentence_at))
+    seen = np.unique(text_of[sentence_of].astype(np.int64) * len(words) + index)  # a word counts once a document
     up = labels > 0
     hits = [np.bincount(seen[m] % len(words), minlength=len(words)) for m in (up[seen // len(words)], ~up[seen // len(words)])]
     n1, n0 = up.sum(), (~up).sum()
@@ -125,7 +125,9 @@ def fit_rows(texts: list[str], labels: np.ndarray, share: float) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = FOLDS) -> Model:
-    return fit_rows(*training_sample(docs, labels, "toxic", per_class, folds))
+    model = fit_rows(*training_sample(docs, labels, "toxic", per_class, folds))
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
