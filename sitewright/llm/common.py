@@ -21,6 +21,14 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[(F.col(c) if c.lower() in have else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 
+def unlike(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def shared_root(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session.  Where it is unset, a run on one machine gets a temporary folder and a
     cluster an error, since its executors would each write to a disk of their own."""

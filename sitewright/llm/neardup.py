@@ -19,8 +19,14 @@ each pair in the first band that it shares, and sends on only members with a par
 exactly.  Nothing is left out at any size: the time for a bucket grows with its members outside the main component times
 all its members, the memory of a task does not grow.
 
-Null texts count as empty.  Texts without a word match only equal texts.  Rows of one doc_id count as one document, a
-null doc_id gets no class.  An empty table gives an empty result.  class_id is the least doc_id of the class.
+Hot keys are dealt: the rows of a text, a centre or a component that has more than ``DEALT`` of them (``DEALT_TEXTS`` where
+they carry texts) go to several tasks, and the one row that they all need is copied to each.
+
+Null texts count as empty.  Texts without a word match only equal texts, texts of any length are taken whole.  Repeated rows are
+in one class; rows of one doc_id with unlike texts are judged by their own texts.  class_id is the least doc_id of the class
+that has one text only, or, in a class that has none, a number from 2^62 on that follows from the text.  A null doc_id gets
+no class (null).  Other columns of the input are kept by ``keep_one``, whatever their names, and left out by ``classes``.  An
+empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -29,10 +35,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, small_batches
+from .common import Scratch, pick, small_batches, unlike
 from .units import ranges, slices
 
 WORDS, SIMILARITY = 5, 0.8
@@ -41,7 +47,9 @@ COMPONENTS = BANDS * ROWS
 AGREE = 62
 SMALL, PIECE, PIECE_CHARS = 16, 1024, 4_000_000
 RARE, COLUMNS = 16, 1024
-BROADCAST_IDS = 2_000_000  # ids (16 MB) that may be sent to every executor; more are joined by shuffle
+BROADCAST_IDS = 2_000_000  # ids (at most 32 MB) that may be sent to every executor; more are joined by shuffle
+DEALT, DEALT_TEXTS = 200_000, 4096  # rows of one key that one task may hold
+NO_ID = 1 << 62  # from here on class numbers of texts without a doc_id of their own
 _EDGE = re.compile(r"^\W+|\W+$")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,9 +153,26 @@ def signatures(s: np.ndarray, count: np.ndarray, doc: np.ndarray, n_docs: int, m
     return values
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def dealt(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, by: str) -> DataFrame:
+    """The join of many rows a key with one row a key.  hot (keys, parts) names the keys whose many rows are dealt, by a hash
+    of column `by`; the one row is copied to every part."""
+    left = many.join(hot, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")), F.lit(0))).drop("parts")
+    right = one.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts"), F.lit(1)).cast("long") - 1))).drop("parts")
+    return left.join(right, [*keys, "_part"]).drop("_part")
+
+
+def hot_keys(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """keys, parts: those with more than `most` rows; at most rows / most of them."""
+    return _bounded(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("long").alias("parts")))
+
+
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (128 bits of the word sequence), size (characters), sig, bands."""
-    rows = small_batches(pick(docs, doc_id="long", text="string")).where("doc_id is not null")
+    """doc_id, tk (hash of the text), k1, k2 (128 bits of the word sequence), size (characters), sig, bands."""
+    rows = small_batches(pick(docs, doc_id="long", text="string")).where("doc_id is not null").withColumn("tk", text_key(F.col("text")))
 
     def run(batches):
         import xxhash
@@ -175,15 +200,16 @@ def sign(docs: DataFrame) -> DataFrame:
                 lens = np.where(n > 0, BANDS, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(bands[has].reshape(-1).view(np.int64)))
                 blobs = pa.array([x.tobytes() for x in sig], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), pc.cast(pc.utf8_length(pc.fill_null(texts, "")), pa.int32()), blobs, lists], names=["doc_id", "k1", "k2", "size", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tk"), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), pc.cast(pc.utf8_length(pc.fill_null(texts, "")), pa.int32()), blobs, lists], names=["doc_id", "tk", "k1", "k2", "size", "sig", "bands"])
 
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, size int, sig binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, tk long, k1 long, k2 long, size int, sig binary, bands array<long>")
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures agree in AGREE components or more."""
     sig = nodes.select("rep", "sig")
-    both = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+    ends = pairs.join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+    both = dealt(ends, sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), ["a"], hot_keys(pairs, ["a"], DEALT), "b")
 
     def run(batches):
         for batch in batches:
@@ -307,8 +333,9 @@ def overlap(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs at or above the similarity; b is the end with few pairs, its text is joined first."""
-    both = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
+    """The pairs at or above the similarity; b is the end with few pairs, its text is joined first, those of a hot a are dealt."""
+    ends = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
+    both = dealt(ends, texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), ["a"], hot_keys(pairs, ["a"], DEALT_TEXTS), "b")
 
     def run(batches):
         for batch in batches:
@@ -324,9 +351,10 @@ def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     jump to their own label, until nothing changes."""
     links = scratch.table(f"{tag}-links", links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
     label = scratch.table(f"{tag}-0", links.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("c")))
+    hot = hot_keys(links, ["v"], DEALT)
     step = 0
     while True:
-        near = links.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("n"))
+        near = dealt(links, label.select(F.col("u").alias("v"), "c"), ["v"], hot, "u").groupBy("u").agg(F.min("c").alias("n"))
         told = label.join(near, "u").select("u", F.least("c", "n").alias("c"))
         jump = label.select(F.col("u").alias("c"), F.col("c").alias("cc"))
         told = told.join(jump, "c", "left").select("u", F.least("c", F.coalesce("cc", "c")).alias("c"))
@@ -345,14 +373,18 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, class_id of every row."""
-    scratch = scratch or Scratch(docs.sparkSession, "near-dup")
-    signed = scratch.table("signed", sign(docs))
-    reps = scratch.table("reps", signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
-    own = signed.join(reps.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")))
-    nodes = scratch.table("nodes", own.select("rep", "size", "sig", "bands"))
-    members_of = scratch.table("member", signed.select("doc_id", "k1", "k2"))
+def _classed(docs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """doc_id, tk, class_id of every row with a doc_id."""
+    signed = scratch.table("signed", sign(docs).withColumn("uid", F.monotonically_increasing_id()))
+    ends = [f(c).alias(f"{c}_{i}") for c in ("k1", "k2") for i, f in enumerate((F.min, F.max))]
+    shared = signed.groupBy("doc_id").agg(*ends).where("k1_0 <> k1_1 or k2_0 <> k2_1").select("doc_id", F.lit(True).alias("shared"))
+    known = signed.select("doc_id", "tk", "uid", "k1", "k2").join(_bounded(scratch.table("shared", shared)), "doc_id", "left")
+    reps = known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tk", "uid")).alias("src"), F.min(F.when(F.col("shared").isNull(), F.col("doc_id"))).alias("own"), F.count("*").alias("n"))
+    named = F.coalesce("own", F.xxhash64("k1", "k2").bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
+    reps = scratch.table("reps", reps.select("k1", "k2", named.alias("rep"), "src.*", "n"))
+    nodes = scratch.table("nodes", signed.select("uid", "size", "sig", "bands").join(reps.select("uid", "rep"), "uid").select("rep", "size", "sig", "bands"))
+    members_of = scratch.table("member", signed.select("doc_id", "tk", "k1", "k2"))
+    repeated = members_of.groupBy("doc_id", "tk").count().where("count > 1").limit(1).count() > 0
     scratch.drop("signed")
 
     banded = nodes.select("rep", F.explode("bands").alias("bucket")).distinct()
@@ -360,8 +392,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, scratch: Scratch |
     held = scratch.table("held", banded.join(buckets, "bucket"))
     reach = scratch.table("reach", held.groupBy("rep").agg(F.sum("n").alias("reach")))
     centre = held.join(reach, "rep").groupBy("bucket").agg(F.max(F.struct("reach", (-F.col("rep")).alias("r"))).alias("x")).select("bucket", (-F.col("x.r")).alias("a"))
-    texts = pick(docs, doc_id="long", text="string").withColumnRenamed("doc_id", "rep").join(_bounded(reach.select("rep")), "rep", "left_semi")
-    texts = scratch.table("texts", texts)
+    wanted = reps.join(_bounded(reach.select("rep")), "rep", "left_semi").select("rep", "doc_id", "tk")
+    texts = pick(docs, doc_id="long", text="string").withColumn("tk", text_key(F.col("text"))).join(_bounded(wanted), ["doc_id", "tk"]).select("rep", "text")
+    texts = scratch.table("texts", texts.dropDuplicates(["rep"]) if repeated else texts)
 
     first = held.join(centre, "bucket").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
     first = scratch.table("first", _agreeing(first, nodes))
@@ -385,23 +418,43 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, scratch: Scratch |
     scratch.drop("texts", "dealt", "kept", "nodes", "held", "buckets")
     top = components(lifted, scratch, "comp-2")
 
-    told = members_of.join(reps, ["k1", "k2"]).select("doc_id", "rep")
-    told = told.join(joined.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("c1", F.coalesce("comp", "rep")).select("doc_id", "c1")
-    told = told.join(top.select(F.col("node").alias("c1"), F.col("comp").alias("c2")), "c1", "left")
-    classed = told.select("doc_id", F.coalesce("c2", "c1").alias("class_id"))
+    # a text's class; then each row looks up its text
+    known = reps.select("k1", "k2", "rep", "n").join(joined.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("c1", F.coalesce("comp", "rep"))
+    known = scratch.table("known", known.select("k1", "k2", "c1", "n"))
+    top = top.select(F.col("node").alias("c1"), F.col("comp").alias("c2"))
+    moved = dealt(known.select("c1", "k1", "k2", "n").join(_bounded(top.select("c1")), "c1", "left_semi"), top, ["c1"], hot_keys(known, ["c1"], DEALT), "k1")
+    told = known.join(_bounded(top.select("c1")), "c1", "left_anti").select("k1", "k2", F.col("c1").alias("class_id"), "n").unionByName(moved.select("k1", "k2", F.col("c2").alias("class_id"), "n"))
+    told = scratch.table("told", told)
+    hot = _bounded(told.where(F.col("n") > DEALT).select("k1", "k2", F.ceil(F.col("n") / DEALT).cast("long").alias("parts")))
+    return dealt(members_of, told.drop("n"), ["k1", "k2"], hot, "doc_id").select("doc_id", "tk", "class_id")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, class_id of every row."""
+    scratch = scratch or Scratch(docs.sparkSession, "near-dup")
     unnamed = pick(docs, doc_id="long").where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
-    return classed.union(unnamed)
+    return _classed(docs, similarity, scratch).select("doc_id", "class_id").union(unnamed)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
-    """docs with one row of each class, that of the least doc_id; rows with a null doc_id stay.  All columns are kept."""
+    """docs with one row of each class: that of its class_id, or of the least doc_id and text hash where all ids of the class have
+    several texts.  Rows with a null doc_id stay.  All columns are kept, in their order."""
     scratch = scratch or Scratch(docs.sparkSession, "near-dup")
-    classed = scratch.table("classed", classes(docs, similarity, scratch))
-    gone = classed.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(_bounded(gone), "doc_id", "left_anti").select(*docs.columns)
-    again = classed.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    classed = scratch.table("classed", _classed(docs, similarity, scratch).groupBy("doc_id", "tk", "class_id").agg(F.count("*").alias("n")))
+    own, no_own = classed.where(F.col("class_id") < NO_ID), classed.where(F.col("class_id") >= NO_ID)
+    least = no_own.groupBy("class_id").agg(F.min(F.struct("doc_id", "tk")).alias("l")).select("class_id", "l.doc_id", "l.tk")
+    # of several writings of one text under its own id the least hash stays
+    stays = own.where("doc_id = class_id").groupBy("doc_id").agg(F.min("tk").alias("tk")).unionByName(no_own.join(least, ["class_id", "doc_id", "tk"], "left_semi").select("doc_id", "tk"))
+    stays = scratch.table("stays", stays)
+    gone = scratch.table("gone", classed.join(stays, ["doc_id", "tk"], "left_anti").select("doc_id", "tk"))
+    d, t = unlike(docs, "doc_id"), unlike(docs, "tk")
+    same = lambda rows: rows.select(F.col("doc_id").alias(d), F.col("tk").alias(t))
+    texts = F.col("text").cast("string") if "text" in {c.lower() for c in docs.columns} else F.lit(None).cast("string")
+    match = (F.col("doc_id").cast("long") == F.col(d)) & (text_key(texts) == F.col(t))
+    kept = docs.join(_bounded(same(gone)), match, "left_anti")
+    again = classed.where("n > 1").join(stays, ["doc_id", "tk"], "left_semi").select("doc_id", "tk")
     if again.limit(1).count():  # repeated rows of a kept document: only those are moved
         again = scratch.table("again", again)
-        once = kept.join(_bounded(again), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-        kept = kept.join(_bounded(again), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        once = docs.join(_bounded(same(again)), match).dropDuplicates([d, t]).select(*docs.columns)
+        kept = kept.join(_bounded(same(again)), match, "left_anti").unionByName(once)
     return kept

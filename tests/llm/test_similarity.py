@@ -250,3 +250,32 @@ def test_crowded_filter_loses_nothing(spark, monkeypatch):
     rows = [prose(rng, 100) for _ in range(5)] + [items[3] + " " + prose(rng, 50), items[7]]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(frame(spark, rows), bench).collect()} == {(5, 3), (6, 7)}
+
+
+def test_one_id_with_several_texts(spark):
+    """Rows of one id are judged by their own texts: nothing unlike is joined or lost."""
+    rng = random.Random(31)
+    a, b, c, e = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, c), (4, e), (4, c), (5, None), (5, ""), (6, edited(rng, c, 1))]
+    docs = spark.createDataFrame([(i, t, 9, "x") for i, t in rows], "doc_id long, text string, tk long, class_id string")
+    got = neardup.classes(docs).collect()
+    assert len(got) == len(rows)
+    of = collections.defaultdict(set)
+    for r in got:
+        of[r["doc_id"]].add(r["class_id"])
+    assert of[2] == {2} and of[3] == {3} and of[1] == {2, 3} and of[5] == {5} and of[6] == {6}
+    assert len(of[4]) == 2 and 6 in of[4] and max(of[4]) >= neardup.NO_ID
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted([(2, a), (3, b), (4, e), (5, ""), (6, rows[9][1])])
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "DEALT", 7)
+    monkeypatch.setattr(neardup, "DEALT_TEXTS", 3)
+    rng = random.Random(32)
+    base = prose(rng, 120)
+    rows = [base] * 30 + [edited(rng, base, rng.randint(1, 4)) for _ in range(60)] + [prose(rng, 40) for _ in range(10)]
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, rows)).collect()} == plain_classes(rows)
+    same = frame(spark, [base] * 40 + [prose(rng, 30)]).withColumn("doc_id", F.lit(3).cast("long"))
+    assert neardup.keep_one(same).count() == 2 and neardup.classes(same).select("class_id").distinct().count() == 2
