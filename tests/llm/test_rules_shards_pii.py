@@ -1,12 +1,16 @@
 """Native operators against plain Python."""
+import collections
 import hashlib
 import random
 import re
 import zlib
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from sitewright.llm import pii, quality_rules, sharding
+from sitewright.llm.common import Scratch
 from tests.llm.conftest import frame, prose
 
 ODD = ["", None, "one", " \t\n ", "#*$ a|b <x>", "same line\nsame line\n\n\nsame line ", "a b c d e f g h " * 3, "w " * 19, "w " * 20, "é " * 30, "the of and " * 4000, "x" * 100_000, "no\x0bbreak\x0chere\r\n"]
@@ -66,6 +70,53 @@ def test_shards(spark, texts):
     assert len(sharding.shard_rows(docs.unionByName(docs)).collect()) == 2 * len(rows)
 
 
+def test_codes_keep_order_and_depth(spark):
+    """Codes rise with the values, a hot value has one code, and no code but a hot value's holds much more than its share."""
+    values = [f"v{i:03d}" for i in range(200)] + ["v050"] * 300
+    df = spark.createDataFrame([(v,) for v in values], "y string").repartition(5)
+    rows = df.select("y", sharding.depth_codes(df, "y", Scratch(spark, "codes")).alias("code")).collect()
+    code = {r["y"]: r["code"] for r in rows}
+    assert len({(r["y"], r["code"]) for r in rows}) == 200
+    ordered = [code[v] for v in sorted(code)]
+    assert ordered == sorted(ordered) and 0 <= ordered[0] and ordered[-1] < 64
+    held = collections.Counter(c for v, c in code.items() if v != "v050")
+    assert max(held.values()) <= 500 / 64 + 2
+
+
+def test_shards_prune(spark, tmp_path):
+    """Footers of the written files leave out most shards of a source or language, and agree with the rows."""
+    rng = random.Random(41)
+    rows = [(i, prose(rng, rng.randint(3, 40)), rng.choice(["de", "en", "es", "fr"]), f"src{rng.randint(10, 29)}" if i % 3 else "src15") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("slot", F.lit("own"))
+    sharding.write_shards(docs, sharding.shard_rows(docs, 16), str(tmp_path / "out"), run_rows=60)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r["doc_id"], r["text"], r["lang"], r["source"]) for r in back.collect()) == sorted(rows)
+    stats = {"lang": [], "source": []}
+    for f in (tmp_path / "out").glob("shard=*/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            for c in (meta.row_group(g).column(k) for k in range(meta.num_columns)):
+                if c.path_in_schema in stats:
+                    stats[c.path_in_schema].append((c.statistics.min, c.statistics.max, meta.row_group(g).num_rows))
+    read = lambda c, v: sum(n for low, high, n in stats[c] if low <= v <= high) / len(rows)
+    assert all(read("lang", x) < 0.6 for x in ("de", "en", "es", "fr"))
+    sources = [f"src{k}" for k in range(10, 30)]
+    loose = [[r[3] for r in rows[i : i + 60]] for i in range(0, len(rows), 60)]  # files in the order of ids
+    unsorted = sum(min(f) <= x <= max(f) for f in loose for x in sources) / len(loose) / 20
+    assert sum(map(lambda x: read("source", x), sources)) / 20 < 0.6 * unsorted
+
+
+def test_hot_cells_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 5)
+    docs = frame(spark, ["same text"] * 200 + [None, ""]).withColumn("doc_id", F.lit(7).cast("long")).withColumn("uid", F.lit("x"))
+    got = sharding.shard_rows(docs, 7).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert len(got) == 202 and sorted(by) == list(range(7)) and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
