@@ -1,14 +1,15 @@
 """BPE encoding and decoding by speculation and verification.
 
 For each distinct piece of text the longest token at every place is proposed (one numpy step walks all
-pieces by a byte).  A proposal is the true encoding exactly if each adjacent pair of tokens is: merging the bytes of
+pieces by a byte; the few pieces that are longer than ``STEPS`` walk the same trie one by one).  A proposal is the true encoding exactly if each adjacent pair of tokens is: merging the bytes of
 the pair alone gives the pair back.  Pairs are checked together, as arrays, by taking both sides apart from the last
 merge to the first and looking for a merge across the border that would have come earlier.  Only pieces with a bad
 pair are merged exactly, lowest rank and leftmost first.
 
 Nulls encode as empty texts (no ids), empty texts decode to empty texts, any length is taken in whole, repeated
 rows are encoded alike, an empty table gives an empty result, other columns of the input are left out or kept as the
-caller says.  Memory is bound by slices of about 4 MB of text and by one text.
+caller says.  Memory is bound by slices of about 2 MB of text, by one text, and by the units that a worker keeps, which have a
+limit in number and in bytes.
 """
 from __future__ import annotations
 
@@ -27,7 +28,7 @@ from .units import UnitEncoder, ranges, slices, worker_cache
 # Fixed value: the pattern that splits text before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = np.int64(1) << 40
-LONG = 64  # bytes; longer pieces are merged with a heap
+STEPS = 64  # bytes that pieces walk side by side; padded merging ends there too, longer pieces are merged with a heap
 
 
 def _byte_letters() -> dict[str, int]:
@@ -104,6 +105,7 @@ class Vocabulary:
                     token_at.append(-1)
                 state = step[key]
             token_at[state] = t
+        self.step = step
         keys = np.array(list(step), np.int64)
         order = np.argsort(keys)
         self.step_key = np.append(keys[order], np.int64(-1))
@@ -159,6 +161,19 @@ class Vocabulary:
         order = np.argsort(piece, kind="stable")
         return piece[order], token[order]
 
+    def propose_one(self, piece: bytes) -> list[int]:
+        """Longest-match tokens of one piece, as propose() gives them."""
+        step, token_at, out, at = self.step, self.token_at, [], 0
+        while at < len(piece):
+            state, i, best, end = 0, at, -1, at
+            while i < len(piece) and (state := step.get(state << 8 | piece[i], -1)) >= 0:
+                i += 1
+                if token_at[state] >= 0:
+                    best, end = int(token_at[state]), i
+            out.append(best)
+            at = end
+        return out
+
     def merge_short(self, ids: np.ndarray) -> np.ndarray:
         """Exact merging of many pieces at once; rows padded with -1."""
         ids = ids.copy()
@@ -204,10 +219,14 @@ class Vocabulary:
         size = np.array([len(r) for r in raw], np.int64)
         buf, end = np.frombuffer(b"".join(raw) or b"\0", np.uint8), np.cumsum(size)
         start = end - size
-        long = np.flatnonzero(size > LONG)
+        long = np.flatnonzero(size > STEPS)
         stop = end.copy()
         stop[long] = start[long]
         piece, token = self.propose(buf, start, stop)
+        if len(long):
+            more = [self.propose_one(raw[g]) for g in long.tolist()]
+            piece = np.concatenate([piece, np.repeat(long, [len(m) for m in more])])
+            token = np.concatenate([token, np.array([t for m in more for t in m], np.int64)])
         pair = np.flatnonzero(piece[1:] == piece[:-1])
         key, which = np.unique(token[pair] * self.n + token[pair + 1], return_inverse=True)
         failed = np.unique(piece[pair[self.crossed(key // self.n, key % self.n)[which]]])
@@ -215,11 +234,11 @@ class Vocabulary:
         # failed pieces: exact merging, padded in groups of like length
         parts_piece, parts_token = [], []
         keep = np.ones(len(pieces), bool)
-        keep[failed] = keep[long] = False
+        keep[failed] = False
         kept = keep[piece]
         parts_piece.append(piece[kept])
         parts_token.append(token[kept])
-        for low, high in ((0, 8), (8, 16), (16, 32), (32, LONG)):
+        for low, high in ((0, 8), (8, 16), (16, 32), (32, STEPS)):
             g = failed[(size[failed] > low) & (size[failed] <= high)]
             if len(g):
                 width = int(size[g].max())
@@ -229,7 +248,7 @@ class Vocabulary:
                 ids = self.merge_short(ids)
                 parts_piece.append(np.repeat(g, (ids >= 0).sum(axis=1)))
                 parts_token.append(ids[ids >= 0])
-        for g in long.tolist():
+        for g in failed[size[failed] > STEPS].tolist():
             ids = self.merge_long(self.byte_id[buf[start[g] : end[g]]].tolist())
             parts_piece.append(np.full(len(ids), g))
             parts_token.append(np.array(ids, np.int64))

@@ -79,17 +79,23 @@ def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 class UnitEncoder:
-    """encode_units(list of units) -> (ids, count for each unit).  Results are kept for up to about `limit` units; then
-    those that the last few calls did not use are forgotten."""
+    """encode_units(list of units) -> (ids, count for each unit).  Results are kept for up to about `limit` units and
+    `most_ids` ids in all (a unit has at least a byte an id, so long unbroken units count by their length); then those that
+    the last few calls did not use are forgotten, and all if that is not enough."""
 
-    def __init__(self, encode_units, limit: int = 1_500_000, recent: int = 4):
-        self.encode_units, self.limit, self.recent, self.calls = encode_units, limit, recent, 0
+    def __init__(self, encode_units, limit: int = 1_500_000, recent: int = 4, most_ids: int = 8_000_000):
+        self.encode_units, self.limit, self.recent, self.most_ids, self.calls, self.letters = encode_units, limit, recent, most_ids, 0, 0
         self.spaced: dict[str, int] = {}  # by the word after the space
         self.whole: dict[str, int] = {}
         self.ids, self.start, self.size, self.used = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
+    def _full(self) -> bool:
+        return len(self.size) > self.limit or len(self.ids) > self.most_ids or self.letters > 8 * self.most_ids
+
     def _forget(self) -> None:
         keep = self.used >= self.calls - self.recent
+        if len(self.ids) > self.most_ids or self.letters > 8 * self.most_ids:
+            keep[:] = False
         place = np.cumsum(keep) - 1
         flags, places = keep.tolist(), place.tolist()
         self.spaced = {u: places[i] for u, i in self.spaced.items() if flags[i]}
@@ -97,9 +103,11 @@ class UnitEncoder:
         self.ids = self.ids[ranges(self.start[keep], self.size[keep])]
         self.size, self.used = self.size[keep], self.used[keep]
         self.start = np.cumsum(self.size) - self.size
+        self.letters = sum(map(len, self.spaced)) + sum(map(len, self.whole))
 
     def _store(self, spaced: list[str], whole: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         base = len(self.size)
+        self.letters += sum(map(len, spaced)) + sum(map(len, whole))
         self.spaced.update(zip(spaced, range(base, base + len(spaced))))
         self.whole.update(zip(whole, range(base + len(spaced), base + len(spaced) + len(whole))))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
@@ -135,7 +143,7 @@ class UnitEncoder:
         """All ids of the texts, and where each text's ids begin (one more than texts)."""
         words, others, index, offsets = split_units(texts)
         self.calls += 1
-        if len(self.size) > self.limit:
+        if self._full():
             self._forget()
         found = [*map(self.spaced.get, words), *map(self.whole.get, others)]
         fresh = [i for i, x in enumerate(found) if x is None]

@@ -59,6 +59,30 @@ def test_pair_check_agrees_with_merging():
     assert (~v.crossed(a, b)).tolist() == exact
 
 
+def test_long_pieces_are_proposed_and_verified(library):
+    """Pieces of any length go the same way: proposed, verified, and merged only if a pair is bad."""
+    v, _ = bpe.codec(PATH)
+    rng = random.Random(9)
+    pieces = ["a" * n for n in (63, 64, 65, 300)] + ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(65, 400))) for _ in range(30)] + ["é" * 90, "漢字" * 50, "internationalization" * 20]
+    ids, size = v.encode_pieces(pieces)
+    ends = np.cumsum(size)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, size)] == [library.encode(p, add_special_tokens=False).ids for p in pieces]
+    raw = [p.encode() for p in pieces]
+    buf, end = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw])
+    piece, token = v.propose(buf, end - np.array([len(r) for r in raw]), end)
+    assert [token[piece == i].tolist() for i in range(len(raw))] == [v.propose_one(r) for r in raw]
+
+
+def test_units_kept_have_a_limit_in_bytes(library):
+    small = units.UnitEncoder(bpe.codec(PATH)[0].encode_units, most_ids=500)
+    rng = random.Random(10)
+    for _ in range(20):
+        texts = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 900))) + " x" for _ in range(3)]
+        ids, offsets = small(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(small.ids) <= 500 + 3 * 900 and small.letters <= 8 * 500 + 3 * 900
+
+
 def test_query_columns(spark, library):
     docs = frame(spark, ODD)
     got = {r["doc_id"]: r for r in bpe.round_trip(docs, PATH, with_ids=True).collect()}
