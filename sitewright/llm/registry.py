@@ -29,7 +29,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = token_binary.write(documents(spark, sf_dir), tokenizer_path(), Scratch(spark, "token-ids"))
+    root = token_binary.write(documents(spark, sf_dir), tokenizer_path(), Scratch(spark, "token-ids", keep=True))
     return token_binary.checksums(token_binary.read(spark, root))
 
 

@@ -6,13 +6,19 @@ byte, and controls lie apart from data.  numpy decodes a block by table lookup.
 
 Files are Parquet with one row a block: shard, block, start (ids before the block in its shard), doc_ids,
 n_tokens, control, data; a second small table holds the id of each rank.  Spark's committer writes them, so a task that
-is run again leaves one copy, on any file system.  Shards are ranges of doc_id in ascending order, and documents are
-in ascending order inside; rows of equal doc_id are ordered by length and content, a null doc_id comes first.
-Nulls encode as empty texts (the end id alone), texts of any length are taken whole, an empty table gives no block.
+is run again leaves one copy, on any file system.
+
+A shard is a run of ``SHARD_TOKENS`` ids in ascending order of doc_id (rows of equal doc_id: by length, checksum, place in the
+input; a null doc_id comes first), so shards are equally large whatever the texts' lengths, and one id with many rows is
+parted like any other.  Where shards begin is counted exactly: keys and lengths alone are sorted in ranges, which a
+written table fixes, only the ranges' sums meet in one task, and one key a shard reaches the driver.
+
+Nulls encode as empty texts (the end id alone), texts of any length are taken whole and lie in one shard, repeated rows are written
+each, other columns are left out, whatever their names; an empty table gives no block.
 """
 from __future__ import annotations
 
-import zlib
+import bisect
 
 import numpy as np
 import pyarrow as pa
@@ -121,20 +127,46 @@ def rank_table(tokens: DataFrame) -> list[int]:
     return [r["id"] for r in counted.orderBy(F.desc("n"), "id").collect()]
 
 
+KEY = ("doc_id", "n_tokens", "crc", "uid")
+FIRST = -(1 << 63)  # the place of a null doc_id
+
+
+def shard_starts(tokens: DataFrame, scratch: Scratch) -> list[tuple[int, ...]]:
+    """The key of the first row of each shard, in order: a row belongs to shard i if i * SHARD_TOKENS ids or more and
+    fewer than the next multiple stand before it.  Shards without a row of their own (one very long text) have no number."""
+    keys = tokens.select(*KEY).repartitionByRange(*KEY).sortWithinPartitions(*KEY).withColumn("range", F.spark_partition_id())
+    keys = scratch.table("keys", keys)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = keys.groupBy("range").agg(F.sum("n_tokens").alias("s")).select("range", F.coalesce(F.sum("s").over(earlier(Window.orderBy("range"))), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("n_tokens").over(earlier(Window.partitionBy("range").orderBy(*KEY))), F.lit(0))
+    placed = keys.withColumn("inside", inside).join(sums, "range").withColumn("shard", F.floor((F.col("before") + F.col("inside")) / SHARD_TOKENS))
+    first = placed.groupBy("shard").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(FIRST)).alias("doc_id"), *KEY[1:])).alias("k")).orderBy("shard").select("k.*").collect()
+    return [tuple(r) for r in first]
+
+
+def shard_of(part: pa.RecordBatch, starts: list[tuple[int, ...]]) -> np.ndarray:
+    """The number of the last shard that begins at or before each row's key."""
+    ids = np.array([s[0] for s in starts], np.int64)
+    doc = part.column("doc_id").fill_null(FIRST).to_numpy(zero_copy_only=False)
+    low, shard = np.searchsorted(ids, doc, side="left"), np.searchsorted(ids, doc, side="right") - 1
+    tied = np.flatnonzero(low <= shard)  # a shard begins with this very id: the rest of the key decides
+    if len(tied):
+        rest = [part.column(c).to_numpy(zero_copy_only=False)[tied].tolist() for c in KEY[1:]]
+        shard[tied] = [bisect.bisect_right(starts, key) - 1 for key in zip(doc[tied].tolist(), *rest)]
+    return np.maximum(shard, 0).astype(np.int32)
+
+
 def write(df: DataFrame, path: str, scratch: Scratch, end_id: int = END_ID) -> str:
     """Encodes df into files below the scratch folder; the path of the files.  Text is read once."""
     spark = df.sparkSession
-    tokens = scratch.table("ids", tokenize(df, path, end_id))
+    tokens = scratch.table("ids", tokenize(df, path, end_id).withColumns({"crc": F.crc32("ids"), "uid": F.monotonically_increasing_id()}))
     dtype = id_type(path)
     order = rank_table(tokens)
     tokens = tokens.where("counts is null").drop("counts")
     scratch.table("ranks", spark.createDataFrame([(r, i) for r, i in enumerate(order)], "rank int, id int").coalesce(1))
 
-    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    n_shards = max(1, -(-total // SHARD_TOKENS))
-    # shards are ranges of doc_id of about equal row counts; the cut points are one number a shard
-    cuts = tokens.agg(F.percentile_approx("doc_id", [i / n_shards for i in range(1, n_shards)], 10_000)).first()[0] if n_shards > 1 else []
-    cuts = sorted(set(cuts or []))
+    starts = shard_starts(tokens, scratch)
+    shared, n_shards = spark.sparkContext.broadcast(starts), max(1, len(starts))
 
     table = np.zeros(max(order, default=0) + 1, np.uint32)
     table[order] = np.arange(len(order), dtype=np.uint32)
@@ -150,11 +182,9 @@ def write(df: DataFrame, path: str, scratch: Scratch, end_id: int = END_ID) -> s
                 n = count[group]
                 control, n_control, data, n_data = pack(table[flat(part.column("ids"), dtype)], n)
                 ce, de = np.concatenate([[0], np.cumsum(n_control)]).tolist(), np.concatenate([[0], np.cumsum(n_data)]).tolist()
-                ids_of = part.column("doc_id")
-                shard = np.searchsorted(np.array(cuts, np.int64), np.array(ids_of.fill_null(-(1 << 63)).to_numpy()), side="left")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.astype(np.int32)), ids_of, part.column("n_tokens"), pa.array([control[a:b] for a, b in zip(ce, ce[1:])], pa.binary()), pa.array([data[a:b] for a, b in zip(de, de[1:])], pa.binary())],
-                    names=["shard", "doc_id", "n_tokens", "control", "data"],
+                    [pa.array(shard_of(part, shared.value)), *[part.column(c) for c in KEY], pa.array([control[a:b] for a, b in zip(ce, ce[1:])], pa.binary()), pa.array([data[a:b] for a, b in zip(de, de[1:])], pa.binary())],
+                    names=["shard", *KEY, "control", "data"],
                 )
 
     def blocks(batches):
@@ -182,11 +212,11 @@ def write(df: DataFrame, path: str, scratch: Scratch, end_id: int = END_ID) -> s
         if held:
             yield flush()
 
-    coded = tokens.mapInArrow(encode, "shard int, doc_id long, n_tokens long, control binary, data binary")
-    placed = coded.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n_tokens", "data")
+    coded = tokens.mapInArrow(encode, "shard int, doc_id long, n_tokens long, crc long, uid long, control binary, data binary")
+    placed = coded.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", *KEY)
     files = placed.mapInArrow(blocks, "shard int, block long, start long, doc_ids array<long>, n_tokens array<long>, control binary, data binary")
     scratch.table("blocks", files, "none")  # coded already: another compression gains nothing
-    scratch.drop("ids")
+    scratch.drop("ids", "keys")
     return scratch.root
 
 

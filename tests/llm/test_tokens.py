@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sitewright.llm import bpe, token_binary, units
 from sitewright.llm.common import Scratch
@@ -123,6 +124,23 @@ def test_files(spark, library, monkeypatch):
     assert spark.read.parquet(f"{root}/ranks").where("rank = 0").count() == 1
 
 
+def test_shards_are_runs_of_tokens(spark, monkeypatch):
+    """One id with many rows, null ids and texts longer than a shard: shards hold equal numbers of ids but for whole texts."""
+    monkeypatch.setattr(token_binary, "SHARD_TOKENS", 60)
+    monkeypatch.setattr(token_binary, "BLOCK_TOKENS", 25)
+    rng = random.Random(4)
+    texts = ["b " * rng.randint(0, 20) for _ in range(150)] + ["long " * 200]
+    docs = frame(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") < 60, 7).when(F.col("doc_id") < 70, None).otherwise(F.col("doc_id")))
+    scratch = Scratch(spark, "test")
+    rows = token_binary.read(spark, token_binary.write(docs, PATH, scratch)).orderBy("start").collect()
+    assert len(rows) == 151 and [r["start"] for r in rows] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in rows])])[:-1].tolist()
+    ids = [r["doc_id"] if r["doc_id"] is not None else -1 for r in rows]
+    assert ids == sorted(ids) and ids[:10] == [-1] * 10 and ids[10:70] == [7] * 60
+    held = {r["shard"]: r["n"] for r in spark.read.parquet(scratch.path("blocks")).selectExpr("shard", "aggregate(n_tokens, 0L, (a, n) -> a + n) AS n").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    assert sorted(held) == list(range(len(held))) and max(n for s, n in held.items() if s < len(held) - 1) <= 60 + 42
+    assert len(held) > 20
+
+
 def test_repeated_ids_and_no_rows(spark):
     docs = frame(spark, ["b b", "a", "b b"]).selectExpr("7L as doc_id", "text")
     rows = token_binary.read(spark, token_binary.write(docs, PATH, Scratch(spark, "test"))).orderBy("start").collect()
