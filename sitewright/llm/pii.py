@@ -1,38 +1,42 @@
-"""Personal data: generators, boosted trees, calibrated thresholds; built-in functions only on the rows.
+"""Personal data and secrets: generators, boosted trees, calibrated thresholds; built-in functions only on the rows.
 
-Base spans (email, ip, card, phone) come from fixed patterns with exact checks and always stay.  Wider
-generators propose further, overlapping candidates: obfuscated or short addresses, dotted or unverified card numbers,
-phone numbers without a plus sign.  Boosted trees judge a candidate by its format and by the words around it; a
-threshold for each kind, set for high precision on rows that the trees did not see and never below ``LEAST`` (log odds),
-selects what is added.  An added
-span never overlaps a base span, and of overlapping added spans the first kind in the list, then the first start, then the
-longest, stays.
+Base spans (email, ip, card, phone) come from fixed patterns with exact checks and always stay.  Wider generators propose further,
+overlapping candidates: obfuscated or short addresses, bracketed and long internet addresses, dotted or unverified card
+numbers, phone numbers without a plus sign; and two kinds of their own: ``id`` (social security and passport numbers, IBANs)
+and ``secret`` (keys of well-known services, tokens, passwords after their name).  Boosted trees judge a candidate by its
+format and by the words around it; a threshold for each kind, the lowest with ``PRECISION`` on snippets that the trees did not
+see, selects what is added.  An added span never overlaps a base span, and of overlapping added spans the first start, then
+the longest, then the first kind stays; one that only a left-out span reaches into is left out too.
 
-There is no labelled table for this task, so the trees are fitted at the start on ``TRAIN_ROWS`` snippets made from
-templates with a fixed seed; their features come from the same expressions as those of the documents.  The fitted trees
-become a sum of CASE expressions.
+There is no labelled table for this task, so the trees are fitted on snippets of their own (``pii_training``) with a fixed seed;
+their features come from the same expressions as those of the documents.  One process fits once.  The fitted trees become a sum
+of CASE expressions, which all candidates of a text share.
 
 Offsets are code points, the end is exclusive.  A null text counts as empty and has no span; texts are searched whole,
-in their own row, without a shuffle; repeated rows are searched one by one; an empty table gives an empty result.
+in their own row, without a shuffle, in time that grows with their length; repeated rows are searched one by one; an empty table
+gives an empty result.  Columns of the input may have any name: ``redact`` keeps them all, ``report`` leaves them out.
 The patterns use possessive groups and start guards that leave every match as it is but keep the search linear in
 long runs of letters or digits.
 """
 from __future__ import annotations
 
 import json
-import random
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, pick, scan
+from .common import let, pick, scan, unlike
+from .pii_training import ROWS, SEED, snippets
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS, TREES, DEPTH, RATE, PRECISION, LEAST, SEED = 4800, 40, 3, 0.3, 0.98, 3.0, 20240917
+ALL_KINDS = (*KINDS, "id", "secret")
+TREES, DEPTH, RATE, PRECISION, BINS = 80, 4, 0.3, 0.98, 64
 AROUND = 32
 MATCHES = "array<struct<s:int,e:int,m:string,before:string,after:string>>"
+SPANS = "array<struct<s:int,d:int,k:int,added:int>>"
+FAR = 2**31 - 1
 
 _LOCAL = "A-Za-z0-9._%+-"
 BASE = {
@@ -43,25 +47,46 @@ BASE = {
 }
 NEEDS = {"email": ("@",), "phone": ("+",)}
 
-# (kind, name, pattern, what a text must hold)
+_AT = r"(?:\s?(?:\((?:at|AT)\)|\[(?:at|AT)\]|\{(?:at|AT)\})\s?|\s(?:at|AT)\s)"
+_MARKED_AT = r"\s?(?:\((?:at|AT)\)|\[(?:at|AT)\]|\{(?:at|AT)\})\s?"
+_DOT = r"(?:\s?(?:\((?:dot|DOT)\)|\[(?:dot|DOT)\]|\{(?:dot|DOT)\})\s?|\s(?:dot|DOT)\s)"
+_HEX = "0-9A-Fa-f"
+# (kind, pattern, what a text must hold; none: a digit)
 GENERATORS = (
-    ("email", "spelled", rf"(?<![{_LOCAL}])[{_LOCAL}]++\s?(?:\((?:at|AT)\)|\[(?:at|AT)\]|\{{at\}}|\sat\s)\s?[A-Za-z0-9-]++(?:\s?(?:\((?:dot|DOT)\)|\[(?:dot|DOT)\]|\sdot\s)\s?[A-Za-z0-9-]++)++", ("dot", "DOT")),
-    ("email", "bracketed", rf"(?<![{_LOCAL}])[{_LOCAL}]++\s?(?:\((?:at|AT)\)|\[(?:at|AT)\]|\{{at\}})\s?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+", ("(at)", "[at]", "{at}", "(AT)", "[AT]")),
-    ("email", "short", rf"(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9-]++", ("@",)),
-    ("ip", "spelled", r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\s\.\s)[0-9]{1,3}){3}(?![0-9])", ("[.]", "(.)", " . ")),
-    ("card", "marked", r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){2}[._/][0-9]{1,7}(?![0-9])", ()),
-    ("card", "plain", r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])", ()),
-    ("phone", "local", r"(?<![0-9+])(?:\([0-9]{3}\)\s?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", ()),
-    ("phone", "abroad", r"(?<![0-9+])00[1-9][0-9]{0,2}(?:[\x20().-]{1,2}[0-9]{2,4}){2,5}(?![0-9])", ("00",)),
-)
+    ("email", rf"(?<![{_LOCAL}])[{_LOCAL}]++{_AT}[A-Za-z0-9-]++(?:(?:{_DOT}|\.)[A-Za-z0-9-]++)*?{_DOT}[A-Za-z0-9-]++", ("dot", "DOT")),
+    ("email", rf"(?<![{_LOCAL}])[{_LOCAL}]++{_MARKED_AT}[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+", ("(at)", "[at]", "{at}", "(AT)", "[AT]", "{AT}")),
+    ("email", rf"(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9-]++", ("@",)),
+    ("ip", r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\s\.\s)[0-9]{1,3}){3}(?![0-9])", ("[.]", "(.)", " . ")),
+    ("ip", rf"(?<![{_HEX}:.])(?:[{_HEX}]{{1,4}}:){{7}}[{_HEX}]{{1,4}}(?![{_HEX}:.])", (":",)),
+    ("card", r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){2}[._/][0-9]{1,7}(?![0-9])", ()),
+    ("card", r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])", ()),
+    ("phone", r"(?<![0-9+])(?:\([0-9]{3}\)\s?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", ()),
+    ("phone", r"(?<![0-9+])00[1-9][0-9]{0,2}(?:[\x20().-]{1,2}[0-9]{2,4}){2,5}(?![0-9])", ("00",)),
+    ("phone", r"(?<![0-9+./:-])0[1-9][0-9]{0,3}[\x20/.-](?:[0-9]{2,8}[\x20.-]?){1,4}(?<=[0-9])(?![0-9])", ("0",)),
+    ("phone", r"(?<![0-9A-Za-z+./:_-])[2-9][0-9]{9}(?![0-9A-Za-z])", ()),
+    ("id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ("-",)),
+    ("id", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", ()),
+    ("id", r"(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,8}(?![A-Za-z0-9])", ()),
+    ("id", r"(?<![0-9A-Za-z+./:_-])[0-9]{9}(?![0-9A-Za-z])", ()),
+    ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", ("AKIA", "ASIA")),
+    ("secret", r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,}+|github_pat_[A-Za-z0-9_]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{30,}+)", ("gh", "xox", "AIza")),
+    ("secret", r"(?<![A-Za-z0-9])[sprk]k[-_](?:(?:live|test|proj)[-_])?[A-Za-z0-9_-]{16,}+", ("k-", "k_")),
+    ("secret", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", ("eyJ",)),
+    ("secret", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", ("PRIVATE KEY",)),
+    ("secret", r"(?<![A-Za-z0-9])(?:[Pp]assword|[Pp]asswd|[Pp]wd|[Ss]ecret|[Tt]oken|api[_-]?key|API[_-]?KEY|PASSWORD|SECRET|TOKEN)\s?[:=]\s?[\x22']?[^\s\x22',;]{6,}+", (":", "=")),
+)
 CONTEXT = {
     "email": r"mail|contact|write|reach|reply|adresse|correo|kontakt|courriel",
-    "ip": r"\bip\b|host|server|addr|client|node|servidor|serveur",
-    "card": r"card|visa|credit|debit|payment|mastercard|tarjeta|karte|carte",
-    "phone": r"phone|tel\b|tel[.:]|call|mobile|fax|cell|telefon|llam|appel",
+    "ip": r"\bip\b|host|server|addr|client|node|connect|logged|servidor|serveur",
+    "card": r"card|visa|credit|debit|payment|charge|tarjeta|karte|carte",
+    "phone": r"phone|tel\b|tel[.:]|call|mobile|fax|cell|ring|telefon|llam|appel|number is",
+    "id": r"ssn|social|passport|passeport|pasaporte|iban|account|konto|national|tax|\bid\b",
+    "secret": r"key|token|secret|password|credential|aws|export|login",
 }
-OTHER = r"order|ref|invoice|isbn|serial|version|\bid\b|\bno\b|number of|score|page|hash|timestamp|look|arriv|meet|stay"
-FEATURES = ("generator", "n_digits", "n_chars", "luhn", "lead", "own_word", "other_word", "glued_before", "glued_after", "parens", "marks", "suffix")
+OTHER = r"order|ref|invoice|isbn|serial|version|item|\bno\b|number of|score|page|hash|timestamp|ticket|build|flight|model|part|population|total|batch|sku|case|look|arriv|meet|stay"
+FEATURES = (
+    "generator", "n_digits", "n_chars", "luhn", "lead", "lead3", "remainder97", "own_word", "other_word", "glued_before", "glued_after", "parens", "marks", "upper", "variety", "suffix",
+)
 
 
 def luhn(digits: Column) -> Column:
@@ -71,6 +96,13 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda a, i: a + value(i)) % 10 == 0
 
 
+def remainder97(m: Column) -> Column:
+    """The check of bank account numbers: the first four characters go last, letters count 10 to 35, modulo 97 it is 1."""
+    code = lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+    moved = let(F.regexp_replace(m, r"\s", ""), lambda t: F.concat(F.substr(t, F.lit(5)), F.substring(t, 1, 4)))
+    return F.aggregate(F.split(moved, "(?!^)"), F.lit(0), lambda a, c: F.when(code(c) > 9, a * 100 + code(c)).otherwise(a * 10 + code(c)) % 97)
+
+
 def only_digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -119,79 +151,46 @@ def _features(number: int, kind: str, x: Column) -> Column:
         real(F.lit(number)), real(F.length(digits)), real(F.char_length(m)),
         real(F.when(F.length(digits).between(2, 30), luhn(digits)).otherwise(False)),
         real(F.when(F.length(digits) > 0, F.substring(digits, 1, 1).cast("int")).otherwise(-1)),
+        real(F.when(F.length(digits) > 2, F.substring(digits, 1, 3).cast("int")).otherwise(-1)),
+        real(F.when(m.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{8,36}$"), remainder97(m) == 1).otherwise(False)),
         real(before.rlike(CONTEXT[kind])), real(before.rlike(OTHER)),
         real(x["before"].rlike(r"[A-Za-z0-9_@#$/.-]$")), real(x["after"].rlike(r"^[A-Za-z0-9_@/]|^[.-][0-9A-Za-z]")),
         real(F.instr(m, "(") > 0), real(F.char_length(F.regexp_replace(m, r"[A-Za-z0-9]", ""))),
+        real(F.char_length(F.regexp_replace(m, r"[^A-Z]", ""))), real(F.size(F.array_distinct(F.split(F.substring(m, 1, 60), "(?!^)")))),
         real(F.lower(m).rlike(r"(?:com|org|net|edu|gov|info|de|fr|es|uk|io)$")),
     )
     return F.struct(*[v.alias(n) for v, n in zip(values, FEATURES)])
 
 
 def candidates(text: Column, number: int) -> Column:
-    """One generator's candidates with features."""
-    kind, _, pattern, needle = GENERATORS[number]
-    found = _when_has(text, needle, matches(text, pattern))
-    return F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), _features(number, kind, x).alias("f")))
-
-
-# ---- training: templates, boosting, thresholds ------------------------------------------------------------------
-
-
-def snippets(n: int = TRAIN_ROWS, seed: int = SEED) -> list[dict]:
-    """Texts with one intended candidate each, and whether it is personal data."""
-    rng = random.Random(seed)
-    d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8)))
-    pick_one = rng.choice
-    own = {"email": ["email", "contact", "write to", "reach me:"], "ip": ["ip", "server", "host", "client"], "card": ["card", "visa", "credit card", "payment by"], "phone": ["phone", "tel.", "call", "mobile"]}
-    other = ["order", "ref", "invoice", "isbn", "serial", "version", "id", "no", "page", "hash", "timestamp"]
-
-    def with_check(k: int) -> str:
-        body = pick_one("3456") + d(k - 2)
-        total = sum(int(c) if i % 2 else (int(c) * 2 - (9 if int(c) > 4 else 0)) for i, c in enumerate(reversed(body)))
-        return body + str(-total % 10)
-
-    groups = lambda s, sep: sep.join(s[i : i + 4] for i in range(0, len(s), 4))
-    positive = {
-        "email": [lambda: f"{word()}.{word()} (at) {word()} (dot) {pick_one(['com', 'org', 'de'])}", lambda: f"{word()}[at]{word()}[dot]{pick_one(['com', 'net'])}", lambda: f"{word()}{d(2)} at {word()} dot {pick_one(['com', 'org'])}", lambda: f"{word()}.{word()}@{word()}"],
-        "ip": [lambda: "[.]".join(str(rng.randint(1, 255)) for _ in range(4)), lambda: "(.)".join(str(rng.randint(1, 255)) for _ in range(4))],
-        "card": [lambda: groups(with_check(16), pick_one("._/")), lambda: groups(with_check(16), "-")],
-        "phone": [lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{pick_one('23456789')}{d(2)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"00{pick_one(['49', '33', '34', '1'])} {d(3)} {d(3)} {d(3)}"],
-    }
-    negative = {
-        "email": [lambda: f"{word()} at {word()} dot {word()} {word()}", lambda: f"{word()} (at) {word()}", lambda: f"{word()}@{d(1)}x", lambda: f"@{word()}@{word()}"],
-        "ip": [lambda: " . ".join(d(3) for _ in range(4)), lambda: "[.]".join(str(rng.randint(300, 999)) for _ in range(4))],
-        "card": [lambda: d(rng.randint(13, 19)), lambda: groups(d(16), pick_one("._/"))],
-        "phone": [lambda: f"{d(3)} {d(3)} {d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"00{pick_one('123456789')}-{d(2)}-{d(2)}"],
-    }
-    rows = []
-    for _ in range(n):
-        kind, label = pick_one(KINDS), rng.random() < 0.5
-        core = pick_one((positive if label else negative)[kind])()
-        near = pick_one(own[kind]) if rng.random() < (0.7 if label else 0.03) else pick_one(other) if rng.random() < (0.03 if label else 0.7) else word()
-        glue = "" if not label and rng.random() < 0.2 else " "
-        rows.append({"kind": kind, "label": int(label), "text": f"{word()} {word()} {near}{glue}{core}{glue}{word()} {word()}"})
-    return rows
-
-
-def grow_tree(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int):
-    """A regression tree as (feature, cut, left, right) or a leaf value, by the gain in second-order loss."""
-    value = float(-gradient.sum() / (hessian.sum() + 1.0))
-    if depth == 0 or len(x) < 20:
+    """One generator's candidates: number of the kind, start, end, features."""
+    kind, pattern, needle = GENERATORS[number]
+    k = F.lit(ALL_KINDS.index(kind)).alias("k")
+    return F.transform(_when_has(text, needle, matches(text, pattern)), lambda x: F.struct(k, x["s"].alias("s"), x["e"].alias("e"), _features(number, kind, x).alias("f")))
+
+
+# ---- training: boosting, thresholds -----------------------------------------------------------------------------------
+
+
+def grow_tree(codes: np.ndarray, cuts: list[np.ndarray], at: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int, least: int = 10):
+    """A regression tree as (feature, cut, left, right) or a leaf value, by the gain in second-order loss over binned values."""
+    value = float(-gradient[at].sum() / (hessian[at].sum() + 1.0))
+    if depth == 0 or len(at) < 2 * least:
         return value
-    best, parent = (1e-6, None, None), gradient.sum() ** 2 / (hessian.sum() + 1.0)
-    for j in range(x.shape[1]):
-        levels = np.unique(x[:, j])
-        for cut in (levels[:-1] + levels[1:]) / 2:
-            left = x[:, j] <= cut
-            if 10 <= left.sum() <= len(x) - 10:
-                gain = sum(gradient[s].sum() ** 2 / (hessian[s].sum() + 1.0) for s in (left, ~left)) - parent
-                if gain > best[0]:
-                    best = (gain, j, float(cut))
-    if best[1] is None:
+    best, parent = (1e-6, -1, -1), gradient[at].sum() ** 2 / (hessian[at].sum() + 1.0)
+    for j, edges in enumerate(cuts):
+        if not len(edges):
+            continue
+        held = codes[at, j]
+        g, h, n = (np.bincount(held, weights=w, minlength=len(edges) + 1).cumsum() for w in (gradient[at], hessian[at], np.ones(len(at))))
+        left, right = (g[:-1] ** 2 / (h[:-1] + 1.0)), ((g[-1] - g[:-1]) ** 2 / (h[-1] - h[:-1] + 1.0))
+        gain = np.where((n[:-1] >= least) & (n[-1] - n[:-1] >= least), left + right - parent, -1.0)
+        if gain.max() > best[0]:
+            best = (float(gain.max()), j, int(gain.argmax()))
+    if best[1] < 0:
         return value
-    left = x[:, best[1]] <= best[2]
-    return best[1], best[2], grow_tree(x[left], gradient[left], hessian[left], depth - 1), grow_tree(x[~left], gradient[~left], hessian[~left], depth - 1)
+    low = codes[at, best[1]] <= best[2]
+    return best[1], float(cuts[best[1]][best[2]]), *[grow_tree(codes, cuts, at[side], gradient, hessian, depth - 1, least) for side in (low, ~low)]
 
 
 def run_tree(tree, x: np.ndarray) -> np.ndarray:
@@ -202,12 +201,14 @@ def run_tree(tree, x: np.ndarray) -> np.ndarray:
 
 
 def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> list:
+    levels = [np.unique(c) if len(np.unique(c)) <= BINS else np.unique(np.quantile(c, np.linspace(0, 1, BINS))) for c in x.T]
+    cuts = [(v[:-1] + v[1:]) / 2 for v in levels]
+    codes = np.stack([np.searchsorted(c, v) for c, v in zip(cuts, x.T)], axis=1)
     score, grown = np.zeros(len(x)), []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
-        tree = grow_tree(x, p - y, p * (1 - p), depth)
-        grown.append(tree)
-        score += rate * run_tree(tree, x)
+        grown.append(grow_tree(codes, cuts, np.arange(len(x)), p - y, p * (1 - p), depth))
+        score += rate * run_tree(grown[-1], x)
     return grown
 
 
@@ -228,8 +229,17 @@ class Model:
             total = total + case(tree)
         return total
 
+    def selects(self, c: Column) -> Column:
+        limits = [F.lit(float("inf") if self.thresholds[k] is None else self.thresholds[k]) for k in ALL_KINDS]
+        return self.score(c["f"]) >= F.get(F.array(*limits), c["k"])
+
 
-def fit(spark: SparkSession, n: int = TRAIN_ROWS, seed: int = SEED) -> Model:
+_FITTED: dict[tuple[int, int], Model] = {}  # plain numbers, the same in every process
+
+
+def fit(spark: SparkSession, n: int = ROWS, seed: int = SEED) -> Model:
+    if (n, seed) in _FITTED:
+        return _FITTED[n, seed]
     made = F.from_json(F.lit(json.dumps(snippets(n, seed))), "array<struct<kind:string,label:int,text:string>>")
     rows = spark.range(1).select(F.explode(made).alias("r")).select("r.*")
     proposed = F.concat(*[F.transform(candidates(F.col("text"), i), lambda c: c["f"]) for i in range(len(GENERATORS))])
@@ -241,86 +251,79 @@ def fit(spark: SparkSession, n: int = TRAIN_ROWS, seed: int = SEED) -> Model:
     trees = boost(x[half], y[half])
     score = sum(RATE * run_tree(t, x) for t in trees)
     thresholds: dict[str, float | None] = {}
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         m = ~half & (kinds == kind)
         order = np.argsort(-score[m], kind="stable")
         s, right = score[m][order], np.cumsum(y[m][order]) / np.arange(1, m.sum() + 1)
         good = np.flatnonzero(right >= PRECISION)
-        thresholds[kind] = max(float(s[good[-1]]), LEAST) if len(good) else None
-    return Model(trees, thresholds)
+        thresholds[kind] = float(s[good[-1]]) if len(good) else None
+    _FITTED[n, seed] = Model(trees, thresholds)
+    return _FITTED[n, seed]
 
 
-# ---- the operator ------------------------------------------------------------------------------------------------
+# ---- the operator ------------------------------------------------------------------------------------------------------
 
 
-def _plain(spans: Column) -> Column:
-    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+def _ordered(k: int, spans: Column) -> Column:
+    """Base spans of one kind as (start, minus end, kind, added)."""
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("d"), F.lit(k).alias("k"), F.lit(0).alias("added")))
 
 
-def _listed(kind: str, spans: Column) -> Column:
-    return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["s"], x["e"]))
+def _added(base: Column, chosen: Column) -> Column:
+    """The chosen spans that no base span reaches into and no earlier chosen one.  In the order of starts, the greatest base end
+    so far and the least base start from here on tell what overlaps, so that the work grows with the number of spans."""
+    from_left = lambda u: scan(F.transform(u, lambda x: F.when(x["added"] == 0, -x["d"]).otherwise(0)), lambda a, b: F.greatest(a, b), F.lit(0))
+    from_right = lambda u: F.reverse(scan(F.transform(F.reverse(u), lambda x: F.when(x["added"] == 0, x["s"]).otherwise(FAR)), lambda a, b: F.least(a, b), F.lit(FAR)))
+    apart = lambda v: F.filter(v["u"], lambda x, i: (x["added"] == 1) & (F.get(v["left"], i) <= x["s"]) & (F.get(v["right"], i) >= -x["d"]))
+    free = let(F.sort_array(F.concat(base, chosen)), lambda u: let(F.struct(u.alias("u"), from_left(u).alias("left"), from_right(u).alias("right")), apart))
+    ends = lambda s: scan(F.transform(s, lambda x: -x["d"]), lambda a, b: F.greatest(a, b), F.lit(0))
+    return let(free, lambda s: let(ends(s), lambda e: F.filter(s, lambda x, i: (i == 0) | (F.get(e, i - 1) <= x["s"]))))
 
 
-def find_spans(df: DataFrame, model: Model | None = None, keep_text: bool = False) -> DataFrame:
-    """doc_id and, for each kind, base_<kind> and added_<kind>: arrays of (s, e) in ascending order of s."""
-    model = model or fit(df.sparkSession)
-    rows = pick(df, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit(""))) if not keep_text else df
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = rows.select("*", *[_plain(base_spans(text, k)).alias(f"base_{k}") for k in KINDS])
-    rows = rows.withColumn("base_all", F.concat(*[F.col(f"base_{k}") for k in KINDS]))
-    apart = lambda x, others: ~F.exists(others, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    for kind in KINDS:
-        limit = model.thresholds[kind]
-        empty = F.expr("cast(array() as array<struct<s:int,e:int>>)")
-        if limit is None:
-            rows = rows.withColumn(f"added_{kind}", empty)
-            continue
-        chosen = F.concat(*[_selected(text, i, model, limit) for i, g in enumerate(GENERATORS) if g[0] == kind])
-        free = lambda c: let(F.struct(_longest_first(c).alias("c"), F.col("base_all").alias("t")), lambda v: F.filter(v["c"], lambda x: apart(x, v["t"])))
-        # of the rest, a span stays if no earlier one of its kind reaches into it
-        first = lambda s: let(scan(F.transform(s, lambda x: x["e"]), lambda a, b: F.greatest(a, b), F.lit(0)), lambda ends: F.filter(s, lambda x, i: (i == 0) | (F.get(ends, i - 1) <= x["s"])))
-        rows = rows.withColumn(f"added_{kind}", let(chosen, lambda c: F.when(F.size(c) > 0, let(free(c), first)).otherwise(empty)))
-        rows = rows.withColumn("base_all", F.concat("base_all", f"added_{kind}"))
-    return rows.drop("base_all")
+def spans_of(text: Column, model: Model) -> Column:
+    """All spans of a text as (s, d = minus end, k, added), base ones first."""
+    text = F.coalesce(text, F.lit(""))
+    base = F.concat(*[_ordered(i, base_spans(text, k)) for i, k in enumerate(KINDS)])
+    proposed = F.concat(*[candidates(text, i) for i in range(len(GENERATORS))])
+    chosen = F.transform(F.filter(proposed, model.selects), lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("d"), c["k"].alias("k"), F.lit(1).alias("added")))
+    both = F.struct(base.cast(SPANS).alias("b"), chosen.cast(SPANS).alias("c"))
+    return let(both, lambda v: F.when(F.size(v["c"]) > 0, F.concat(v["b"], _added(v["b"], v["c"]))).otherwise(v["b"]))
 
 
-def _longest_first(spans: Column) -> Column:
-    """By start, the longest of equal starts first."""
-    keyed = F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("d"))))
-    return F.transform(keyed, lambda x: F.struct(x["s"].alias("s"), (-x["d"]).alias("e")))
-
-
-def _selected(text: Column, number: int, model: Model, limit: float) -> Column:
-    return _plain(F.filter(candidates(text, number), lambda c: model.score(c["f"]) >= limit))
+def _listed(spans: Column) -> Column:
+    """kind:start:end of spans by kind as listed, then start, joined by commas."""
+    names = F.array(*map(F.lit, ALL_KINDS))
+    keyed = F.sort_array(F.transform(spans, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), (-x["d"]).alias("e"))))
+    return F.array_join(F.transform(keyed, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"])), ",")
 
 
 def report(df: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, n_<kind> (base spans), base_sha256, spans (base and added)."""
-    found = find_spans(df, model)
-    base = F.concat(*[_listed(k, F.col(f"base_{k}")) for k in KINDS])
-    every = F.concat(*[_listed(k, F.sort_array(F.concat(f"base_{k}", f"added_{k}"))) for k in KINDS])
-    return found.select("doc_id", *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"))
+    """doc_id, n_<kind> (base spans), base_sha256, spans (base and added), n_spans."""
+    model = model or fit(df.sparkSession)
+    found = pick(df, doc_id="long", text="string").select("doc_id", spans_of(F.col("text"), model).alias("found"))
+    base = F.filter("found", lambda x: x["added"] == 0)
+    count = lambda i: F.size(F.filter("found", lambda x: (x["added"] == 0) & (x["k"] == i))).cast("long")
+    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))
 
 
 def redact(df: DataFrame, model: Model | None = None) -> DataFrame:
     """df with each span of the text replaced by its kind in brackets, overlapping spans by the first one's; n_chars,
-    if there, is counted anew.  All columns are kept."""
-    names = df.columns
-    found = find_spans(df, model, keep_text=True)
-    marked = lambda k: F.transform(F.concat(f"base_{k}", f"added_{k}"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k.upper()).alias("k")))
-    found = found.withColumn("_spans", F.sort_array(F.concat(*[marked(k) for k in KINDS])))
+    if there, is counted anew.  All columns are kept, whatever their names."""
+    model, names, held = model or fit(df.sparkSession), df.columns, unlike(df, "found")
+    label = F.array(*[F.lit(f"[{k.upper()}]") for k in ALL_KINDS])
+    found = df.withColumn(held, F.sort_array(F.transform(spans_of(F.col("text"), model), lambda x: F.struct(x["s"].alias("s"), (-x["d"]).alias("e"), x["k"].alias("k")))))
 
     def rebuilt(v: Column) -> Column:
         spans, text = v["spans"], v["text"]
 
         def joined(ends: Column) -> Column:
             before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
-            part = lambda x, i: F.when(x["s"] >= before(i), F.concat(F.substr(text, before(i) + 1, x["s"] - before(i)), F.lit("["), x["k"], F.lit("]"))).otherwise("")
+            part = lambda x, i: F.when(x["s"] >= before(i), F.concat(F.substr(text, before(i) + 1, x["s"] - before(i)), F.get(label, x["k"]))).otherwise("")
             return F.concat(F.array_join(F.transform(spans, part), ""), F.substr(text, F.element_at(ends, -1) + 1))
 
         return let(scan(F.transform(spans, lambda x: x["e"]), lambda a, b: F.greatest(a, b), F.lit(0)), joined)
 
-    text = F.when(F.size("_spans") > 0, let(F.struct(F.col("_spans").alias("spans"), F.col("text")), rebuilt)).otherwise(F.col("text"))
+    text = F.when(F.size(held) > 0, let(F.struct(F.col(held).alias("spans"), F.col("text").alias("text")), rebuilt)).otherwise(F.col("text"))
     out = found.withColumn("text", text)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(dict(df.dtypes)["n_chars"]), F.col("n_chars")))
