@@ -62,23 +62,35 @@ def eligible(pages: DataFrame, host: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder; the session's own folder is set only where none is (as in tests)."""
+    """df written to the shared checkpoint folder; a folder of our own is set only where none is and all runs on one machine."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sitewright-"))
     return df.checkpoint()
 
 
-def sitemap_chunks(urls: DataFrame, most: int = C.SITEMAP_URLS) -> DataFrame:
-    """url, chunk: runs of `most` URLs in order.  URLs are dealt into sorted ranges, which the checkpoint fixes; a URL's
-    place is its range's offset and its place there, and only the range counts meet."""
+def sitemap_chunks(urls: DataFrame, most: int = C.SITEMAP_URLS, most_bytes: int = C.SITEMAP_BYTES, extra: int = 40) -> DataFrame:
+    """url, chunk: runs of URLs in order, each of at most `most` URLs and most_bytes (an entry takes its URL and `extra`).
+
+    URLs are dealt into sorted ranges, which the checkpoint fixes.  A URL's place in count and bytes is its range's offset and its
+    place there; only the ranges' sums meet.  Runs of `most` are cut where a multiple of the bytes is passed as well, so no
+    chunk is too large and none needs the chunk before it; at the end of a run a chunk may be smaller than it could be."""
     placed = cut(urls.select("url").repartitionByRange("url").sortWithinPartitions("url"))
-    placed = placed.select("url", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
-    counts = placed.groupBy("range").agg(F.count("*").alias("n"))
-    before = counts.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return placed.join(before, "range").select("url", F.floor((F.col("before") + F.col("place")) / most).alias("chunk"))
+    placed = placed.select("url", F.spark_partition_id().alias("range"), (F.octet_length("url") + extra).cast("long").alias("b"))
+    sums = placed.groupBy("range").agg(F.count("*").alias("n"), F.sum("b").alias("s"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"before_{c}") for c in "ns"])
+    inside = Window.partitionBy("range").orderBy("url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = placed.withColumns({"i": F.count("*").over(inside), "to": F.sum("b").over(inside)}).join(before, "range")
+    run = F.floor((F.col("before_n") + F.col("i") - 1) / most)
+    part = F.floor((F.col("before_s") + F.col("to") - 1) / (most_bytes / 2))  # entries that end in one half of the limit
+    known = known.select("url", run.alias("run"), part.alias("part"))
+    groups = known.groupBy("run", "part").count().select("run", "part", (F.dense_rank().over(Window.orderBy("run", "part")) - 1).cast("long").alias("chunk"))
+    return known.join(groups, ["run", "part"]).select("url", "chunk")
 
 
 def greedy_chunks(sizes: list[int], most: int = C.SITEMAP_URLS, most_bytes: int = C.SITEMAP_BYTES, extra: int = 40) -> list[int]:

@@ -25,6 +25,7 @@ class Crawl:
     coverage: DataFrame
     sitemaps: DataFrame
     robots: DataFrame
+    locs: DataFrame
     counters: dict = field(default_factory=dict)
 
 
@@ -52,8 +53,12 @@ def read_sitemaps(spark: SparkSession, candidates: DataFrame, host: str, fetch,
     return done, locs
 
 
-def crawl(spark: SparkSession, base: str, fetch, max_pages: int = 300) -> Crawl:
-    """Pages reached from the base and the sitemaps, at most max_pages (the documented limit of a crawl)."""
+QUEUE = 4  # URLs that may wait, in parts of max_pages
+
+
+def crawl(spark: SparkSession, base: str, fetch, max_pages: int = 300, allow_noindex: tuple[str, ...] = ()) -> Crawl:
+    """Pages reached from the base and the sitemaps, at most max_pages (the documented limit of a crawl); what is found beyond
+    QUEUE times as many waiting URLs counts as cut.  allow_noindex: pages that are meant to stay out of the index."""
     one = spark.createDataFrame([(base,)], "url string").select(U.normalize("url").alias("url"))
     home, host = one.select("url", U.host_of("url").alias("h")).first()
     root = home.split("//", 1)[0] + "//" + host
@@ -73,9 +78,11 @@ def crawl(spark: SparkSession, base: str, fetch, max_pages: int = 300) -> Crawl:
     blocked_seeds = seeds.where("not allowed").count()
     level = P.cut(seeds.where("allowed").select("url", (F.col("url") != home).cast("int").alias("rank")).orderBy("rank", "url").limit(max_pages))
     waiting = seeds.where("allowed").count() - level.count()
+    truncated = waiting + level.count() > QUEUE * max_pages
+    allowed_out = tuple(r["u"] for r in spark.createDataFrame([(u,) for u in allow_noindex], "u string").select(U.normalize("u").alias("u")).collect())
     pages, seen, depth, fetched = None, level.select("url"), 0, 0
     while level.limit(1).count():
-        got = html.page_records(tables.fetch_all(level, fetch, 0)).withColumn("depth", F.lit(depth))
+        got = html.page_records(tables.fetch_all(level, fetch, 0), allow_noindex=allowed_out).withColumn("depth", F.lit(depth))
         got = P.cut(got)
         fetched += got.count()
         pages = got if pages is None else pages.unionByName(got)
@@ -83,6 +90,7 @@ def crawl(spark: SparkSession, base: str, fetch, max_pages: int = 300) -> Crawl:
         fresh = P.cut(allowed(eligible(same.where("url is not null")).join(seen, "url", "left_anti")).where("allowed").select("url"))
         n, room = fresh.count(), max(0, max_pages - fetched)
         waiting += max(0, n - room)
+        truncated |= n + waiting > QUEUE * max_pages
         level = P.cut(fresh.orderBy("url").limit(room))
         seen = P.cut(seen.unionByName(level.select("url")))
         depth += 1
@@ -92,8 +100,9 @@ def crawl(spark: SparkSession, base: str, fetch, max_pages: int = 300) -> Crawl:
     bad = pages.agg(F.count_if(F.col("error").isNotNull()).alias("network"), F.count_if(F.coalesce(F.col("status") >= 400, F.lit(False))).alias("http")).first()
     present = robots.agg(F.count_if((F.coalesce("status", F.lit(0)) >= 500) | F.col("status").isNull()).alias("n")).first()["n"]
     maps = files.agg(F.count_if((F.col("status") == 200) & ~F.col("parsed")).alias("invalid"), F.count_if(F.col("error") == "inspection_limit").alias("cut")).first()
-    counters = {"max_pages": max_pages, "pages_fetched": fetched, "queued_remaining": waiting, "queue_truncated": False, "blocked_seeds": blocked_seeds, "network_errors": bad["network"], "http_errors": bad["http"], "robots_unavailable": present > 0, "sitemap_invalid": maps["invalid"], "sitemap_truncated": maps["cut"]}
-    return Crawl(pages, rules.coverage(spark.createDataFrame([tuple(counters.values())], list(counters))), files, robots, counters)
+    counters = {"max_pages": max_pages, "pages_fetched": fetched, "queued_remaining": waiting, "queue_truncated": truncated, "blocked_seeds": blocked_seeds, "network_errors": bad["network"], "http_errors": bad["http"], "robots_unavailable": present > 0, "sitemap_invalid": maps["invalid"], "sitemap_truncated": maps["cut"]}
+    listed = P.cut(eligible(locs))
+    return Crawl(pages, rules.coverage(spark.createDataFrame([tuple(counters.values())], list(counters))), files, robots, listed, counters)
 
 
 def site_row(spark: SparkSession, base: str, c: Crawl, fetch) -> DataFrame:
@@ -110,8 +119,11 @@ def site_row(spark: SparkSession, base: str, c: Crawl, fetch) -> DataFrame:
     row = robots.select(F.lit(root).alias("base"), F.col("status").alias("robots_status"), F.col("present").alias("robots_present"), R.declared_sitemaps("raw").alias("sitemap_declared"))
     for one in (policies, locs, c.coverage.select("complete", "reasons")):
         row = row.crossJoin(F.broadcast(one))  # one row each
-    none = F.expr("cast(array() as array<string>)")
-    return row.withColumns({"only_in_sitemap": none, "only_in_crawl": none, "llms_status": F.lit(llms.get("status")).cast("int"), "probe_404": F.lit(missing.get("status")).cast("int"), "redirect_hops": F.lit(home.get("redirects") or 0), "alt_host": F.lit(host["alt"]).cast("string"), "alt_result": F.lit(result)})
+    indexable = c.pages.where((F.col("status") == 200) & ~rules.noindex()).select(U.normalize("url").alias("url"))
+    apart = P.set_difference(c.locs, c.pages.select(U.normalize("url").alias("url"))).where("side = 'only_in_sitemap'").unionByName(P.set_difference(c.locs, indexable).where("side = 'only_in_crawl'"))
+    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("url")))).alias(s)
+    row = row.crossJoin(F.broadcast(apart.agg(side("only_in_sitemap"), side("only_in_crawl"))))  # one row: at most the pages of one crawl
+    return row.withColumns({"llms_status": F.lit(llms.get("status")).cast("int"), "probe_404": F.lit(missing.get("status")).cast("int"), "redirect_hops": F.lit(home.get("redirects") or 0), "alt_host": F.lit(host["alt"]).cast("string"), "alt_result": F.lit(result)})
 
 
 def analyze(pages: DataFrame, site: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

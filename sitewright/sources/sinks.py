@@ -47,15 +47,17 @@ def form_csv(rows: list[dict], path: str | Path) -> None:
     write_bytes(path, b"\xef\xbb\xbf" + out.getvalue().encode())
 
 
-def write_sitemaps(chunks: DataFrame, path: str) -> None:
-    """urls with chunk -> one folder a chunk of XML entries, made in the executors and in order."""
+def write_sitemaps(chunks: DataFrame, path: str, namespace: str) -> None:
+    """urls with chunk -> one whole sitemap file in each folder chunk=N, made in the executors and in order.  A chunk is bound by
+    the limits of the format, so one row holds its text."""
     from pyspark.sql import functions as F
 
     from ..functions import text as X
 
-    entry = F.concat(F.lit("  <url><loc>"), X.html_escape("url"), F.lit("</loc></url>"))
-    ranged = chunks.repartition("chunk").sortWithinPartitions("chunk", "url")
-    ranged.select("chunk", entry.alias("value")).write.mode("overwrite").partitionBy("chunk").text(path)
+    entry = F.concat(F.lit("  <url><loc>"), X.html_escape("url"), F.lit("</loc></url>\n"))
+    body = chunks.groupBy("chunk").agg(F.array_join(F.array_sort(F.collect_list(F.struct("url", entry.alias("x"))))["x"], "").alias("x"))
+    head, end = f'<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="{namespace}">\n', "</urlset>"
+    body.repartition("chunk").select("chunk", F.concat(F.lit(head), "x", F.lit(end)).alias("value")).write.mode("overwrite").partitionBy("chunk").text(path)
 
 
 def write_snapshot(rows: DataFrame, path: str, force: bool = False) -> None:
