@@ -14,6 +14,7 @@ from ..operators import diff as D
 from ..operators import measure as M
 from ..operators import pages as P
 from ..operators import rules
+from ..operators import verify as V
 from ..sources import standins as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,23 +126,95 @@ def finding_counts(spark, d):
     return rules.page_findings(_page_table(spark, d)).select("code", F.col("count").alias("n"))
 
 
-@query()
+_TESTS = {
+    "NOINDEX": "noindex", "SNIPPET_RESTRICTED": "restricted", "TITLE_MISSING": "coalesce(title,'')=''", "TITLE_DUPLICATE": "title IN (SELECT title FROM ok WHERE title<>'' GROUP BY 1 HAVING count(*)>1)",
+    "TITLE_TOO_LONG": "length(title)>60", "TITLE_TOO_SHORT": "title<>'' AND length(title)<20", "DESC_MISSING": "coalesce(meta_description,'')=''",
+    "DESC_DUPLICATE": "meta_description IN (SELECT meta_description FROM ok WHERE meta_description<>'' GROUP BY 1 HAVING count(*)>1)", "DESC_TOO_SHORT": "meta_description<>'' AND length(meta_description)<75",
+    "JSONLD_MISSING": "true", "CANONICAL_MISSING": "coalesce(canonical,'')=''", "CANONICAL_NOT_SELF": "canonical='/other' AND NOT regexp_matches(url,'^[a-z]+://[^/]+/other/*$')", "THIN_TEXT": "text_chars<300",
+}
+_LANES_OF = ("('NOINDEX','SEO','critical'),('SNIPPET_RESTRICTED','AEO','warn'),('TITLE_MISSING','SEO','critical'),('TITLE_DUPLICATE','SEO','warn'),('TITLE_TOO_LONG','SEO','info'),('TITLE_TOO_SHORT','SEO','warn'),('DESC_MISSING','SEO','warn'),"
+    "('DESC_DUPLICATE','SEO','warn'),('DESC_TOO_SHORT','SEO','info'),('JSONLD_MISSING','AEO','info'),('CANONICAL_MISSING','SEO','warn'),('CANONICAL_NOT_SELF','SEO','info'),('THIN_TEXT','SEO','warn'),('HTTP_ERROR','SEO','warn')")
+_HITS = " UNION ALL ".join(["SELECT 'HTTP_ERROR' AS code, url, pos FROM p WHERE status>=400", *[f"SELECT '{c}', url, pos FROM ok WHERE {t}" for c, t in _TESTS.items()]])
+
+
+@query(f"""WITH p AS {_PT}, ok AS (SELECT * FROM p WHERE status=200), h AS ({_HITS}), r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY pos, url) AS rn FROM h),
+ g AS (SELECT code, count(*) AS count, string_agg(url, ' ' ORDER BY rn) FILTER (rn<=20) AS urls FROM r GROUP BY 1), n AS (SELECT greatest(1, count(*)) AS total FROM ok)
+ SELECT lane, CASE WHEN code='THIN_TEXT' AND count>total*0.5 THEN 'critical' ELSE severity END AS severity, code, count, urls, round_even(count/total::DOUBLE,3) AS ratio FROM g JOIN (VALUES {_LANES_OF}) l(code,lane,severity) USING (code), n
+ UNION ALL SELECT lane, severity, code, 0, '', 0.0 FROM (VALUES ('AEO','info','FAQ_MISSING'),('LLMO','info','ORG_JSONLD_MISSING'),('NEO','warn','NAVER_VERIFY_MISSING')) t(lane,severity,code)""")
 def finding_table(spark, d):
     return rules.page_findings(_page_table(spark, d)).withColumn("urls", F.array_join("urls", " "))
 
 
+# ---- rules of a site: nations stand in for sites, with facts that follow from their keys ----------------------------------
+
+_ANSWER = [*C.CRAWLERS["search"], *C.CRAWLERS["fetch"]]
+
+
+def _sites(spark, d):
+    n, key = S.table(spark, d, "nation"), F.col("n_nationkey")
+    policy = lambda uas, test, value: F.map_from_arrays(F.array(*map(F.lit, uas)), F.array(*[F.when(test, value).otherwise("explicit-allow")] * len(uas)))
+    blocked = F.map_concat(policy(_ANSWER, key % 6 == 1, "explicit-block"), policy(C.CRAWLERS["training"], key % 6 == 2, "star-block"), policy(C.CRAWLERS["korean"], key % 6 == 3, "explicit-block"))
+    other = F.map_concat(policy(_ANSWER, key % 6 == 4, "star-partial"), policy(C.CRAWLERS["training"], key % 6 == 5, "none"), policy(C.CRAWLERS["korean"], F.lit(False), "none"))
+    some = lambda test, c: F.when(test, F.array(c)).otherwise(F.expr("cast(array() as array<string>)"))
+    base = F.concat(F.lit("https://"), F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))), F.lit(".example"))
+    return n.select(
+        base.alias("base"), F.when(key % 5 == 0, 404).otherwise(200).alias("robots_status"), (key % 5 != 0).alias("robots_present"), some(key % 4 != 0, F.concat(base, F.lit("/sitemap.xml"))).alias("sitemap_declared"),
+        F.array(F.struct(F.concat(base, F.lit("/sitemap.xml")).alias("url"), F.when(key % 7 == 0, 404).otherwise(200).alias("status"), F.lit(True).alias("parsed"))).alias("sitemaps"),
+        some(key % 3 == 0, F.concat(base, F.lit("/old"))).alias("only_in_sitemap"), some(key % 3 == 1, F.concat(base, F.lit("/new"))).alias("only_in_crawl"), (key % 8 != 0).alias("complete"),
+        F.expr("cast(array() as array<string>)").alias("reasons"), F.when(key % 2 == 0, 404).otherwise(200).alias("llms_status"), F.when(key % 9 == 0, 200).otherwise(404).alias("probe_404"), (key % 4).cast("int").alias("redirect_hops"),
+        F.lit("www.other.example").alias("alt_host"), F.when(key % 10 == 0, "dns_fail").when(key % 10 == 1, "tls_fail").otherwise("ok").alias("alt_result"), F.when(key % 6 < 4, blocked).otherwise(other).alias("policies"))
+
+
+_N_ANSWER, _N_TRAINING, _N_KOREAN = len(_ANSWER), len(C.CRAWLERS["training"]), len(C.CRAWLERS["korean"])
+_SITE_TESTS = (
+    ("ROBOTS_MISSING", "SEO", "warn", "k%5=0", "1", "base||'/robots.txt'"), ("SITEMAP_NOT_DECLARED", "SEO", "warn", "k%5<>0 AND k%4=0", "1", "base||'/robots.txt'"), ("SITEMAP_MISSING", "SEO", "warn", "k%7=0", "1", "base||'/sitemap.xml'"),
+    ("SITEMAP_CRAWL_MISMATCH", "SEO", "warn", "k%7<>0 AND k%3=0", "1", "base||'/old'"), ("SITEMAP_CRAWL_MISMATCH", "SEO", "warn", "k%7<>0 AND k%3=1", "1", "base||'/new'"), ("CRAWL_INCOMPLETE", "SEO", "critical", "k%8=0", "0", "''"),
+    ("LLMS_TXT_MISSING", "GEO", "info", "k%2=0", "1", "base||'/llms.txt'"), ("SOFT_404", "SEO", "warn", "k%9=0", "0", "''"), ("REDIRECT_HOPS", "SEO", "info", "k%4>1", "0", "''"), ("ALT_HOST_UNREACHABLE", "SEO", "warn", "k%10<2", "1", "'https://www.other.example/'"),
+    ("AI_CRAWLER_BLOCKED", "GEO", "critical", "k%6=1", str(_N_ANSWER), "''"), ("AI_TRAINING_BLOCKED", "GEO", "info", "k%6=2", str(_N_TRAINING), "''"), ("NAVER_CRAWLER_BLOCKED", "NEO", "critical", "k%6=3", str(_N_KOREAN), "''"),
+    ("AI_CRAWLER_PARTIAL", "GEO", "warn", "k%6=4", str(_N_ANSWER), "''"), ("AI_CRAWLER_UNDECLARED", "GEO", "info", "k%6=5", str(_N_TRAINING), "''"),
+)
+_SITE = "s AS (SELECT n_nationkey AS k, 'https://'||lower(replace(n_name,' ','-'))||'.example' AS base FROM nation)"
+
+
+@query(f"WITH {_SITE} " + " UNION ALL ".join(f"SELECT base, '{lane}' AS lane, '{sev}' AS severity, '{code}' AS code, CAST({n} AS BIGINT) AS count, {url} AS urls FROM s WHERE {test}" for code, lane, sev, test, n, url in _SITE_TESTS))
+def site_rule_findings(spark, d):
+    return rules.site_findings(_sites(spark, d)).select("base", "lane", "severity", "code", "count", F.array_join("urls", " ").alias("urls"))
+
+
+# ---- checks of a deployed site ----------------------------------------------------------------------------------------------
+
+_BARE = "(SELECT DISTINCT url FROM p)"
+
+
+@query(f"""WITH p AS {_PT}, w AS (SELECT DISTINCT url FROM p WHERE pos%22=0), j AS (SELECT p.status=200 AS ok, p.noindex AS now, w.url IS NOT NULL AS was FROM {_BARE} e JOIN p USING (url) LEFT JOIN w ON w.url=e.url),
+ c AS (SELECT count(*) FILTER (ok) AS a, count(*) FILTER (NOT ok) AS u, count(*) FILTER (ok AND now AND NOT was) AS n FROM j) SELECT 'noindex' AS id, CASE WHEN n>0 OR a=0 THEN 'fail' WHEN u>0 THEN 'warn' ELSE 'pass' END AS status, CAST(a AS VARCHAR) AS checked, CAST(u AS VARCHAR) AS unverified FROM c""")
+def check_noindex(spark, d):
+    live = _page_table(spark, d)
+    got = V.noindex_check(live.select("url").distinct(), live, live.where("pos % 22 = 0").select("url").distinct())
+    return got.select("id", "status", F.col("evidence")["checked"].alias("checked"), F.col("evidence")["unverified"].alias("unverified"))
+
+
+@query(f"""WITH p AS {_PT}, j AS (SELECT b.status=200 AS ok, a.title AS have, CASE WHEN a.pos%4=0 THEN 'new '||a.title ELSE a.title END AS want, b.title AS live FROM p a JOIN p b USING (url)),
+ c AS (SELECT count(*) FILTER (ok) AS k, count(*) FILTER (NOT ok) AS u, count(*) FILTER (ok AND trim(want)<>trim(coalesce(live,''))) AS m FROM j WHERE coalesce(want,'')<>''), g AS (SELECT count(*) AS n FROM (SELECT title FROM p WHERE status=200 AND title<>'' GROUP BY 1 HAVING count(*)>1))
+ SELECT 'meta.applied' AS id, CASE WHEN k=0 AND u=0 THEN 'skip' WHEN m>0 THEN 'fail' WHEN u>0 THEN 'warn' ELSE 'pass' END AS status, CAST(m AS VARCHAR) AS n FROM c UNION ALL SELECT 'meta.duplicate', CASE WHEN n>0 THEN 'fail' ELSE 'pass' END, CAST(n AS VARCHAR) FROM g""")
+def check_meta(spark, d):
+    live = _page_table(spark, d)
+    drafts = live.select("url", F.when(F.col("pos") % 4 == 0, F.concat(F.lit("new "), "title")).otherwise(F.col("title")).alias("draft_title"), F.lit(f"{C.TODO}: description>>").alias("draft_description"), F.lit(None).cast("string").alias("draft_canonical"))
+    return V.meta_checks(drafts, live).select("id", "status", F.coalesce(F.col("evidence")["misses"], F.col("evidence")["groups"]).alias("n"))
+
+
 @query(f"WITH p AS {_PT}, ok AS (SELECT * FROM p WHERE status=200) SELECT (SELECT count(*) FROM p) AS pages_crawled, count(DISTINCT nullif(title,'')) AS unique_titles, count(DISTINCT nullif(meta_description,'')) AS unique_descriptions, CAST(0 AS BIGINT) AS pages_with_jsonld, count(*) FILTER (noindex) AS pages_noindex FROM ok")
 def audit_stats(spark, d):
     return rules.stats(_page_table(spark, d))
 
 
-_SITEMAP = f"s AS (SELECT DISTINCT {NORM} AS url FROM pages WHERE page_id%3<>0), c AS (SELECT DISTINCT {NORM} AS url FROM pages WHERE page_id%2=0)"
+_SITEMAP = f"s AS (SELECT DISTINCT {NORM} AS url FROM pages WHERE page_id%3<>0), c AS (SELECT DISTINCT {NORM} AS url FROM pages WHERE page_id%3<2)"
 
 
 @query(f"WITH {_SITEMAP} SELECT url, 'only_in_sitemap' AS side FROM s WHERE url NOT IN (SELECT url FROM c) UNION ALL SELECT url, 'only_in_crawl' FROM c WHERE url NOT IN (SELECT url FROM s)")
 def sitemap_vs_crawl(spark, d):
     p = _pages(spark, d).withColumn("url", U.normalize("url"))
-    return P.set_difference(p.where("page_id % 3 <> 0"), p.where("page_id % 2 = 0"))
+    return P.set_difference(p.where("page_id % 3 <> 0"), p.where("page_id % 3 < 2"))  # every page is on one side at least
 
 
 @query(f"WITH p AS {_PT}, h AS (SELECT {HOST} AS host FROM pages GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT DISTINCT url FROM p WHERE status=200 AND NOT noindex AND {HOST}=(SELECT host FROM h) AND (canonical IS NULL OR rtrim(canonical,'/')=rtrim(url,'/'))")
@@ -182,12 +255,12 @@ def breadcrumb_depths(spark, d):
 
 # ---- texts ----------------------------------------------------------------------------------------------------------
 
-_HEAD = "left(regexp_replace(text,'\\s+',' ','g'),60)"
+_SQUEEZED = "regexp_replace(text,'\\s+',' ','g')"
 
 
-@query(f"SELECT doc_id, CASE WHEN len(regexp_extract_all(t,'[가-힣]'))>=greatest(1.0,length(t)*0.15) THEN 'ko' ELSE 'en' END AS script, CASE WHEN length(t)=0 THEN 'none' WHEN length(t)<50 THEN 'short' WHEN length(t)>60 THEN 'long' ELSE 'ok' END AS verdict FROM (SELECT doc_id, {_HEAD} AS t FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN len(regexp_extract_all(t,'[가-힣]'))>=greatest(1.0,length(t)*0.15) THEN 'ko' ELSE 'en' END AS script, CASE WHEN length(t)=0 THEN 'none' WHEN length(t)<50 THEN 'short' WHEN length(t)>60 THEN 'long' ELSE 'ok' END AS verdict FROM (SELECT doc_id, {_SQUEEZED} AS t FROM documents)")
 def title_length_verdict(spark, d):
-    t = F.substring(F.regexp_replace("text", r"\s+", " "), 1, 60)
+    t = F.regexp_replace("text", r"\s+", " ")
     return S.table(spark, d, "documents").select("doc_id", X.script_of(t).alias("script"), X.length_verdict(t, C.TITLE_BAND).alias("verdict"))
 
 
@@ -201,9 +274,9 @@ def missing_ratio(spark, d):
     return S.table(spark, d, "documents").agg(F.count("*").alias("pages"), F.count_if(rules.missing("lang")).alias("no_lang"), F.count_if(rules.missing("text")).alias("no_text"), X.ratio(F.count_if(F.char_length("text") < 300), F.count("*")).alias("thin_ratio"))
 
 
-@query(f"WITH t AS (SELECT doc_id, {_HEAD} AS draft_title FROM documents), n AS (SELECT draft_title, count(*) k FROM t GROUP BY 1) SELECT doc_id, k>1 AS duplicate FROM t JOIN n USING (draft_title)")
+@query(f"WITH t AS (SELECT doc_id, {_SQUEEZED} AS draft_title FROM documents), n AS (SELECT draft_title, count(*) k FROM t GROUP BY 1) SELECT doc_id, k>1 AS duplicate FROM t JOIN n USING (draft_title)")
 def meta_duplicate_flag(spark, d):
-    drafts = S.table(spark, d, "documents").select("doc_id", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 60).alias("draft_title"))
+    drafts = S.table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("draft_title"))
     return P.draft_duplicates(drafts).select("doc_id", "duplicate")
 
 
@@ -436,10 +509,10 @@ def metric_classification(spark, d):
 def _halves(spark, d):
     """Findings-like counts of two halves of documents: one code a source and script."""
     docs = S.table(spark, d, "documents").select("doc_id", F.concat(F.lit("C_"), "source").alias("code"), F.when(F.col("doc_id") % 5 == 0, "critical").otherwise("warn").alias("severity"))
-    return docs.where("doc_id % 2 = 0 and code <> 'C_src3'"), docs.where("doc_id % 2 = 1 and code <> 'C_src4'")
+    return docs.where("(doc_id % 2 = 0 and code <> 'C_src3') or code = 'C_src4'"), docs.where("(doc_id % 2 = 1 and code <> 'C_src4') or code = 'C_src3'")
 
 
-_FD = "h AS (SELECT doc_id, 'C_'||source AS code, CASE WHEN doc_id%5=0 THEN 'critical' ELSE 'warn' END AS severity FROM documents), b AS (SELECT code, arg_min(severity, doc_id) AS severity_before, count(*) AS urls_before FROM h WHERE doc_id%2=0 AND code<>'C_src3' GROUP BY 1), a AS (SELECT code, arg_min(severity, doc_id) AS severity_after, count(*) AS urls_after FROM h WHERE doc_id%2=1 AND code<>'C_src4' GROUP BY 1)"
+_FD = "h AS (SELECT doc_id, 'C_'||source AS code, CASE WHEN doc_id%5=0 THEN 'critical' ELSE 'warn' END AS severity FROM documents), b AS (SELECT code, arg_min(severity, doc_id) AS severity_before, count(*) AS urls_before FROM h WHERE (doc_id%2=0 AND code<>'C_src3') OR code='C_src4' GROUP BY 1), a AS (SELECT code, arg_min(severity, doc_id) AS severity_after, count(*) AS urls_after FROM h WHERE (doc_id%2=1 AND code<>'C_src4') OR code='C_src3' GROUP BY 1)"
 
 
 @query(f"WITH {_FD} SELECT code, severity_before, urls_before, severity_after, urls_after, CASE WHEN severity_after IS NULL THEN 'resolved' WHEN severity_before IS NULL THEN 'new' ELSE 'persisting' END AS state FROM b FULL JOIN a USING (code)")
@@ -455,10 +528,30 @@ def stats_diff(spark, d):
     return D.stats_diff(b, a)
 
 
-@query(f"WITH p AS (SELECT DISTINCT {NORM} AS url, page_id%3<>0 AS b, page_id%4<>0 AS a FROM pages), b AS (SELECT DISTINCT url FROM p WHERE b), a AS (SELECT DISTINCT url FROM p WHERE a) SELECT url, 'gone' AS state FROM b WHERE url NOT IN (SELECT url FROM a) UNION ALL SELECT url, 'new' FROM a WHERE url NOT IN (SELECT url FROM b)")
+@query(f"WITH p AS (SELECT DISTINCT {NORM} AS url, page_id%4<>1 AS b, page_id%4<>0 AS a FROM pages), b AS (SELECT DISTINCT url FROM p WHERE b), a AS (SELECT DISTINCT url FROM p WHERE a) SELECT url, 'gone' AS state FROM b WHERE url NOT IN (SELECT url FROM a) UNION ALL SELECT url, 'new' FROM a WHERE url NOT IN (SELECT url FROM b)")
 def page_diff(spark, d):
     p = _pages(spark, d).withColumns({"url": U.normalize("url"), "status": F.lit(200)})
-    return D.page_diff(p.where("page_id % 3 <> 0"), p.where("page_id % 4 <> 0"))
+    return D.page_diff(p.where("page_id % 4 <> 1"), p.where("page_id % 4 <> 0"))  # every page is on one side at least
+
+
+_FDC = f"{_FD}, j AS (SELECT code, severity_before, severity_after, urls_before, urls_after, CASE WHEN severity_after IS NULL THEN 'resolved' WHEN severity_before IS NULL THEN 'new' ELSE 'persisting' END AS state FROM b FULL JOIN a USING (code))"
+
+
+@query(f"""WITH {_FDC}, c AS (SELECT count(*) FILTER (state='resolved') AS r, count(*) FILTER (state='new') AS n, count(*) FILTER (state='persisting') AS p, count(*) FILTER (state='new' AND severity_after='critical') AS nc,
+ count(*) FILTER (state='persisting' AND (severity_after='critical' OR urls_after>urls_before)) AS w FROM j)
+ SELECT 'diff.resolved' AS id, 'pass' AS status, CAST(r AS VARCHAR) AS n FROM c UNION ALL SELECT 'diff.new', CASE WHEN nc>0 THEN 'fail' WHEN n>0 THEN 'warn' ELSE 'pass' END, CAST(n AS VARCHAR) FROM c
+ UNION ALL SELECT 'diff.persisting', CASE WHEN w>0 THEN 'warn' ELSE 'pass' END, CAST(p AS VARCHAR) FROM c UNION ALL SELECT 'diff.scorecard', 'fail', '1' UNION ALL SELECT 'diff.stats', 'pass', '1'
+ UNION ALL SELECT 'diff.pages', CASE WHEN count(*)>0 THEN 'warn' ELSE 'pass' END, CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT {NORM} AS url FROM pages WHERE page_id%4<>1 EXCEPT SELECT DISTINCT {NORM} FROM pages WHERE page_id%4<>0)""")
+def check_diff(spark, d):
+    """Six checks over two sides: findings from documents, pages by page_id, a lane that got worse and one changed figure."""
+    p = _pages(spark, d).withColumns({"url": U.normalize("url"), "status": F.lit(200)})
+    sides = []
+    for rows, pages, lane, value in zip(_halves(spark, d), (p.where("page_id % 4 <> 1"), p.where("page_id % 4 <> 0")), ("ok", "bad"), (1, 2)):
+        found = rows.groupBy("code").agg(F.min_by("severity", "doc_id").alias("severity"), F.count("*").cast("long").alias("count"), F.collect_list(F.col("doc_id").cast("string")).alias("urls")).withColumns({"lane": F.lit("SEO"), "pos": F.lit(0)})
+        board = spark.createDataFrame([("SEO", lane)], "lane string, status string")
+        sides.append({"findings": found, "pages": pages, "scorecard": board, "stats": spark.createDataFrame([("pages", value), ("same", 1)], "key string, value long")})
+    e = F.col("evidence")
+    return V.diff_checks(*sides).select("id", "status", F.coalesce(e["n"], e["worse"], e["changed"], e["gone"]).alias("n"))
 
 
 _FINDINGS = "('SEO','warn','TITLE_DUPLICATE'),('SEO','critical','NOINDEX'),('AEO','info','FAQ_MISSING'),('GEO','warn','AI_CRAWLER_PARTIAL'),('NEO','warn','NAVER_VERIFY_MISSING')"

@@ -7,7 +7,7 @@ import pytest
 from sitewright.plans import queries as Q
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "events documents pages".split()
+TABLES = "events documents pages nation".split()
 
 
 @pytest.fixture(scope="module")
