@@ -192,5 +192,5 @@ def library_encoder(path: str) -> UnitEncoder:
             marks = np.flatnonzero(ids == mark)
             return ids[ids != mark], np.diff(np.concatenate([[-1], marks])) - 1
 
-        cache["library", path] = UnitEncoder(encode_units)
+        cache["library", path] = UnitEncoder(encode_units, limit=1_000_000)
     return cache["library", path]
