@@ -26,6 +26,7 @@ from .quality import FOLDS, training_sample
 from .units import slices
 
 PER_CLASS, MIN_Z, MIN_DOCS = 4000, 4.0, 5
+CHUNK = 1 << 20  # letters of training texts that the driver cuts into words at a time
 SENTENCE_END = r"[.!?]+(?:\s+|$)|\n+"
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -96,30 +97,63 @@ def noisy_or(sentence: np.ndarray, word: np.ndarray, bag: np.ndarray, y: np.ndar
     return theta[:-1], float(theta[-1])
 
 
+def runs(texts: list[str]):
+    """The texts in runs of about CHUNK letters, a longer text by itself: the number of the first, and the run."""
+    group = np.cumsum([len(t or "") for t in texts]) // CHUNK
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    for a, b in zip(edges, edges[1:]):
+        yield a, pa.array(texts[a:b], pa.string())
+
+
+def telling_words(texts: list[str], up: np.ndarray) -> list[str]:
+    """Words whose document share differs between the labels, the most telling first."""
+    number: dict[str, int] = {}
+    hits = np.zeros((2, 1), np.int64)  # documents with label 0 and 1 that hold a word
+    for first, run in runs(texts):
+        words, index, word_at, sentence_at = bags(run)
+        text = np.repeat(np.arange(len(run)), np.diff(word_at[sentence_at]))
+        seen = np.unique(text * len(words) + index)  # a word counts once a document
+        if not len(seen):
+            continue
+        place = np.array([number.setdefault(w, len(number)) for w in words])[seen % len(words)]
+        label = up[first + seen // len(words)].astype(int)
+        if len(number) > hits.shape[1]:
+            hits = np.pad(hits, ((0, 0), (0, len(number) - hits.shape[1])))
+        for k in (0, 1):
+            hits[k] += np.bincount(place[label == k], minlength=hits.shape[1])
+    if not number:
+        return []
+    n1, n0 = up.sum(), (~up).sum()
+    pooled = hits.sum(0) / len(texts)
+    z = np.abs((hits[1] / n1 - hits[0] / n0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n1 + 1 / n0)))
+    names = list(number)
+    able = (hits.sum(0) >= MIN_DOCS) & (z >= MIN_Z) & (np.array([len(w) for w in names]) > 0)
+    return [names[i] for i in np.flatnonzero(able)[np.argsort(-z[able], kind="stable")]]
+
+
 def fit_rows(texts: list[str], labels: np.ndarray, share: float) -> Model:
+    """The texts are cut into words run by run, twice: what is held of all at once is the telling words' places."""
     if len(set(labels.tolist())) < 2:
         return Model({}, 0.0, share)
-    words, index, word_at, sentence_at = bags(pa.array(texts, pa.string()))
-    sentence_of = np.repeat(np.arange(len(word_at) - 1, dtype=np.int32), np.diff(word_at))
-    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(sentence_at))
-    seen = np.unique(text_of[sentence_of].astype(np.int64) * len(words) + index)  # a word counts once a document
     up = labels > 0
-    hits = [np.bincount(seen[m] % len(words), minlength=len(words)) for m in (up[seen // len(words)], ~up[seen // len(words)])]
-    n1, n0 = up.sum(), (~up).sum()
-    pooled = (hits[0] + hits[1]) / len(texts)
-    z = (hits[0] / n1 - hits[1] / n0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n1 + 1 / n0))
-    able = (hits[0] + hits[1] >= MIN_DOCS) & (np.abs(z) >= MIN_Z) & (np.array([len(w) for w in words]) > 0)
-    telling = np.flatnonzero(able)[np.argsort(-np.abs(z[able]), kind="stable")]
-    weight = np.where(up, share / up.mean(), (1 - share) / (~up).mean())
-    if not len(telling):
+    telling = telling_words(texts, up)
+    if not telling:
         return Model({}, 0.0, share)
-    number = np.full(len(words), -1)
-    number[telling] = np.arange(len(telling))
-    at = np.flatnonzero(number[index] >= 0)
-    sentence, place = np.unique(sentence_of[at], return_inverse=True)
-    theta, bias = noisy_or(place, number[index[at]], text_of[sentence], labels, weight, len(telling))
-    model = Model({words[t]: float(v) for t, v in zip(telling, theta)}, bias, 0.0)
-    bare = model.scores(pa.array(texts, pa.string())) < 0.5
+    number = {w: i for i, w in enumerate(telling)}
+    places, found, bag_of, n_sentences = [], [], [], 0
+    for first, run in runs(texts):
+        words, index, word_at, sentence_at = bags(run)
+        which = np.array([number.get(w, -1) for w in words], np.int32)[index] if words else np.empty(0, np.int32)
+        at = np.flatnonzero(which >= 0)
+        sentence, place = np.unique(np.searchsorted(word_at, at, side="right") - 1, return_inverse=True)
+        places.append((place + n_sentences).astype(np.int32))
+        found.append(which[at])
+        bag_of.append((first + np.searchsorted(sentence_at, sentence, side="right") - 1).astype(np.int32))
+        n_sentences += len(sentence)
+    weight = np.where(up, share / up.mean(), (1 - share) / (~up).mean())
+    theta, bias = noisy_or(*map(np.concatenate, (places, found, bag_of)), labels, weight, len(telling))
+    model = Model({t: float(v) for t, v in zip(telling, theta)}, bias, 0.0)
+    bare = np.concatenate([model.scores(run) for _, run in runs(texts)]) < 0.5
     leak = (weight * up)[bare].sum() / max(weight[bare].sum(), 1e-9)
     return Model(model.weight, bias, float(min(leak, 0.45)))
 

@@ -238,3 +238,14 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
     environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", ELSEWHERE.format(repo=repo, shared=f"file://{tmp_path}")], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=600)
     assert "all ran" in done.stdout, done.stderr[-3000:]
+
+
+def test_toxicity_fit_does_not_depend_on_runs(monkeypatch):
+    rng = np.random.default_rng(3)
+    labels = np.arange(120) % 3 == 0
+    say = lambda bad: " ".join(rng.choice(["a", "b", "c", "d"], 6)) + (". You vile fool! " if bad else ". Fine day.\n") + "end"
+    texts = [say(bad) for bad in labels] + ["", "w " * 500]
+    labels = np.append(labels, [False, False]).astype(int)
+    whole = toxicity.fit_rows(texts, labels, 0.3)
+    monkeypatch.setattr(toxicity, "CHUNK", 50)
+    assert toxicity.fit_rows(texts, labels, 0.3).state() == whole.state() and "vile" in whole.weight
