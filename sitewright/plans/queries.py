@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import contracts as C
+from ..functions import http as H
 from ..functions import robots as R
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators import diff as D
 from ..operators import measure as M
+from ..operators import messages as N
 from ..operators import pages as P
 from ..operators import rules
 from ..operators import verify as V
@@ -663,3 +665,68 @@ def parsed_pages(spark, d):
 def host_forms(spark, d):
     t = spark.sql("SELECT * FROM VALUES ('www.a.com'),('a.com'),('localhost'),('10.0.0.1'),('intranet') AS t(host)")
     return t.select("host", U.alternate_host("host").alias("alternate"), U.safe_host("host").alias("file"))
+
+
+# ---- what a fetch brings back, sentences ----------------------------------------------------------------------------
+
+@query("SELECT event_id, 'text/html' AS content_type, 'noindex'||chr(10)||'bot: '||event_type AS robots_tag, 'a=1, b='||user_id AS cookies, 3 AS n FROM events")
+def response_headers(spark, d):
+    """Headers of one response an event, names in mixed case, some repeated, one without a value."""
+    h = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    pairs = F.array(
+        h("Content-Type", F.lit(" text/html ")), h("X-Robots-Tag", F.lit("noindex")), h("Set-Cookie", F.lit("a=1")), h("x-robots-tag", F.concat(F.lit("bot: "), "event_type")),
+        h("SET-COOKIE", F.concat(F.lit("b="), F.col("user_id").cast("string"))), h("Empty", F.lit(None).cast("string")))
+    got = S.table(spark, d, "events").select("event_id", H.headers(pairs).alias("m"))
+    return got.select("event_id", F.col("m")["content-type"].alias("content_type"), F.col("m")["x-robots-tag"].alias("robots_tag"), F.col("m")["set-cookie"].alias("cookies"), F.size("m").alias("n"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'tls_fail' WHEN 'click' THEN 'dns_fail' WHEN 'view' THEN 'timeout' WHEN 'signup' THEN NULL ELSE 'error: '||event_type END AS failure FROM events""")
+def fetch_failures(spark, d):
+    e = F.col("event_type")
+    kind = F.when(e == "error", "SSLCertVerificationError").when(e == "click", "gaierror").when(e == "view", "TimeoutError").when(e == "signup", None).otherwise("ConnectionResetError")
+    return S.table(spark, d, "events").select("event_id", H.failure(kind, e).alias("failure"))
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id%12>10 THEN 'error: too many redirects' WHEN page_id%5=0 THEN 'external_redirect_blocked' WHEN NOT starts_with({HOST},'t') THEN 'external_redirect_blocked'
+ WHEN page_id%3=0 THEN 'redirect_blocked_by_robots' END AS error FROM (SELECT page_id, CASE WHEN starts_with({HOST},'t') THEN url ELSE 'https://elsewhere.example/' END AS url FROM pages)""")
+def redirect_guard(spark, d):
+    """Each page as the target of a redirect from its own host, from another one, by another scheme, after many hops."""
+    p = _pages(spark, d).withColumn("origin", U.host_of("url"))
+    target = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("ftp://"), "origin")).when(F.col("origin").startswith("t"), F.col("url")).otherwise("https://elsewhere.example/")
+    return p.select("page_id", H.redirect_error(F.col("page_id") % 12, target, "origin", F.col("page_id") % 3 != 0).alias("error"))
+
+
+@query("""SELECT doc_id, CASE doc_id%4 WHEN 0 THEN (doc_id%9)||' pages lack a title.' WHEN 1 THEN lang||' pages share a title with another.' WHEN 2 THEN 'stored '||source
+ ELSE 'The home page is '||n_chars||' redirects away.' END AS message FROM documents""")
+def finding_messages(spark, d):
+    """One finding a document: count by its URLs, data that a sentence names, data that lack it, counts that data override."""
+    k = F.col("doc_id") % 4
+    rows = S.table(spark, d, "documents").select(
+        "doc_id", F.when(k == 0, "TITLE_MISSING").when(k == 1, "TITLE_DUPLICATE").when(k == 2, "SOFT_404").otherwise("REDIRECT_HOPS").alias("code"),
+        F.array_repeat(F.lit("u"), (F.col("doc_id") % 9).cast("int")).alias("urls"),
+        F.when(k == 1, F.create_map(F.lit("pages"), "lang")).when(k == 3, F.create_map(F.lit("hops"), F.col("n_chars").cast("string"), F.lit("count"), F.lit("x"))).alias("data"),
+        F.concat(F.lit("stored "), "source").alias("message"))
+    return N.with_messages(rows).select("doc_id", "message")
+
+
+@query("""SELECT doc_id, CASE doc_id%3 WHEN 0 THEN 'pages '||n_chars||' · duplicate titles 0 · JSON-LD 2 · noindex 0 · sitemap URLs '||doc_id WHEN 1 THEN 'brand 0/'||n_chars||' · nonbrand 2/0' ELSE 'fail 0 · warn 0 · pass '||doc_id END AS line,
+ CASE WHEN doc_id%7=0 THEN '—' ELSE cast(round_even(100.0*((doc_id%101)/100.0),0) AS bigint)||'%' END AS share FROM documents""")
+def snapshot_lines(spark, d):
+    i = F.col("doc_id")
+    kind = F.when(i % 3 == 0, "audit").when(i % 3 == 1, "measure").otherwise("verify")
+    figures = F.create_map(F.lit("pages"), F.col("n_chars").cast("long"), F.lit("jsonld_pages"), F.lit(2).cast("long"), F.lit("sitemap_urls"), i, F.lit("brand_runs"), F.col("n_chars").cast("long"), F.lit("nonbrand_cited"), F.lit(2).cast("long"), F.lit("pass"), i)
+    return S.table(spark, d, "documents").select("doc_id", N.snapshot_line(kind, figures).alias("line"), N.percent(F.when(i % 7 != 0, (i % 101) / 100)).alias("share"))
+
+
+@query("SELECT doc_id, coalesce(contains(lower(text),'der') OR contains(lower(text),lower(source)||'.example'),false) AS hit FROM documents")
+def brand_hits(spark, d):
+    docs = S.table(spark, d, "documents")
+    return docs.select("doc_id", N.brand_hit("text", F.concat(F.lit("https://www."), "source", F.lit(".example/")), F.lit("Der")).alias("hit"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'gemini,claude' ELSE 'chatgpt,google_aio' END AS engines, CASE event_type WHEN 'click' THEN 'Click' WHEN 'view' THEN '' ELSE event_type END AS ignored FROM events""")
+def engine_picks(spark, d):
+    e = F.col("event_type")
+    raw = F.when(e == "click", "Gemini, Click; claude|GEMINI").when(e == "view", F.lit(None).cast("string")).otherwise(e)
+    got = S.table(spark, d, "events").select("event_id", N.pick_engines(raw).alias("p"))
+    return got.select("event_id", F.array_join("p.engines", ",").alias("engines"), F.array_join("p.ignored", ",").alias("ignored"))

@@ -78,12 +78,19 @@ def write_snapshot(rows: DataFrame, path: str, force: bool = False) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "date").parquet(path)
 
 
+def category(name: str) -> str:
+    """What made a file: all sitemap files are one kind, both meta drafts another, else the first part of the name decides."""
+    if name.startswith("sitemap") and name.endswith(".xml"):
+        return "sitemap"
+    return "meta" if name.startswith("meta-draft.") else name.split("/", 1)[0].split(".", 1)[0]
+
+
 def collect_garbage(previous: list[str], current: list[str], remade: set[str], root: str | Path) -> list[str]:
     """Deletes files that an earlier run made and this one, which made their categories again, did not; never outside root."""
     root, gone = Path(root).resolve(), []
     for name in sorted(set(previous) - set(current)):
         path = (root / name).resolve()
-        if name.split("/", 1)[0].split(".", 1)[0] in remade and path.is_relative_to(root) and path.is_file():
+        if category(name) in remade and path.is_relative_to(root) and path.is_file():
             path.unlink()
             gone.append(name)
     return gone
@@ -106,3 +113,69 @@ def init_queries(path: str | Path) -> bool:
     rows = [{"id": f"{kind[0]}{i}", "text": f"{C.TODO}: question>>", "type": kind, "note": ""} for kind in C.QUERY_TYPES for i in (1, 2)]
     write_json(path, {"schema": "sitewright/queries/2", "queries": rows})
     return True
+
+
+MANIFEST, MANIFEST_SCHEMA = "generated-files.json", "sitewright/generated-files/1"
+INDEX_SCHEMA = "sitewright/history/1"
+
+
+def write_meta(drafts: DataFrame, path: str) -> None:
+    """Meta drafts as CSV with a header and as JSON lines, a row a page."""
+    flat = drafts.select(*[c for c, t in drafts.dtypes if not t.startswith(("array", "map", "struct"))])
+    flat.write.mode("overwrite").option("header", True).option("lineSep", "\n").option("escape", '"').csv(f"{path}/meta-draft.csv")
+    drafts.write.mode("overwrite").json(f"{path}/meta-draft.json")
+
+
+def read_manifest(root: str | Path) -> list[str]:
+    """Files that the last run made; none if there is no manifest or not one of ours."""
+    try:
+        found = json.loads((Path(root) / MANIFEST).read_text(encoding="utf-8"))
+    except (OSError, ValueError):
+        return []
+    return list(found.get("files") or []) if isinstance(found, dict) and found.get("schema") == MANIFEST_SCHEMA else []
+
+
+def finish_files(written: list[str], remade: set[str], root: str | Path) -> list[str]:
+    """Deletes what an earlier run made and this one did not, and writes down what is ours now; the files deleted."""
+    previous = read_manifest(root)
+    gone = collect_garbage(previous, written, remade, root)
+    others = {name for name in previous if category(name) not in remade}
+    write_json(Path(root) / MANIFEST, {"schema": MANIFEST_SCHEMA, "files": sorted(others | set(written))})
+    return gone
+
+
+def snapshot_faults(rows: DataFrame, host: str) -> DataFrame:
+    """kind, date, fault of rows (kind, date, host, schema) that must not be stored: before anything is written."""
+    from pyspark.sql import functions as F
+
+    from ..functions import text as X
+
+    tests = (
+        ("kind", ~F.coalesce(F.col("kind").isin(*C.SNAPSHOT_KINDS), F.lit(False))), ("date", X.strict_date("date").isNull()),
+        ("schema", ~F.coalesce(F.col("schema").contains(F.concat(F.lit("/"), "kind", F.lit("/"))), F.lit(False))),
+        ("host", ~F.coalesce(F.lower("host") == host.lower(), F.lit(False))))
+    return rows.select("kind", "date", F.explode(F.array_compact(F.array(*[F.when(t, n) for n, t in tests]))).alias("fault"))
+
+
+def read_index(path: str | Path, host: str = "") -> dict:
+    """The index of a site's snapshots: an empty one if there is none, an error if it is damaged or another site's."""
+    path = Path(path)
+    if not path.exists():
+        return {"schema": INDEX_SCHEMA, "host": host, "baseline_date": None, "next_due": None, "snapshots": []}
+    index = json.loads(path.read_text(encoding="utf-8"))
+    if not isinstance(index, dict) or index.get("schema") != INDEX_SCHEMA or not isinstance(index.get("snapshots"), list):
+        raise ValueError(f"not an index of snapshots: {path}")
+    if host and index.get("host") and index["host"].lower() != host.lower():
+        raise ValueError(f"the index is of {index['host']}, not of {host}")
+    return index
+
+
+def write_index(snapshots: DataFrame, path: str | Path, host: str) -> dict:
+    """The index made anew from the stored snapshots (kind, date, file, sha256, label), in their order; one row a run of the audit."""
+    from ..operators import diff, messages
+
+    index = read_index(path, host)
+    rows = [r.asDict() for r in messages.snapshots_in_order(snapshots.select("kind", "date", "file", "sha256", "label")).collect()]
+    index |= {"snapshots": rows, "next_due": diff.next_due(snapshots).first()["next_due"], "baseline_date": index["baseline_date"] or min((r["date"] for r in rows if r["kind"] == "measure"), default=None)}
+    write_json(path, index)
+    return index
