@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import contracts as C
 from ..functions import text as X
 from ..functions import urls as U
+from ..sources.scratch import cut
 from . import rules
 
 
@@ -61,18 +62,6 @@ def eligible(pages: DataFrame, host: str) -> DataFrame:
     return pages.where((F.col("status") == 200) & ~rules.noindex() & (url == final) & (U.host_of(final) == host) & own).select(url.alias("url")).distinct()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder; a folder of our own is set only where none is and all runs on one machine."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sitewright-"))
-    return df.checkpoint()
-
-
 def sitemap_chunks(urls: DataFrame, most: int = C.SITEMAP_URLS, most_bytes: int = C.SITEMAP_BYTES, extra: int = 40) -> DataFrame:
     """url, chunk: runs of URLs in order, each of at most `most` URLs and most_bytes (an entry takes its URL and `extra`).
 

@@ -1,7 +1,7 @@
 """The 36 audit rules, the statistics and the lane scorecard.
 
-Page rules are one projection: each page gets the array of codes that it breaks, and the array is counted once, with
-partial sums before the shuffle; the first 20 URLs of a code come from a ranking that keeps 20 rows a task.  Only
+Page rules are one projection over one scan: each page gets the array of codes that it breaks, which is written once and then
+counted with partial sums before the shuffle; the first 20 URLs of a code come from a ranking that keeps 20 rows a task.  Only
 the two duplicate rules need a shuffle of titles and descriptions."""
 from __future__ import annotations
 
@@ -12,8 +12,10 @@ from .. import contracts as C
 from ..functions import robots as R
 from ..functions import text as X
 from ..functions import urls as U
+from ..sources import scratch
 
 URLS = 20
+DUPLICATES = {"TITLE_DUPLICATE": "title", "DESC_DUPLICATE": "meta_description"}
 ORGANIZATION = ("Organization", "LocalBusiness", "Corporation")
 
 # code -> lane, severity; page rules in order of evaluation, then site rules
@@ -55,11 +57,10 @@ def duplicate_summary(pages: DataFrame, c: str) -> DataFrame:
 
 
 def broken_rules(pages: DataFrame) -> DataFrame:
-    """url, pos and the codes that a page breaks (all pages: HTTP_ERROR; pages with status 200: the others)."""
+    """url, pos, the codes that a page breaks by itself (all pages: HTTP_ERROR; pages with status 200: the others), and its title
+    and meta_description where they take part in the duplicate rules, else null.  One projection."""
     ok = F.coalesce(F.col("status") == 200, F.lit(False))
     rows = pages.withColumn("_directives", R.directives("meta_robots", "meta_googlebot", "x_robots_tag")).withColumn("_ok", ok)
-    for c, flag in (("title", "_dup_title"), ("meta_description", "_dup_desc")):
-        rows = rows.join(duplicated(pages.where("status = 200"), c).select(c, F.lit(True).alias(flag)), c, "left")
     has = lambda x: F.array_contains("_directives", x)
     n_title, n_desc = F.char_length("title"), F.char_length("meta_description")
     absolute = F.when(F.col("canonical").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("canonical")).when(
@@ -71,9 +72,9 @@ def broken_rules(pages: DataFrame) -> DataFrame:
     intended = F.coalesce("intended_indexable", F.lit(True))
     tests = {
         "NOINDEX": has("noindex") & intended, "INTENTIONAL_NOINDEX": has("noindex") & ~intended, "SNIPPET_RESTRICTED": has("nosnippet") | has("max-snippet:0"),
-        "TITLE_DUPLICATE": F.col("_dup_title"), "TITLE_MISSING": missing("title"),
+        "TITLE_MISSING": missing("title"),
         "TITLE_TOO_LONG": n_title > X.band_edge("title", C.TITLE_BAND, 1), "TITLE_TOO_SHORT": ~missing("title") & (n_title < X.band_edge("title", C.TITLE_BAND, 0) * 0.4),
-        "DESC_DUPLICATE": F.col("_dup_desc"), "DESC_MISSING": missing("meta_description"),
+        "DESC_MISSING": missing("meta_description"),
         "DESC_TOO_LONG": n_desc > X.band_edge("meta_description", C.DESCRIPTION_BAND, 1), "DESC_TOO_SHORT": ~missing("meta_description") & (n_desc < X.band_edge("meta_description", C.DESCRIPTION_BAND, 0) * 0.5),
         "JSONLD_MISSING": F.coalesce("jsonld_count", F.lit(0)) == 0, "_FAQ": F.arrays_overlap("jsonld_types", F.array(F.lit("FAQPage"), F.lit("QAPage"))),
         "_ORG": F.arrays_overlap("jsonld_types", F.array(*map(F.lit, ORGANIZATION))), "CANONICAL_MISSING": missing("canonical"),
@@ -83,26 +84,41 @@ def broken_rules(pages: DataFrame) -> DataFrame:
     }
     error = F.coalesce(F.col("status") >= 400, F.lit(True))
     codes = F.array_compact(F.array(F.when(error, "HTTP_ERROR"), *[F.when(F.col("_ok") & F.coalesce(t, F.lit(False)), F.lit(c)) for c, t in tests.items()]))
-    return rows.select("url", "pos", codes.alias("codes"))
+    return rows.select("url", "pos", codes.alias("codes"), *[F.when(F.col("_ok") & ~missing(c), F.col(c)).alias(c) for c in DUPLICATES.values()])
 
 
 def page_findings(pages: DataFrame) -> DataFrame:
-    """lane, severity, code, count, urls of the page rules.  pages needs `pos`, the order in which pages were found."""
-    hits = broken_rules(pages).select("url", "pos", F.explode("codes").alias("code"))
-    counted = hits.groupBy("code").agg(F.count("*").alias("count"))
-    top = hits.withColumn("_rn", F.row_number().over(Window.partitionBy("code").orderBy("pos", "url"))).where(F.col("_rn") <= URLS)
-    urls = top.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "url"))), lambda x: x["url"]).alias("urls"))
-    by_code = counted.join(urls, "code")
-    # what holds only if no page, or more than one, does so
-    flat = counted.agg(*[F.coalesce(F.max(F.when(F.col("code") == c, F.col("count"))), F.lit(0)).alias(c) for c in ("_OK", "_FAQ", "_ORG", "_NAVER")])
-    none = F.array_compact(F.array(F.when(F.col("_FAQ") == 0, "FAQ_MISSING"), F.when(F.col("_ORG") == 0, "ORG_JSONLD_MISSING"), F.when(F.col("_NAVER") == 0, "NAVER_VERIFY_MISSING")))
-    absent = flat.select(F.explode(none).alias("code"), F.lit(0).cast("long").alias("count"), F.expr("cast(array() as array<string>)").alias("urls"))
-    scattered = by_code.where("code = '_ORG' and count > 1").withColumn("code", F.lit("ORG_JSONLD_SCATTERED"))
-    found = by_code.where("code not like '\\_%'").unionByName(scattered).unionByName(absent).crossJoin(F.broadcast(flat.select(F.greatest("_OK", F.lit(1)).alias("total"))))  # one row
-    table = PAGE_RULES | {"NAVER_VERIFY_MISSING": SITE_RULES["NAVER_VERIFY_MISSING"]}
-    pick = lambda i: F.create_map(*[F.lit(x) for c, v in table.items() for x in (c, v[i])])[F.col("code")]
-    severity = F.when((F.col("code") == "THIN_TEXT") & (F.col("count") > F.col("total") * 0.5), "critical").otherwise(pick(1))
-    return found.select(pick(0).alias("lane"), severity.alias("severity"), "code", "count", "urls", X.ratio("count", "total", 3).alias("ratio"))
+    """lane, severity, code, count, urls, ratio of the page rules.  pages needs `pos`, the order in which pages were found.
+
+    pages is scanned once: what each page breaks is written to the shared folder, and the counts, the first URLs and the two
+    duplicate rules read only their columns of that.  Counts and lists are then one row, from which every finding is picked."""
+    marked = scratch.table(broken_rules(pages), "page-rules")
+    hits = marked.select(F.explode("codes").alias("code"), "pos", "url")
+    pairs = F.array(*[F.struct(F.lit(code).alias("code"), F.col(c).alias("value")) for code, c in DUPLICATES.items()])
+    values = marked.select("pos", "url", F.inline(pairs)).where("value is not null")
+    shared = values.groupBy("code", "value").agg(F.count("*").alias("n")).where("n > 1")
+    counted = hits.groupBy("code").agg(F.count("*").alias("n")).unionByName(shared.groupBy("code").agg(F.sum("n").alias("n")))
+    found = hits.unionByName(values.join(shared, ["code", "value"], "left_semi").select("code", "pos", "url"))
+    top = found.withColumn("_rn", F.row_number().over(Window.partitionBy("code").orderBy("pos", "url"))).where(F.col("_rn") <= URLS)
+    lists = top.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "url"))), lambda x: x["url"]).alias("urls"))
+    keyed = lambda df, c: df.agg(F.map_from_entries(F.collect_list(F.struct("code", c))).alias(c))
+    row = keyed(counted, "n").crossJoin(F.broadcast(keyed(lists, "urls")))  # one row each, at most one entry a code
+
+    n = lambda code: F.coalesce(F.element_at("n", code), F.lit(0).cast("long"))
+    none = F.expr("cast(array() as array<string>)")
+    listed = lambda code: F.coalesce(F.element_at("urls", code), none)
+    total = F.greatest(n("_OK"), F.lit(1).cast("long"))
+    absent = {"FAQ_MISSING": "_FAQ", "ORG_JSONLD_MISSING": "_ORG", "NAVER_VERIFY_MISSING": "_NAVER"}  # holds if no page has it
+    findings = []
+    for code, (lane, severity) in (PAGE_RULES | {"NAVER_VERIFY_MISSING": SITE_RULES["NAVER_VERIFY_MISSING"]}).items():
+        basis = "_ORG" if code == "ORG_JSONLD_SCATTERED" else code
+        test = n(absent[code]) == 0 if code in absent else n(basis) > (1 if basis == "_ORG" else 0)
+        count, urls = (F.lit(0).cast("long"), none) if code in absent else (n(basis), listed(basis))
+        level = F.when(count > total * 0.5, "critical").otherwise(severity) if code == "THIN_TEXT" else F.lit(severity)
+        fields = {"lane": F.lit(lane), "severity": level, "code": F.lit(code), "count": count, "urls": urls, "total": total}
+        findings.append(F.when(test, F.struct(*[v.alias(k) for k, v in fields.items()])))
+    picked = row.select(F.inline(F.array_compact(F.array(*findings))))
+    return picked.select("lane", "severity", "code", "count", "urls", X.ratio("count", "total", 3).alias("ratio"))
 
 
 SITE = """base string, robots_status int, robots_present boolean, sitemap_declared array<string>, sitemaps array<struct<url:string,status:int,parsed:boolean>>,
