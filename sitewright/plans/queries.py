@@ -17,6 +17,7 @@ from ..operators import messages as N
 from ..operators import pages as P
 from ..operators import rules
 from ..operators import verify as V
+from ..sources import html
 from ..sources import standins as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,6 +206,76 @@ def check_meta(spark, d):
     return V.meta_checks(drafts, live).select("id", "status", F.coalesce(F.col("evidence")["misses"], F.col("evidence")["groups"]).alias("n"))
 
 
+_FIRST20 = "coalesce((SELECT string_agg(v, ' ' ORDER BY v) FROM (SELECT DISTINCT {value} AS v FROM {rows} ORDER BY v LIMIT 20)), '')"
+_HOSTED = f"h AS (SELECT {HOST} AS host FROM pages GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+
+
+def _evidence(checks: DataFrame, *keys: str) -> DataFrame:
+    """id, status, n (the first of the keys that a check has), sample (its URLs, lines or other names)."""
+    e = F.col("evidence")
+    sample = F.coalesce(*[e[k] for k in ("urls", "lines", "agents", "needles")], F.lit(""))
+    return checks.select("id", "status", F.coalesce(*[e[k] for k in keys]).alias("n"), sample.alias("sample"))
+
+
+@query(f"""WITH p AS {_PT}, {_HOSTED}, o AS (SELECT DISTINCT url FROM p WHERE {HOST}=(SELECT host FROM h)), j AS (SELECT o.url, status, noindex, canonical FROM o LEFT JOIN (SELECT * FROM p WHERE pos%23<>0) l USING (url)),
+ dead AS (SELECT url FROM j WHERE status<>200), barred AS (SELECT url FROM j WHERE status=200 AND noindex), odd AS (SELECT url FROM j WHERE status=200 AND canonical='/other'),
+ c AS (SELECT count(*) AS own, count(*) FILTER (status IS NULL) AS u, (SELECT count(*) FROM dead) AS d, (SELECT count(*) FROM barred) AS b, (SELECT count(*) FROM odd) AS o FROM j), f AS (SELECT count(*) AS n FROM p WHERE {HOST}<>(SELECT host FROM h))
+ SELECT 'sitemap.reachable' AS id, 'warn' AS status, '1' AS n, '' AS sample UNION ALL SELECT 'sitemap.host', CASE WHEN n>0 THEN 'warn' ELSE 'pass' END, CAST(n AS VARCHAR), '' FROM f
+ UNION ALL SELECT 'sitemap.locs', CASE WHEN own=0 THEN 'skip' WHEN d>0 THEN 'fail' WHEN u>0 THEN 'warn' ELSE 'pass' END, CAST(u AS VARCHAR), {_FIRST20.format(value="url", rows="dead")} FROM c
+ UNION ALL SELECT 'sitemap.noindex', CASE WHEN own=0 THEN 'skip' WHEN b>0 THEN 'fail' WHEN u>0 THEN 'warn' ELSE 'pass' END, CAST(u AS VARCHAR), {_FIRST20.format(value="url", rows="barred")} FROM c
+ UNION ALL SELECT 'sitemap.canonical', CASE WHEN own=0 THEN 'skip' WHEN o>0 THEN 'fail' WHEN u>0 THEN 'warn' ELSE 'pass' END, CAST(u AS VARCHAR), {_FIRST20.format(value="url", rows="odd")} FROM c""")
+def check_sitemap(spark, d):
+    """A sitemap with every page, checked for the host with most pages; one page in 23 was not looked at."""
+    live = _page_table(spark, d)
+    host = page_host_counts(spark, d).orderBy(F.desc("n"), "host").first()["host"]
+    files = spark.createDataFrame([(3, 3, 1, 100)], "files int, reachable int, remaining int, limit_urls int")
+    return _evidence(V.sitemap_checks(live.select("url", "pos"), live.where("pos % 23 <> 0"), host, files), "off", "unverified", "remaining")
+
+
+_ROBOT_AGENTS = sorted({a for group in C.CRAWLERS.values() for a in group})
+
+
+@query(f"""WITH lost AS (SELECT 'Disallow: /'||lower(n_name) AS line FROM nation WHERE n_nationkey%5=0), a AS (SELECT unnest([{",".join(f"'{a}'" for a in _ROBOT_AGENTS)}])||'=star-partial' AS agent)
+ SELECT 'robots.status' AS id, 'pass' AS status, '200' AS n, '' AS sample UNION ALL SELECT 'robots.preserved', CASE WHEN count(*)>0 THEN 'fail' ELSE 'pass' END, CAST(count(*) AS VARCHAR), {_FIRST20.format(value="line", rows="lost")} FROM lost
+ UNION ALL SELECT 'robots.policy', 'fail', '{len(_ROBOT_AGENTS)}', {_FIRST20.format(value="agent", rows="a")} UNION ALL SELECT 'robots.sitemap', 'pass', '1', ''""")
+def check_robots(spark, d):
+    """Robots rules with one line a nation, of which the deployed file lost one in five; the package bars nothing."""
+    lines = lambda rows: rows.agg(F.concat_ws("\n", F.lit("User-agent: *"), F.array_sort(F.collect_list(F.concat(F.lit("Disallow: /"), F.lower("n_name")))), F.lit("Sitemap: https://site.example/sitemap.xml")).alias("raw"))
+    nations = S.table(spark, d, "nation")
+    live = lines(nations.where("n_nationkey % 5 <> 0")).withColumns({"status": F.lit(200), "present": F.lit(True)})
+    package = spark.createDataFrame([("User-agent: *\nAllow: /\n",)], "raw string")
+    return _evidence(V.robots_checks(live, lines(nations), package), "lost", "wrong", "declared", "status")
+
+
+@query("""SELECT 'llms.status' AS id, 'pass' AS status, '200' AS n UNION ALL SELECT 'llms.todo', CASE WHEN count(*)>0 THEN 'fail' ELSE 'pass' END, CAST(count(*) AS VARCHAR) FROM nation WHERE n_nationkey%5=0""")
+def check_llms(spark, d):
+    """A text with one line a nation, one in five still marked as a draft."""
+    line = F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit(f"{C.TODO}: "), "n_name", F.lit(">>"))).otherwise(F.col("n_name"))
+    text = S.table(spark, d, "nation").agg(F.array_join(F.collect_list(line), "\n").alias("body"))
+    got = V.llms_checks(text.withColumn("status", F.lit(200)), text)
+    return got.select("id", "status", F.coalesce(F.col("evidence")["todo"], F.col("evidence")["status"]).alias("n"))
+
+
+@query(f"""WITH t AS (SELECT page_id AS k, 'https://site.example/'||page_id AS url FROM pages), m AS (SELECT * FROM t WHERE k%13<>0), absent AS (SELECT url FROM m WHERE k%7=0 OR k%9=0), unseen AS (SELECT url||' N'||k AS needle FROM m WHERE k%11=0),
+ c AS (SELECT count(*) AS n, count(*) FILTER (k%13=0) AS unmapped, count(*) FILTER (k%9=0) AS broken, count(DISTINCT CASE WHEN k%9<>0 THEN k%3 END) AS orgs, (SELECT count(*) FROM absent) AS a, (SELECT count(*) FROM unseen) AS u FROM t)
+ SELECT 'jsonld.present' AS id, CASE WHEN n=0 THEN 'skip' WHEN a>0 THEN 'fail' ELSE 'pass' END AS status, CAST(a AS VARCHAR) AS n, {_FIRST20.format(value="url", rows="absent")} AS sample FROM c
+ UNION ALL SELECT 'jsonld.mapping', CASE WHEN n=0 THEN 'skip' WHEN unmapped>0 THEN 'warn' ELSE 'pass' END, CAST(unmapped AS VARCHAR), '' FROM c
+ UNION ALL SELECT 'jsonld.type', CASE WHEN n=0 THEN 'skip' WHEN a+broken>0 THEN 'fail' ELSE 'pass' END, CAST(broken AS VARCHAR), '' FROM c
+ UNION ALL SELECT 'jsonld.visible', CASE WHEN n=0 THEN 'skip' WHEN u>0 THEN 'fail' WHEN a+broken>0 THEN 'skip' ELSE 'pass' END, CAST(u AS VARCHAR), {_FIRST20.format(value="needle", rows="unseen")} FROM c
+ UNION ALL SELECT 'jsonld.org_id', CASE WHEN orgs>1 THEN 'fail' WHEN orgs=0 THEN 'skip' ELSE 'pass' END, CAST(orgs AS VARCHAR), '' FROM c""")
+def check_jsonld(spark, d):
+    """One organisation a page: some live ones have another name, are broken, do not show it, or have no page in the package."""
+    k = F.col("page_id")
+    url = F.concat(F.lit("https://site.example/"), k.cast("string"))
+    block = lambda letter: F.format_string('{"@type":"Organization","@id":"https://site.example/#o%d","name":"' + letter + '%d"}', k % 3, k)
+    p = _pages(spark, d).select("page_id")
+    files = p.select(F.concat(F.lit("f"), k.cast("string")).alias("url"), F.array(block("N")).alias("ld"))
+    targets = p.select(F.concat(F.lit("f"), k.cast("string")).alias("name"), F.when(k % 13 != 0, url).alias("url"))
+    deployed = F.when(k % 9 == 0, "{broken").when(k % 7 == 0, block("M")).otherwise(block("N"))
+    live = p.select(url.alias("url"), F.array(deployed).alias("ld"), F.when(k % 11 == 0, "nothing").otherwise(F.format_string("It is N%d.", k)).alias("text"))
+    return _evidence(V.jsonld_checks(html.ld_table(files), targets, live, False), "absent", "unmapped", "broken", "unseen", "ids")
+
+
 @query(f"WITH p AS {_PT}, ok AS (SELECT * FROM p WHERE status=200) SELECT (SELECT count(*) FROM p) AS pages_crawled, count(DISTINCT nullif(title,'')) AS unique_titles, count(DISTINCT nullif(meta_description,'')) AS unique_descriptions, CAST(0 AS BIGINT) AS pages_with_jsonld, count(*) FILTER (noindex) AS pages_noindex FROM ok")
 def audit_stats(spark, d):
     return rules.stats(_page_table(spark, d))
@@ -644,19 +715,25 @@ def visible_text_misses(spark, d):
     return t.where(~F.exists(X.price_forms("needle"), lambda n: F.col("text").contains(n))).select("url", "needle")
 
 
-@query()
+@query("""WITH b AS (SELECT page_id AS k, 'u'||page_id AS url, page_id%4=0 AS broken FROM pages)
+ SELECT url, 0 AS block, true AS valid, 'Product' AS types, '[["Product"], "/a", "A'||k||'", [["'||k||'", "", ""]]]' AS identity, '' AS org_ids, 'A'||k||'|'||k AS visible FROM b WHERE NOT broken
+ UNION ALL SELECT url, 0, true, 'Organization|X', '[["Organization", "X"], "#o'||k||'", "N", ""]', '#o'||k, 'N' FROM b WHERE NOT broken UNION ALL SELECT url, 1, false, '', NULL, '', '' FROM b WHERE broken""")
 def jsonld_objects(spark, d):
-    from ..sources import html
+    """Two objects a page in one block, one inside a graph; one page in four has an empty list and a broken block instead."""
+    k = F.col("page_id")
+    good = F.format_string('[{"@type":"Product","name":"A%d","url":"/a","offers":{"@type":"Offer","price":"%d"}},{"@graph":[{"@type":["Organization","X"],"@id":"#o%d","name":"N"}]}]', k, k, k)
+    pages = _pages(spark, d).select(F.concat(F.lit("u"), k.cast("string")).alias("url"), F.when(k % 4 == 0, F.array(F.lit("[]"), F.lit("{broken"))).otherwise(F.array(good)).alias("ld"))
+    rows = html.ld_table(pages).where("valid or block = 1")
+    return rows.withColumns({c: F.array_join(c, "|") for c in ("types", "org_ids", "visible")})
 
-    block = '[{"@type":"Product","name":"A","url":"/a","offers":{"@type":"Offer","price":"12000"}},{"@graph":[{"@type":["Organization","X"],"@id":"#o","name":"N"}]}]'
-    pages = spark.createDataFrame([("u1", [block, "{broken"]), ("u2", [])], "url string, ld array<string>")
-    return html.ld_table(pages).withColumns({c: F.array_join(c, "|") for c in ("types", "org_ids", "visible")})
 
+_TEXT = r"regexp_replace(html, '(?s)<!--.*?-->|<(style|script)[ >].*?</(style|script)>', '', 'g')"
+_TEXT = rf"replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({_TEXT}, '(?s)<[^>]*>', '', 'g'),'&nbsp;',chr(160)),'&copy;','©'),'&middot;','·'),'&quot;','x'),'&#39;','x'),'&lt;','x'),'&gt;','x'),'&amp;','x'),chr(160),' ')"
 
-@query()
-def parsed_pages(spark, d):
-    from ..sources import html
 
+@query(rf"""SELECT page_id, {TITLE} AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, len(regexp_extract_all(html, '<a href="')) AS links,
+ length(trim(regexp_replace({_TEXT}, '\s+', ' ', 'g'))) AS text_chars, len(regexp_extract_all(html, '<h1>')) AS h1 FROM pages""")
+def parsed_pages(spark, d):
     got = html.parse_html(_pages(spark, d).select("page_id", F.col("html").alias("body")))
     return got.select("page_id", "page.title", "page.lang", F.size("page.links").alias("links"), "page.text_chars", F.size("page.h1").alias("h1"))
 
