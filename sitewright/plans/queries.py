@@ -17,7 +17,7 @@ from ..operators import messages as N
 from ..operators import pages as P
 from ..operators import rules
 from ..operators import verify as V
-from ..sources import html
+from ..sources import html, scratch, sinks, tables
 from ..sources import standins as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -807,3 +807,114 @@ def engine_picks(spark, d):
     raw = F.when(e == "click", "Gemini, Click; claude|GEMINI").when(e == "view", F.lit(None).cast("string")).otherwise(e)
     got = S.table(spark, d, "events").select("event_id", N.pick_engines(raw).alias("p"))
     return got.select("event_id", F.array_join("p.engines", ",").alias("engines"), F.array_join("p.ignored", ",").alias("ignored"))
+
+
+# ---- what is written is read again; inputs are judged -------------------------------------------------------------------
+
+@query(f"""WITH {_LOG} SELECT date, query_id, engine, outcome, count(*) AS n, CAST(sum(CASE WHEN event_id%5<>3 THEN len(cited_urls) ELSE 0 END) AS BIGINT) AS urls FROM raw WHERE event_id%5<>4 AND event_id%7<>0 GROUP BY 1,2,3,4""")
+def log_round_trip(spark, d):
+    """The log appended in two parts and read again; rows of an unknown version or engine, and broken lines, are left out."""
+    key, path = F.col("event_id"), scratch.folder(spark, "log")
+    rows = S.log(spark, d).withColumns({
+        "schema": F.when(key % 5 == 4, "sitewright/measure-row/9").otherwise("sitewright/measure-row/2"), "engine": F.when(key % 7 == 0, "unheard").otherwise(F.col("engine")),
+        "cited_urls": F.when(key % 5 == 3, F.expr("cast(array() as array<string>)")).otherwise(F.col("cited_urls"))})
+    own = spark.createDataFrame([], C.LOG).columns
+    for part in (0, 1):
+        sinks.append_log(rows.where(key % 2 == part).select(*own), path)
+    spark.createDataFrame([("{broken",), ("",), ("[]",)], "value string").write.mode("append").text(path)
+    read = tables.read_log(spark, path)
+    return read.groupBy("date", "query_id", "engine", "outcome").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("cited_urls")), F.lit(0)).cast("long").alias("urls"))
+
+
+@query(f"SELECT url, CAST((row_number() OVER (ORDER BY url)-1)//40 AS INT) AS chunk FROM (SELECT DISTINCT {NORM} AS url FROM pages)")
+def sitemap_files(spark, d):
+    """Sitemap files of at most 40 URLs, written and parsed again."""
+    path = scratch.folder(spark, "sitemaps")
+    sinks.write_sitemaps(P.sitemap_chunks(_pages(spark, d).select(U.normalize("url").alias("url")).distinct(), 40), path, "http://www.sitemaps.org/schemas/sitemap/0.9")
+    files = spark.read.text(path, wholetext=True).withColumn("s", html.parse_sitemap("value"))
+    return files.where("s.parsed").select(F.explode("s.locs").alias("url"), F.col("chunk").cast("int").alias("chunk"))
+
+
+@query(f"SELECT page_id, {NORM} AS url, CASE WHEN page_id%13<>0 THEN {TITLE} END AS draft_title FROM pages")
+def meta_files(spark, d):
+    """Meta drafts written and read again."""
+    drafts = _page_table(spark, d).select(F.col("pos").alias("page_id"), "url", F.col("title").alias("draft_title"))
+    path = scratch.folder(spark, "meta")
+    sinks.write_meta(drafts, path)
+    return spark.read.schema(drafts.schema).json(f"{path}/meta-draft.json")
+
+
+@query("SELECT ['audit','measure','verify'][user_id%3+1] AS kind, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) + CASE WHEN user_id%3=1 THEN 1000 ELSE 0 END AS n FROM events GROUP BY 1,2,user_id%3")
+def snapshot_store(spark, d):
+    """Snapshots by kind and date; those of one kind are replaced by force, the others stay."""
+    kind = F.get(F.array(*map(F.lit, C.SNAPSHOT_KINDS)), (F.col("user_id") % 3).cast("int"))
+    rows = S.table(spark, d, "events").groupBy(kind.alias("kind"), F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("n"))
+    path = scratch.folder(spark, "snapshots")
+    sinks.write_snapshot(rows, path)
+    sinks.write_snapshot(rows.where("kind = 'measure'").withColumn("n", F.col("n") + 1000), path, force=True)
+    return spark.read.parquet(path).select("kind", F.col("date").cast("string").alias("date"), "n")
+
+
+@query("""SELECT event_id, CASE WHEN event_type='error' THEN '' WHEN event_id%2=0 THEN 'https://a.example/'||(event_id%5)||' https://b.example/' ELSE 'https://c.example/'||user_id END AS cited_urls,
+ CASE WHEN event_type='error' THEN '' WHEN event_id%2=0 THEN 'said '||user_id||'.' ELSE 'told '||event_id||'!' END AS text, CASE WHEN event_type='error' THEN 'timeout' END AS error FROM events""")
+def stored_answers(spark, d):
+    """Stored answers of two services: cited URLs once each, what is no citation left out, errors kept."""
+    e = S.table(spark, d, "events").select("event_id", "user_id", "event_type")
+    first = F.format_string('{"output":[{"type":"search"},{"content":[{"text":"said ","annotations":[{"type":"url_citation","url":"https://a.example/%d"},{"type":"file","url":"https://no.example/"}]},{"text":"%d.","annotations":[{"type":"url_citation","url":"https://b.example/"},{"type":"url_citation","url":"https://b.example/"}]}]}]}', F.col("event_id") % 5, F.col("user_id"))
+    second = F.format_string('{"content":[{"type":"tool","text":null},{"type":"text","text":"told ","citations":[{"url":"https://c.example/%d"}]},{"type":"text","text":"%d!"}]}', F.col("user_id"), F.col("event_id"))
+    failed, even = F.col("event_type") == "error", F.col("event_id") % 2 == 0
+    error = F.lit('{"_error":"timeout"}')
+    sides = (("openai", e.where(even), first), ("anthropic", e.where(~even), second))
+    parsed = [tables.parse_answer(rows.withColumn("body", F.when(failed, error).otherwise(body)), kind) for kind, rows, body in sides]
+    return parsed[0].unionByName(parsed[1]).select("event_id", F.array_join("cited_urls", " ").alias("cited_urls"), "text", "error")
+
+
+@query("""WITH r AS (SELECT 'q'||(doc_id%500) AS id, CASE WHEN doc_id%7=0 THEN '  ' ELSE 'about '||source||' '||doc_id END AS text, CASE doc_id%3 WHEN 0 THEN 'brand' WHEN 1 THEN 'nonbrand' ELSE 'odd' END AS type,
+ row_number() OVER (PARTITION BY doc_id%500 ORDER BY doc_id) AS rn FROM documents) SELECT id, text, type, sha256(type||chr(10)||text) AS fingerprint FROM r WHERE rn=1 AND type<>'odd' AND trim(text)<>''""")
+def question_set(spark, d):
+    """The first of each id counts, even if it is blank or of no known type."""
+    k = F.col("doc_id")
+    raw = S.table(spark, d, "documents").select(
+        k.alias("pos"), F.concat(F.lit("q"), (k % 500).cast("string")).alias("id"), F.when(k % 7 == 0, "  ").otherwise(F.concat_ws(" ", F.lit("about"), "source", k.cast("string"))).alias("text"),
+        F.when(k % 3 == 0, "brand").when(k % 3 == 1, "nonbrand").otherwise("odd").alias("type"), F.lit(None).cast("string").alias("note"))
+    return tables.query_set(raw).select("id", "text", "type", "fingerprint")
+
+
+@query("SELECT page_id, page_id%3<>0 AND page_id%4<>0 AS present, CASE WHEN page_id%3<>0 AND page_id%4<>0 THEN 'User-agent: '||page_id ELSE '' END AS raw FROM pages")
+def robots_bodies(spark, d):
+    """A robots file counts with status 200 and if it is no page."""
+    k = F.col("page_id")
+    body = F.when(k % 4 == 0, F.concat(F.lit("  "), "html")).otherwise(F.concat(F.lit("User-agent: "), k.cast("string")))
+    got = tables.robots_body(_pages(spark, d).select(k.cast("string").alias("url"), F.when(k % 3 == 0, 503).otherwise(200).alias("status"), body.alias("body")))
+    return got.select(F.col("url").cast("long").alias("page_id"), "present", "raw")
+
+
+@query("SELECT type, count(*) AS n FROM (SELECT unnest(CASE page_id%3 WHEN 0 THEN ['FAQPage'] WHEN 1 THEN ['FAQPage','Product'] ELSE ['T'||(page_id%5)] END) AS type FROM pages WHERE page_id%17<>0) GROUP BY 1")
+def jsonld_type_counts(spark, d):
+    """Pages with each type, a page once however often it names the type."""
+    k = F.col("page_id")
+    kinds = F.when(k % 3 == 0, F.array(F.lit("FAQPage"), F.lit("FAQPage"))).when(k % 3 == 1, F.array(F.lit("FAQPage"), F.lit("Product"))).otherwise(F.array(F.concat(F.lit("T"), (k % 5).cast("string"))))
+    return rules.type_histogram(_pages(spark, d).select(F.when(k % 17 == 0, 404).otherwise(200).alias("status"), kinds.alias("jsonld_types")))
+
+
+@query("SELECT count(*) FILTER (doc_id%5=0) AS critical, count(*) FILTER (doc_id%5 IN (1,2)) AS warn, count(*) FILTER (doc_id%5>2) AS info FROM documents")
+def severity_totals(spark, d):
+    k = F.col("doc_id") % 5
+    return rules.severity_counts(S.table(spark, d, "documents").select(F.when(k == 0, "critical").when(k <= 2, "warn").otherwise("info").alias("severity")))
+
+
+_REASONS = (
+    ("max_pages_reached", "k%2=0"), ("discovery_queue_truncated", "k%4=0"), ("seed_blocked_by_robots", "k%3=0"), ("network_errors", "k%5=0"), ("http_errors", "k%7=0"),
+    ("no_pages_fetched", "k%11=0"), ("robots_unavailable", "k%13=0"), ("sitemap_invalid", "k%17=0"), ("sitemap_truncated", "k%19=0"),
+)
+
+
+@query(f"SELECT k AS crawl_id, concat_ws(' ', {', '.join(f'CASE WHEN {test} THEN {chr(39)}{name}{chr(39)} END' for name, test in _REASONS)}) AS reasons, NOT ({' OR '.join(test for _, test in _REASONS)}) AS complete FROM (SELECT page_id AS k FROM pages)")
+def coverage_reasons(spark, d):
+    """Counters of one crawl a page_id, every reason for an incomplete crawl in its order."""
+    k = F.col("page_id")
+    hit = lambda n: (k % n == 0).cast("int")
+    c = _pages(spark, d).select(
+        k.alias("crawl_id"), hit(2).alias("queued_remaining"), (k % 4 == 0).alias("queue_truncated"), hit(3).alias("blocked_seeds"), hit(5).alias("network_errors"), hit(7).alias("http_errors"),
+        F.when(k % 11 == 0, 0).otherwise(9).alias("pages_fetched"), (k % 13 == 0).alias("robots_unavailable"), hit(17).alias("sitemap_invalid"), hit(19).alias("sitemap_truncated"))
+    return rules.coverage(c).select("crawl_id", F.array_join("reasons", " ").alias("reasons"), "complete")

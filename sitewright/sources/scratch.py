@@ -25,11 +25,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def table(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet, so that each later reader takes only its columns; the files go when the application ends."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new folder below the shared one, which goes when the application ends."""
     where = f"{root(spark)}/{tag}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    return where
+
+
+def table(df: DataFrame, tag: str) -> DataFrame:
+    """df written as Parquet, so that each later reader takes only its columns."""
+    where = folder(df.sparkSession, tag)
     df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
