@@ -62,19 +62,28 @@ def observed() -> Column:
     return F.col("outcome") == "observed"
 
 
-def counts() -> list[Column]:
+def counts(only: Column | None = None) -> list[Column]:
+    """Attempts and their outcomes; only: of the rows for which it holds."""
+    kept = F.lit(True) if only is None else only
     return [
-        F.count("*").alias("attempts"), F.count_if(observed()).alias("runs"), F.count_if(observed() & F.col("cited")).alias("cited"),
-        F.count_if(observed() & F.col("brand_mentioned")).alias("mentioned"), F.count_if(F.col("outcome") == "error").alias("errors"),
-        F.count_if(F.col("outcome") == "unmeasured").alias("unmeasured")]
+        F.count_if(kept).alias("attempts"), F.count_if(kept & observed()).alias("runs"), F.count_if(kept & observed() & F.col("cited")).alias("cited"),
+        F.count_if(kept & observed() & F.col("brand_mentioned")).alias("mentioned"), F.count_if(kept & (F.col("outcome") == "error")).alias("errors"),
+        F.count_if(kept & (F.col("outcome") == "unmeasured")).alias("unmeasured")]
 
 
 def slots(log: DataFrame) -> DataFrame:
-    """Counts for each engine that occurs and both query types, also where a type was not asked."""
-    types = log.sparkSession.createDataFrame([(t,) for t in C.QUERY_TYPES], "type string")
-    every = log.select("engine").distinct().crossJoin(F.broadcast(types))  # two rows
-    got = every.join(log.groupBy("engine", "type").agg(*counts()), ["engine", "type"], "left")
-    return got.fillna(0).withColumn("rate", X.ratio("cited", "runs")).withColumn("mention_rate", X.ratio("mentioned", "runs"))
+    """Counts for each engine that occurs and both query types, also where a type was not asked; one sum an engine."""
+    by = log.groupBy("engine").agg(*[F.struct(F.lit(t).alias("type"), *counts(F.col("type") == t)).alias(t) for t in C.QUERY_TYPES])
+    got = by.select("engine", F.inline(F.array(*C.QUERY_TYPES)))
+    return got.withColumn("rate", X.ratio("cited", "runs")).withColumn("mention_rate", X.ratio("mentioned", "runs"))
+
+
+def scopes(log: DataFrame) -> DataFrame:
+    """scope (latest, cumulative), runs, cited, rate: of the last date and of all, from one sum a date; no row for an empty log."""
+    by = log.groupBy("date").agg(*counts())
+    one = by.agg(F.max_by(F.struct("runs", "cited"), "date").alias("latest"), F.struct(F.sum("runs").alias("runs"), F.sum("cited").alias("cited")).alias("cumulative"))
+    both = one.select(F.inline(F.array(*[F.struct(F.lit(s).alias("scope"), F.col(s)["runs"].alias("runs"), F.col(s)["cited"].alias("cited")) for s in ("latest", "cumulative")])))
+    return both.where("runs is not null").withColumn("rate", X.ratio("cited", "runs"))
 
 
 def any_cited(log: DataFrame) -> DataFrame:

@@ -446,9 +446,7 @@ def trend_delta_vs_baseline(spark, d):
 
 @query(f"WITH {_LOG}, l AS (SELECT *, 'latest' AS scope FROM log WHERE date=(SELECT max(date) FROM log) UNION ALL SELECT *, 'cumulative' FROM log) SELECT scope, count(*) FILTER (outcome='observed') AS runs, count(*) FILTER (cited) AS cited, round_even(count(*) FILTER (cited)/nullif(count(*) FILTER (outcome='observed'),0)::DOUBLE,4) AS rate FROM l GROUP BY 1")
 def latest_vs_cumulative(spark, d):
-    rows = _log(spark, d)
-    both = M.latest(rows).withColumn("scope", F.lit("latest")).unionByName(rows.withColumn("scope", F.lit("cumulative")))
-    return both.groupBy("scope").agg(*M.counts()).select("scope", "runs", "cited", X.ratio("cited", "runs").alias("rate"))
+    return M.scopes(_log(spark, d))
 
 
 @query(f"WITH {_LOG} SELECT count(*) AS attempts, count(*) FILTER (outcome='observed') AS observed, count(*) FILTER (outcome='error') AS errors, count(*) FILTER (outcome='unmeasured') AS unmeasured, count(*) FILTER (NOT compatible) AS incompatible_rows, round_even(count(*) FILTER (outcome='error')/count(*)::DOUBLE,4) AS error_rate, count(*) FILTER (outcome='error')=0 AND count(*) FILTER (NOT compatible)=0 AS regression_eligible FROM allrows")

@@ -30,6 +30,14 @@ def test_errors_are_no_negatives(spark, tmp_path):
     assert empty["attempts"] == 0 and empty["rate"] is None
 
 
+def test_last_date_beside_all_dates(spark):
+    rows = [("2026-01-01", "observed", True), ("2026-01-01", "error", None), ("2026-01-02", "observed", False), ("2026-01-02", "observed", True)]
+    log = spark.createDataFrame(rows, "date string, outcome string, cited boolean").withColumn("brand_mentioned", F.lit(False))
+    got = {r["scope"]: (r["runs"], r["cited"], r["rate"]) for r in M.scopes(log).collect()}
+    assert got == {"latest": (2, 1, 0.5), "cumulative": (3, 2, 0.6667)}
+    assert M.scopes(log.limit(0)).count() == 0
+
+
 def test_question_set(spark):
     raw = spark.createDataFrame([(0, "a", "", "brand", None), (1, "a", "later", "brand", None), (2, "b", "text", "odd", None), (3, "c", "text", "nonbrand", "n"), (4, " ", "x", "brand", None)], "pos int, id string, text string, type string, note string")
     assert [r["id"] for r in tables.query_set(raw).collect()] == ["c"]

@@ -80,6 +80,30 @@ def test_no_pages(spark):
     assert codes == {"FAQ_MISSING", "ORG_JSONLD_MISSING", "NAVER_VERIFY_MISSING"}
 
 
+def test_page_findings_against_plain_counts(spark):
+    """Duplicates with a title that most pages share, null and failed statuses, repeated rows, ties in the order."""
+    names = "url status title meta_description jsonld_types pos".split()
+    rows = [(f"https://a.example/{i % 170}", (200, 404, None, 200, 200)[i % 5], ("same", f"t{i // 3}", "", None)[min(i % 6, 3)] if i % 6 > 2 else "same", f"d{i % 60}", ["Organization"] if i % 50 == 0 else [], i // 2) for i in range(200)]
+    pages = spark.createDataFrame(rows, "url string, status int, title string, meta_description string, jsonld_types array<string>, pos long")
+    pages = pages.withColumns({c: F.lit(None).cast("string") for c in ("meta_robots", "meta_googlebot", "x_robots_tag", "canonical")} | {
+        "intended_indexable": F.lit(True), "h1": F.array(F.lit("h")), "jsonld_count": F.lit(1), "text_chars": F.lit(500), "naver_site_verification": F.lit(True), "final_url": F.col("url")})
+    found = {r["code"]: r for r in rules.page_findings(pages).collect()}
+    plain = [dict(zip(names, r)) for r in rows]
+    ok = [r for r in plain if r["status"] == 200]
+
+    def check(code, hits):
+        first = [r["url"] for r in sorted(hits, key=lambda r: (r["pos"], r["url"]))[:20]]
+        assert (found[code]["count"], found[code]["urls"]) == (len(hits), first), code
+
+    for code, c in (("TITLE_DUPLICATE", "title"), ("DESC_DUPLICATE", "meta_description")):
+        values = [r[c] for r in ok]
+        check(code, [r for r in ok if r[c] and values.count(r[c]) > 1])
+    check("HTTP_ERROR", [r for r in plain if r["status"] is None or r["status"] >= 400])
+    check("TITLE_MISSING", [r for r in ok if not r["title"]])
+    check("ORG_JSONLD_SCATTERED", [r for r in ok if r["jsonld_types"]])
+    assert found["FAQ_MISSING"]["count"] == 0 and found["FAQ_MISSING"]["urls"] == [] and not {"NAVER_VERIFY_MISSING", "ORG_JSONLD_MISSING", "JSONLD_MISSING"} & set(found)
+
+
 def test_parser():
     p = html.parse_page('<html lang=""><html lang="ko"><title> a\n b</title><meta property="og:title" content="x"><meta name=robots content=noindex><meta name=ROBOTS content=nofollow><h1></h1><script>var t="</p>";</script><noscript>n</noscript><p>seen &amp; read')
     assert (p["lang"], p["title"], p["meta_robots"], p["h1"], p["text"]) == ("ko", "a b", "noindex, nofollow", [""], "a bseen & read")
