@@ -644,7 +644,11 @@ def lane_diff(spark, d):
     return D.lane_diff(rules.lanes(spark).select("lane"), *sides)
 
 
-@query()
+_STEPS = ",".join(f"('{code}',{step},{str(server).lower()})" for code, step, server in C.ROADMAP)
+
+
+@query(f"""WITH f AS ({SQL["finding_table"]}), j AS (SELECT code, lane, severity, count, CAST(coalesce(step,99) AS INT) AS step, coalesce(server,false) AS server, CAST(list_position(['critical','warn','info'],severity)-1 AS INT) AS rank FROM f LEFT JOIN (VALUES {_STEPS}) s(code,step,server) USING (code))
+ SELECT *, CAST(row_number() OVER (ORDER BY rank, step, code) AS INT) AS ord FROM j""")
 def roadmap_order(spark, d):
     return rules.roadmap(rules.page_findings(_page_table(spark, d)))
 
