@@ -7,7 +7,7 @@ N its count of all kept terms; so does the language as a whole.  The divergence
 ``pair``: for each group every other source of its language, with the sum of divergences over all kept terms.  ``term``: a group's terms
 above the language's price, the greatest ``TOP`` of them.
 
-Counts are made in one pass: a task adds up (group, term) for its own documents within a bound on its memory.  Kept terms are dealt by
+Counts are made in one pass: a task adds up (group, term) over slices of its documents of a bounded size.  Kept terms are dealt by
 hash into strips of about ``CELLS`` non-zero counts, so no term, source or language is a hot group: a term has at most one count a
 group.  A strip's matrix of groups and terms is a k2-tree (k = 2), level by level the children of the quadrants that are not zero.  Pairs of
 groups go down the tree together; quadrants empty for both are left at once and priced at (number of terms) x (the divergence of the two
@@ -19,7 +19,6 @@ empty result.
 """
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,39 +27,63 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, pick, small_batches
+from .units import slices
 
 SCALE, MIN_DOCS, TOP = 1_000_000_000, 3, 200
 CELLS, ROWS, FRONTIER = 200_000, 256, 500_000
 _TERM = bytes(c if c >= 0x80 or chr(c).isalpha() else 32 for c in range(256)).lower()
 
 
-def term_counts(docs: DataFrame, entries: int = 400_000, letters: int = 32_000_000) -> DataFrame:
-    """lang, source, term, n, docs added up within each task; a row with a null term tells of a group."""
+def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms of the texts, one after another, and the text of each."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    data, ends = np.frombuffer(_TERM, np.uint8)[data], ends - ends[0]
+    inside = data != 32
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edges = ends[(ends > 0) & (ends < len(data))]  # a term ends with its text
+    first[edges], last[edges - 1] = inside[edges], inside[edges - 1]
+    begin = np.flatnonzero(first)
+    offsets = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - begin)])
+    found = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    return found, np.searchsorted(ends, begin, side="right") - 1
+
+
+def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and its length."""
+    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(sorted_keys)), bool), sorted_keys[1:] != sorted_keys[:-1]]))
+    return begin, np.diff(np.append(begin, len(sorted_keys)))
+
+
+def term_counts(docs: DataFrame, most: int = 16_000_000) -> DataFrame:
+    """lang, source, term, n, docs added up within slices of about `most` bytes of text; a row with a null term tells of a group."""
     rows = pick(docs, text="string", lang="string", source="string")
     rows = small_batches(rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")]))
-    names = ["lang", "source", "term", "n", "docs"]
-
-    def table(held):
-        for (lang, source), (n, docs) in held.items():
-            terms = [None, *n]
-            columns = [pa.array([v] * len(terms), pa.string()) for v in (lang, source)]
-            columns += [pa.array(terms, pa.binary()).cast(pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *map(docs.__getitem__, n)], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches):
-        held, size, weight = {}, 0, 0
         for batch in batches:
-            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary())):
-                n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-                own = Counter(text.as_py().translate(_TERM).split())
-                fresh = own.keys() - n.keys()
-                size, weight = size + len(fresh) + 1, weight + sum(map(len, fresh))
-                n.update(own)
-                docs.update(own.keys())
-                if size > entries or weight > letters:
-                    yield from table(held)
-                    held, size, weight = {}, 0, 0
-        yield from table(held)
+            for part in slices(batch, "text", most):
+                lang, source = (part.column(c).dictionary_encode() for c in ("lang", "source"))
+                n_sources = len(source.dictionary)
+                group = lang.indices.to_numpy().astype(np.int64) * n_sources + source.indices.to_numpy()
+                terms, doc = terms_of(part.column("text"))
+                terms = terms.dictionary_encode()
+                v = max(1, len(terms.dictionary))
+                own = np.sort(doc * v + terms.indices.to_numpy())  # (text, term), then (group, term)
+                begin, n = runs(own)
+                cell = group[own[begin] // v] * v + own[begin] % v
+                order = np.argsort(cell, kind="stable")
+                begin, n_docs = runs(cell[order])
+                cell, n = cell[order][begin], np.add.reduceat(n[order], begin) if len(begin) else n
+                seen = np.unique(group)
+                of = np.concatenate([seen, cell // v])
+                term = pa.concat_arrays([pa.nulls(len(seen), pa.string()), terms.dictionary.take(pa.array(cell % v)).cast(pa.string())])
+                counts = [pa.array(np.concatenate([np.zeros(len(seen), np.int64), x])) for x in (n, n_docs)]
+                columns = [lang.dictionary.take(pa.array(of // n_sources)), source.dictionary.take(pa.array(of % n_sources)), term, *counts]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
     return rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
@@ -69,7 +92,8 @@ def matrix(docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, cells: i
     """Non-zero counts of kept terms (lang, source, term, n, whole: the language's count) with their strip, and the groups (lang, source,
     total, whole_total, vocabulary) once for each strip of their language.  Both are written tables."""
     found = scratch.table("found", term_counts(docs))
-    counts = found.where("term is not null").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # dealt by (lang, term) once: the sums and the window below both keep that partitioning
+    counts = found.where("term is not null").repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     term = Window.partitionBy("lang", "term")  # at most one row a group
     counts = counts.select("lang", "source", "term", "n", F.sum("n").over(term).alias("whole"), F.sum("docs").over(term).alias("docs"), F.row_number().over(term.orderBy("source")).alias("k"))
     kept = scratch.table("kept", counts.where(F.col("docs") >= min_docs).select("lang", "source", "term", "n", "whole", (F.col("k") == 1).cast("int").alias("leads")))
