@@ -27,9 +27,16 @@ PROFILE, PER_LANGUAGE, FOLDS, HELD = 400, 2000, 4, 2
 
 
 def letter_runs():
-    """Finds the runs of letters (category L) of a text: word characters without digits, marks that join, and number signs."""
+    """Finds the runs of letters (category L) of a text.  Word characters without digits and marks that join are nearly that; only the
+    few runs that hold a number sign besides are cut by a class that leaves those out."""
     signs = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[^\W\d_{re.escape(signs)}]+").findall
+    near, exact = re.compile(r"[^\W\d_]+").findall, re.compile(rf"[^\W\d_{re.escape(signs)}]+").findall
+
+    def find(text: str) -> list[str]:
+        found = near(text)
+        return found if all(map(str.isalpha, found)) else [r for f in found for r in ([f] if f.isalpha() else exact(f))]
+
+    return find
 
 
 def grams(text: str, runs=letter_runs()) -> np.ndarray:

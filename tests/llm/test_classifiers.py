@@ -249,3 +249,13 @@ def test_toxicity_fit_does_not_depend_on_runs(monkeypatch):
     whole = toxicity.fit_rows(texts, labels, 0.3)
     monkeypatch.setattr(toxicity, "CHUNK", 50)
     assert toxicity.fit_rows(texts, labels, 0.3).state() == whole.state() and "vile" in whole.weight
+
+
+def test_letter_runs_on_every_code_point():
+    from itertools import groupby
+
+    from sitewright.llm import language
+
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for text in ("".join(every), "a" + "a".join(every)):
+        assert language.letter_runs()(text) == ["".join(g) for letter, g in groupby(text, str.isalpha) if letter]
