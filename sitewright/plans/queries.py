@@ -719,7 +719,7 @@ def visible_text_misses(spark, d):
 
 @query("""WITH b AS (SELECT page_id AS k, 'u'||page_id AS url, page_id%4=0 AS broken FROM pages)
  SELECT url, 0 AS block, true AS valid, 'Product' AS types, '[["Product"], "/a", "A'||k||'", [["'||k||'", "", ""]]]' AS identity, '' AS org_ids, 'A'||k||'|'||k AS visible FROM b WHERE NOT broken
- UNION ALL SELECT url, 0, true, 'Organization|X', '[["Organization", "X"], "#o'||k||'", "N", ""]', '#o'||k, 'N' FROM b WHERE NOT broken UNION ALL SELECT url, 1, false, '', NULL, '', '' FROM b WHERE broken""")
+ UNION ALL SELECT url, 0, true, 'Organization|X', '[["Organization"], "#o'||k||'", "N", ""]', '#o'||k, 'N' FROM b WHERE NOT broken UNION ALL SELECT url, 1, false, '', NULL, '', '' FROM b WHERE broken""")
 def jsonld_objects(spark, d):
     """Two objects a page in one block, one inside a graph; one page in four has an empty list and a broken block instead."""
     k = F.col("page_id")

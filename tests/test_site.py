@@ -228,3 +228,19 @@ def test_answers(spark):
     body = json.dumps({"content": [{"type": "text", "text": "yo", "citations": [{"url": "https://c/"}]}, {"type": "text", "text": "!"}]})
     row = tables.parse_answer(spark.createDataFrame([(1, body)], "id int, body string"), "anthropic").first()
     assert (row["cited_urls"], row["text"]) == (["https://c/"], "yo!")
+
+
+def test_identity_of_json_ld_objects():
+    same = lambda a, b: html.identity(a) == html.identity(b)
+    org = {"@type": "Organization", "@id": "https://s.example/#a", "name": "S", "url": "https://S.example"}
+    assert not same(org, {**org, "@id": "https://s.example/#b"})
+    assert not same(org, {**org, "@id": "https://s.example/"})
+    assert same(org, {**org, "@id": "HTTPS://S.example#a", "url": "https://s.example/#top"})
+    assert same(org, {**org, "@type": ["Organization", "LocalBusiness"], "logo": "x"})
+    assert not same(org, {**org, "@type": ["LocalBusiness", "Organization"]})
+    faq = {"@type": "FAQPage", "mainEntity": [{"@type": "Question", "name": "a", "acceptedAnswer": {"text": "1"}}, {"name": " b ", "acceptedAnswer": {"text": "2"}}]}
+    assert same(faq, {**faq, "mainEntity": faq["mainEntity"][::-1]})
+    assert not same(faq, {**faq, "mainEntity": faq["mainEntity"][:1]})
+    other = {"@type": "Event", "name": "x"}
+    assert same(other, dict(reversed(other.items()))) and not same(other, {**other, "place": "y"})
+    assert same({}, {}) and not same({}, {"name": "x"})
