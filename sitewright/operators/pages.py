@@ -8,6 +8,7 @@ from .. import contracts as C
 from ..functions import text as X
 from ..functions import urls as U
 from ..sources.scratch import cut
+from ..sources.scratch import table as written
 from . import rules
 
 
@@ -62,35 +63,91 @@ def eligible(pages: DataFrame, host: str) -> DataFrame:
     return pages.where((F.col("status") == 200) & ~rules.noindex() & (url == final) & (U.host_of(final) == host) & own).select(url.alias("url")).distinct()
 
 
-def sitemap_chunks(urls: DataFrame, most: int = C.SITEMAP_URLS, most_bytes: int = C.SITEMAP_BYTES, extra: int = 40) -> DataFrame:
-    """url, chunk: runs of URLs in order, each of at most `most` URLs and most_bytes (an entry takes its URL and `extra`).
+def in_order(urls: DataFrame, extra: int) -> DataFrame:
+    """url, i (its place from 0), size (bytes of the URL and `extra`), at (bytes before it), written once.
 
-    URLs are dealt into sorted ranges, which the checkpoint fixes.  A URL's place in count and bytes is its range's offset and its
-    place there; only the ranges' sums meet.  Runs of `most` are cut where a multiple of the bytes is passed as well, so no
-    chunk is too large and none needs the chunk before it; at the end of a run a chunk may be smaller than it could be."""
-    placed = cut(urls.select("url").repartitionByRange("url").sortWithinPartitions("url"))
-    placed = placed.select("url", F.spark_partition_id().alias("range"), (F.octet_length("url") + extra).cast("long").alias("b"))
-    sums = placed.groupBy("range").agg(F.count("*").alias("n"), F.sum("b").alias("s"))
+    URLs are dealt into sorted ranges, which the checkpoint fixes; only counts and bytes of whole ranges meet in one task."""
+    placed = cut(urls.where("url is not null").select("url").repartitionByRange("url").sortWithinPartitions("url"))
+    placed = placed.select("url", F.spark_partition_id().alias("range"), (F.octet_length("url") + extra).cast("long").alias("size"))
+    sums = placed.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"before_{c}") for c in "ns"])
     inside = Window.partitionBy("range").orderBy("url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = placed.withColumns({"i": F.count("*").over(inside), "to": F.sum("b").over(inside)}).join(before, "range")
-    run = F.floor((F.col("before_n") + F.col("i") - 1) / most)
-    part = F.floor((F.col("before_s") + F.col("to") - 1) / (most_bytes / 2))  # entries that end in one half of the limit
-    known = known.select("url", run.alias("run"), part.alias("part"))
-    groups = known.groupBy("run", "part").count().select("run", "part", (F.dense_rank().over(Window.orderBy("run", "part")) - 1).cast("long").alias("chunk"))
-    return known.join(groups, ["run", "part"]).select("url", "chunk")
-
-
-def greedy_chunks(sizes: list[int], most: int = C.SITEMAP_URLS, most_bytes: int = C.SITEMAP_BYTES, extra: int = 40) -> list[int]:
-    """Chunk number of each entry of one sitemap in order, by count and bytes; an entry is never split."""
-    out, chunk, n, used = [], 0, 0, 0
-    for size in sizes:
-        if n and (n >= most or used + size + extra > most_bytes):
-            chunk, n, used = chunk + 1, 0, 0
-        out.append(chunk)
-        n, used = n + 1, used + size + extra
-    return out
+    known = placed.withColumns({"i": F.count("*").over(inside), "to": F.sum("size").over(inside)}).join(before, "range")
+    return written(known.select("url", (F.col("before_n") + F.col("i") - 1).alias("i"), "size", (F.col("before_s") + F.col("to") - F.col("size")).alias("at")), "entries")
+
+
+def _ways(most: int, most_bytes: int, block: int, n: int):
+    """For the entries of one block, given with those that follow within reach: where the chunk after the one that an entry
+    begins begins (`after`), and the first such place outside the block (`out`)."""
+
+    def one(key, rows):
+        import numpy as np
+        import pandas as pd
+
+        rows = rows.sort_values("i")
+        i, at = rows["i"].to_numpy(), rows["at"].to_numpy()
+        own = int(min((key[0] + 1) * block, n) - i[0])  # the end of the table, which comes last, begins nothing
+        k = np.arange(own)
+        fits = np.searchsorted(at, at[:own] + most_bytes, side="right") - 1
+        after = np.minimum(np.minimum(np.maximum(fits, k + 1), k + most), len(i) - 1)
+        out = after.copy()
+        while (out < own).any():  # each round doubles the steps
+            inner = out < own
+            out[inner] = out[out[inner]]
+        return pd.DataFrame({"block": key[0], "i": i[:own], "after": i[after], "out": i[out]})
+
+    return one
+
+
+def _walk(key, rows):
+    """The chunk of each entry of a block, counted from the one that the block's first whole chunk begins (0: begun before)."""
+    import numpy as np
+    import pandas as pd
+
+    rows = rows.sort_values("i")
+    i, after = rows["i"].to_numpy(), rows["after"].to_numpy()
+    begins, k = np.zeros(len(i), "int64"), int(rows["enter"].iloc[0] - i[0])
+    while k < len(i):
+        begins[k] = 1
+        k = int(after[k] - i[0])
+    return pd.DataFrame({"block": key[0], "i": i, "inner": np.cumsum(begins)})
+
+
+def sitemap_chunks(urls: DataFrame, most: int = C.SITEMAP_URLS, most_bytes: int = C.SITEMAP_BYTES, extra: int = 40, block: int = 1 << 16) -> DataFrame:
+    """url, chunk: the greedy chunks of the URLs in order.  A chunk takes entries (a URL and `extra` bytes) until the next one
+    would pass `most` or most_bytes; an entry larger than that is a chunk of its own.  A null URL is no entry.
+
+    Where even the largest entries fit `most` times, places alone decide.  Else each block of entries is a function: from where a
+    chunk begins in it to where the first chunk outside it begins.  Functions of neighbours are composed in pairs, and only that
+    of a pair's first block is kept, so all levels together are no more rows than the entries; then the way down gives each
+    block the place where it is entered.  A block is at least `most` entries, so a chunk never leaps over one."""
+    spark, block = urls.sparkSession, max(block, most)
+    entries = in_order(urls, extra)
+    n, large, total = entries.agg(F.count("*"), F.max("size"), F.sum("size")).first()
+    if not n or large * most <= most_bytes:
+        return entries.select("url", F.floor(F.col("i") / most).cast("long").alias("chunk"))
+    places = entries.select("i", "at").unionByName(spark.range(1).select(F.lit(n).cast("long").alias("i"), F.lit(total).cast("long").alias("at")))
+    b = F.floor(F.col("i") / block).cast("long")
+    near = (F.col("i") % block <= most) & (b > 0)  # within reach of the block before
+    copies = places.select(F.explode(F.when(near, F.array(b, b - 1)).otherwise(F.array(b))).alias("block"), "i", "at")
+    ways = written(copies.groupBy("block").applyInPandas(_ways(most, most_bytes, block, n), "block long, i long, after long, out long"), "ways")
+    levels, blocks = [ways.select("block", "i", "out")], n // block + 1
+    while blocks > 1:
+        f = levels[-1]
+        left, right = f.where("block % 2 = 0"), f.where("block % 2 = 1").select(F.col("i").alias("out"), F.col("out").alias("far"))
+        levels.append(written(left.join(right, "out", "left").select(F.shiftright("block", 1).alias("block"), "i", F.coalesce("far", "out").alias("out")), "level"))
+        blocks = (blocks + 1) // 2
+    enter = spark.range(1).select(F.col("id").alias("block"), F.lit(0).cast("long").alias("i"))
+    for f in reversed(levels[:-1]):
+        second = enter.join(f.select("i", "out"), "i").where(F.col("out") < n).select((F.col("block") * 2 + 1).alias("block"), F.col("out").alias("i"))
+        enter = written(enter.select((F.col("block") * 2).alias("block"), "i").unionByName(second), "enter")
+    walked = ways.join(enter.select("block", F.col("i").alias("enter")), "block", "left").select("block", "i", "after", F.coalesce("enter", F.lit(n)).alias("enter"))
+    walked = written(walked.groupBy("block").applyInPandas(_walk, "block long, i long, inner long"), "walked")
+    begun = walked.groupBy("block").agg(F.max("inner").alias("n"))
+    before = begun.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n"))
+    chunk = walked.join(before, "block").select("i", (F.col("n") + F.col("inner") - 1).alias("chunk"))
+    return entries.join(chunk, "i").select("url", "chunk")
 
 
 def _separator(title) -> Column:

@@ -5,7 +5,6 @@ small (one robots file, one llms.txt).  Nothing is invented: an unknown value is
 from __future__ import annotations
 
 import difflib
-from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import pages as P
 from ..operators import rules
+from ..sources import sinks
 
 NAMESPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"  # fixed value
 
@@ -28,18 +28,9 @@ def safe_to_replace(complete: bool | None, known: DataFrame, eligible: DataFrame
     return complete, lost
 
 
-def sitemap_files(urls: list[str], base: str) -> dict[str, str]:
-    """name -> XML of one site's sitemap, split by count and bytes, with an index if it is split."""
-    chunks = P.greedy_chunks([len(u.encode()) for u in urls])
-    parts: dict[int, list[str]] = {}
-    for url, chunk in zip(urls, chunks):
-        parts.setdefault(chunk, []).append(url)
-    head = '<?xml version="1.0" encoding="UTF-8"?>\n'
-    body = lambda tag, item, locs: f'{head}<{tag} xmlns="{NAMESPACE}">\n' + "".join(f"  <{item}><loc>{escape(u)}</loc></{item}>\n" for u in locs) + f"</{tag}>\n"
-    if len(parts) < 2:
-        return {"sitemap.xml": body("urlset", "url", urls)}
-    files = {f"sitemap-{i + 1}.xml": body("urlset", "url", part) for i, part in parts.items()}
-    return files | {"sitemap.xml": body("sitemapindex", "sitemap", [f"{base}/{name}" for name in files])}
+def sitemap_files(urls: DataFrame, path: str, base: str, **limits) -> list[str]:
+    """The sitemap of one site written to path: sitemap.xml, or its parts and sitemap_index.xml; the names."""
+    return sinks.write_sitemaps(P.sitemap_chunks(urls, **limits), path, NAMESPACE, base)
 
 
 def robots_plan(policies: DataFrame) -> DataFrame:

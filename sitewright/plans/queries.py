@@ -19,6 +19,7 @@ from ..operators import rules
 from ..operators import verify as V
 from ..sources import html, scratch, sinks, tables
 from ..sources import standins as S
+from . import generate as G
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -828,13 +829,29 @@ def log_round_trip(spark, d):
     return read.groupBy("date", "query_id", "engine", "outcome").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("cited_urls")), F.lit(0)).cast("long").alias("urls"))
 
 
-@query(f"SELECT url, CAST((row_number() OVER (ORDER BY url)-1)//40 AS INT) AS chunk FROM (SELECT DISTINCT {NORM} AS url FROM pages)")
+_GREEDY = f"""o AS (SELECT url, row_number() OVER (ORDER BY url) AS i, strlen(url)+40 AS size FROM (SELECT DISTINCT {NORM} AS url FROM pages)),
+ g(i,url,chunk,n,used) AS (SELECT i, url, 0, 1, size FROM o WHERE i=1 UNION ALL SELECT o.i, o.url, g.chunk+CAST(n>=40 OR used+size>3000 AS INT), CASE WHEN n>=40 OR used+size>3000 THEN 1 ELSE n+1 END,
+ CASE WHEN n>=40 OR used+size>3000 THEN size ELSE used+size END FROM g JOIN o ON o.i=g.i+1)"""
+
+
+def _urls(spark, d):
+    return _pages(spark, d).select(U.normalize("url").alias("url")).distinct()
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT url, CAST(chunk AS BIGINT) AS chunk FROM g")
+def sitemap_chunks_by_bytes(spark, d):
+    """Greedy chunks of at most 40 URLs and 3000 bytes, from blocks of 64."""
+    return P.sitemap_chunks(_urls(spark, d), 40, 3000, block=64)
+
+
+@query(f"""WITH RECURSIVE {_GREEDY} SELECT 'sitemap-'||(chunk+1)||'.xml' AS file, 'urlset' AS kind, url FROM g
+ UNION ALL SELECT DISTINCT 'sitemap_index.xml', 'sitemapindex', 'https://s.example/a&b/sitemap-'||(chunk+1)||'.xml' FROM g""")
 def sitemap_files(spark, d):
-    """Sitemap files of at most 40 URLs, written and parsed again."""
+    """Sitemap files by count and bytes with their index, written and parsed again."""
     path = scratch.folder(spark, "sitemaps")
-    sinks.write_sitemaps(P.sitemap_chunks(_pages(spark, d).select(U.normalize("url").alias("url")).distinct(), 40), path, "http://www.sitemaps.org/schemas/sitemap/0.9")
-    files = spark.read.text(path, wholetext=True).withColumn("s", html.parse_sitemap("value"))
-    return files.where("s.parsed").select(F.explode("s.locs").alias("url"), F.col("chunk").cast("int").alias("chunk"))
+    G.sitemap_files(_urls(spark, d), path, "https://s.example/a&b", most=40, most_bytes=3000, block=64)
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), html.parse_sitemap("value").alias("s"))
+    return files.where("s.parsed").select("file", F.when(F.col("s.is_index"), "sitemapindex").otherwise("urlset").alias("kind"), F.explode("s.locs").alias("url"))
 
 
 @query(f"SELECT page_id, {NORM} AS url, CASE WHEN page_id%13<>0 THEN {TITLE} END AS draft_title FROM pages")

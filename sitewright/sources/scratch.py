@@ -38,3 +38,54 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     where = folder(df.sparkSession, tag)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+# ---- files on whatever file system a path names ---------------------------------------------------------------------
+
+
+def _at(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def names(spark: SparkSession, where: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    fs, path = _at(spark, where)
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """A file takes the place of another, if there is one."""
+    fs, path = _at(spark, new)
+    if fs.exists(path):
+        fs.delete(path, False)
+    if not fs.rename(_at(spark, old)[1], path):
+        raise OSError(f"cannot rename {old} to {new}")
+
+
+def remove(spark: SparkSession, where: str) -> None:
+    fs, path = _at(spark, where)
+    fs.delete(path, True)
+
+
+def read_text(spark: SparkSession, where: str) -> str | None:
+    """The text of a small file; None if there is none."""
+    fs, path = _at(spark, where)
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, where: str, text: str) -> None:
+    """A small file, written aside and then named."""
+    fs, path = _at(spark, f"{where}.next")
+    stream = fs.create(path, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    rename(spark, f"{where}.next", where)

@@ -7,6 +7,7 @@ import json
 import os
 import tempfile
 from pathlib import Path
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 
@@ -47,17 +48,35 @@ def form_csv(rows: list[dict], path: str | Path) -> None:
     write_bytes(path, b"\xef\xbb\xbf" + out.getvalue().encode())
 
 
-def write_sitemaps(chunks: DataFrame, path: str, namespace: str) -> None:
-    """urls with chunk -> one whole sitemap file in each folder chunk=N, made in the executors and in order.  A chunk is bound by
-    the limits of the format, so one row holds its text."""
+def write_sitemaps(chunks: DataFrame, path: str, namespace: str, base: str | None = None) -> list[str]:
+    """urls with chunk -> one whole sitemap file a chunk, made in the executors and in order; the names, in order.
+
+    Files are made aside through Spark's committer and then named: sitemap.xml if there is one, else sitemap-1.xml and so on, and
+    last sitemap_index.xml, which names the parts below base (if given).  A chunk is bound by the limits of the format, so one
+    row holds its text; the driver sees the names of the parts alone, which the format's index bounds."""
     from pyspark.sql import functions as F
 
     from ..functions import text as X
+    from . import scratch
 
+    spark = chunks.sparkSession
     entry = F.concat(F.lit("  <url><loc>"), X.html_escape("url"), F.lit("</loc></url>\n"))
     body = chunks.groupBy("chunk").agg(F.array_join(F.array_sort(F.collect_list(F.struct("url", entry.alias("x"))))["x"], "").alias("x"))
-    head, end = f'<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="{namespace}">\n', "</urlset>"
-    body.repartition("chunk").select("chunk", F.concat(F.lit(head), "x", F.lit(end)).alias("value")).write.mode("overwrite").partitionBy("chunk").text(path)
+    head = lambda tag: f'<?xml version="1.0" encoding="UTF-8"?>\n<{tag} xmlns="{namespace}">\n'
+    aside = f"{path.rstrip('/')}/.made"
+    body.repartition("chunk").select("chunk", F.concat(F.lit(head("urlset")), "x", F.lit("</urlset>")).alias("value")).write.mode("overwrite").partitionBy("chunk").text(aside)
+    made = {int(folder.split("=")[1]): part for folder in scratch.names(spark, aside) if folder.startswith("chunk=") for part in [f"{aside}/{folder}/{p}" for p in scratch.names(spark, f"{aside}/{folder}") if p.startswith("part-")]}
+    if not made:
+        scratch.write_text(spark, f"{path}/sitemap.xml", head("urlset") + "</urlset>\n")
+    files = ["sitemap.xml"] if len(made) < 2 else [f"sitemap-{k + 1}.xml" for k in range(len(made))]
+    for name, chunk in zip(files, sorted(made)):
+        scratch.rename(spark, made[chunk], f"{path}/{name}")
+    scratch.remove(spark, aside)
+    if len(made) > 1 and base is not None:
+        locs = "".join(f"  <sitemap><loc>{escape(f'{base}/{name}')}</loc></sitemap>\n" for name in files)
+        scratch.write_text(spark, f"{path}/sitemap_index.xml", head("sitemapindex") + locs + "</sitemapindex>\n")
+        files.insert(0, "sitemap_index.xml")
+    return files
 
 
 def write_snapshot(rows: DataFrame, path: str, force: bool = False) -> None:

@@ -126,13 +126,12 @@ def test_bodies():
     assert html.decode_body(b"\xff", "text/html; charset=nonsense") == "�"
 
 
-def test_sitemap_and_drafts(spark, crawled):
+def test_sitemap_and_drafts(spark, crawled, tmp_path):
     urls = [r["url"] for r in P.eligible(crawled.pages, "site.example").orderBy("url").collect()]
     assert urls == [f"{BASE}/"] or f"{BASE}/c" in urls
-    files = generate.sitemap_files(urls, BASE)
-    assert list(files) == ["sitemap.xml"] and html.sitemap_content(files["sitemap.xml"])["locs"] == urls
-    assert P.greedy_chunks([10] * 5, most=2) == [0, 0, 1, 1, 2]
-    assert P.greedy_chunks([60, 60, 60], most_bytes=210) == [0, 0, 1]
+    path = f"{tmp_path}/sitemaps"
+    assert generate.sitemap_files(P.eligible(crawled.pages, "site.example"), path, BASE) == ["sitemap.xml"]
+    assert html.sitemap_content((tmp_path / "sitemaps" / "sitemap.xml").read_text())["locs"] == urls
     drafts = {r["url"]: r for r in generate.meta_drafts(crawled.pages).collect()}
     assert f"{BASE}/b?x=1" not in drafts and drafts[f"{BASE}/c"]["draft_description"].startswith("<<TODO")
 
@@ -244,3 +243,34 @@ def test_identity_of_json_ld_objects():
     other = {"@type": "Event", "name": "x"}
     assert same(other, dict(reversed(other.items()))) and not same(other, {**other, "place": "y"})
     assert same({}, {}) and not same({}, {"name": "x"})
+
+
+def greedy(sizes, most, most_bytes):
+    out, chunk, n, used = [], 0, 0, 0
+    for size in sizes:
+        if n and (n >= most or used + size > most_bytes):
+            chunk, n, used = chunk + 1, 0, 0
+        out.append(chunk)
+        n, used = n + 1, used + size
+    return out
+
+
+@pytest.mark.parametrize("n,most,most_bytes,block", [(0, 5, 100, 8), (300, 7, 400, 8), (64, 8, 500, 8), (130, 9, 60, 16), (130, 100, 2000, 1)])
+def test_greedy_chunks(spark, n, most, most_bytes, block):
+    import random
+
+    rng = random.Random(n)
+    urls = sorted({f"https://s.example/{k:04d}{'é' * rng.choice([0, 1, 3, 40])}" for k in range(n)}, key=str.encode)
+    rows = spark.createDataFrame([(u,) for u in [*urls, None]], "url string")
+    got = P.sitemap_chunks(rows, most, most_bytes, extra=10, block=block).orderBy("chunk", "url").collect()
+    assert [(r.url, r.chunk) for r in got] == list(zip(urls, greedy([len(u.encode()) + 10 for u in urls], most, most_bytes)))
+
+
+def test_sitemap_parts_and_index(spark, tmp_path):
+    rows = spark.createDataFrame([(f"https://s.example/{k}?a&b",) for k in range(5)], "url string")
+    path = str(tmp_path / "s")
+    names = generate.sitemap_files(rows, path, "https://s.example", most=2)
+    assert names == ["sitemap_index.xml", "sitemap-1.xml", "sitemap-2.xml", "sitemap-3.xml"]
+    assert html.sitemap_content((tmp_path / "s" / "sitemap_index.xml").read_text())["locs"] == [f"https://s.example/{n}" for n in names[1:]]
+    assert html.sitemap_content((tmp_path / "s" / "sitemap-3.xml").read_text())["locs"] == ["https://s.example/4?a&b"]
+    assert generate.sitemap_files(rows.limit(0), str(tmp_path / "none"), "https://s.example") == ["sitemap.xml"]
