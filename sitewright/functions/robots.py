@@ -41,7 +41,7 @@ def literal_length(c) -> Column:
 
 
 def _rules_for(rules: DataFrame, agents: DataFrame, key: str) -> DataFrame:
-    """Rules of the groups that name the agent, or of the * groups if none does."""
+    """Rules of the groups that name the agent, or of the * groups if none does; if there is neither, all rules with both marks false."""
     named = agents.join(rules, [key], "left").withColumn("exact", F.lower("ua") == F.col("agent")).withColumn("star", F.col("agent") == "*")
     own = named.groupBy(key, "ua").agg(F.coalesce(F.bool_or("exact"), F.lit(False)).alias("explicit"), F.coalesce(F.bool_or("star"), F.lit(False)).alias("any_star"))
     return named.join(own, [key, "ua"]).where(F.when(F.col("explicit"), F.col("exact")).otherwise(F.coalesce("star", F.lit(False))) | (~F.col("explicit") & ~F.col("any_star")))
@@ -63,12 +63,25 @@ def policies(rules: DataFrame, agents: DataFrame, key: str = "site") -> DataFram
     return agg.select(key, "ua", F.when(F.col("explicit"), F.concat(F.lit("explicit-"), effect)).when(F.col("any_star"), F.concat(F.lit("star-"), effect)).otherwise("none").alias("policy"))
 
 
+def literal_prefix(c) -> Column:
+    """What every path that a rule matches begins with: the rule up to its first wildcard or its end mark."""
+    return F.substring_index(F.regexp_replace(col(c), r"\$\z", ""), "*", 1)
+
+
 def allowed(rules: DataFrame, asked: DataFrame, key: str = "site") -> DataFrame:
-    """asked (key, ua, target) with `allowed`: the longest matching rule wins, a tie allows, no match allows."""
-    used = _rules_for(rules, asked.select(key, "ua").distinct(), key).where("path is not null and path <> ''")
-    used = used.select(key, "ua", path_pattern("path").alias("pattern"), literal_length("path").alias("len"), "allow")
-    hit = asked.join(used, [key, "ua"], "left").withColumn("hit", F.expr("target rlike pattern"))
-    won = F.max(F.when(F.col("hit"), F.struct("len", "allow")))
+    """asked (key, ua, target), each once, with `allowed`: the longest matching rule wins, a tie allows, no match allows.
+
+    Rules are found by their literal prefix: of a target only the prefixes are looked up whose lengths occur among its crawler's
+    rules.  A pattern is tried only where the rule goes on after the prefix."""
+    used = _rules_for(rules, asked.select(key, "ua").distinct(), key).where("(explicit or any_star) and path <> ''")  # rules of other crawlers' groups alone bind nobody else
+    used = used.groupBy(key, "ua", "path").agg(F.bool_or("allow").alias("allow"))
+    used = used.withColumns({"prefix": literal_prefix("path"), "rank": literal_length("path"), "pattern": F.when(F.col("path") != literal_prefix("path"), path_pattern("path"))})
+    lengths = used.groupBy(key, "ua").agg(F.collect_set(F.char_length("prefix")).alias("lengths"))  # no more than a path is long
+    asked = asked.select(key, "ua", "target").distinct().join(lengths, [key, "ua"], "left")
+    tried = asked.select(key, "ua", "target", F.explode_outer(F.filter("lengths", lambda n: n <= F.char_length("target"))).alias("n"))
+    tried = tried.select(key, "ua", "target", F.substring("target", F.lit(1), F.col("n")).alias("prefix"))
+    hit = tried.join(used, [key, "ua", "prefix"], "left").withColumn("hit", F.col("rank").isNotNull() & F.coalesce(F.expr("target rlike pattern"), F.lit(True)))
+    won = F.max(F.when(F.col("hit"), F.struct("rank", "allow")))
     return hit.groupBy(key, "ua", "target").agg(F.coalesce(won["allow"], F.lit(True)).alias("allowed"))
 
 

@@ -1,13 +1,15 @@
 """Page-table operators: links, reach, sitemaps, labels, sections."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import contracts as C
 from ..functions import text as X
 from ..functions import urls as U
-from ..sources.scratch import cut
+from ..sources.scratch import cut, folder
 from ..sources.scratch import table as written
 from . import rules
 
@@ -25,25 +27,48 @@ def plain_title(html) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(raw, r"&amp\z", "&"), r"\s+", " "))
 
 
+def numbered(df: DataFrame, by: list[str], name: str = "rank", start: int = 0) -> DataFrame:
+    """df with the place of each row in the order of `by`: rows are dealt into sorted ranges, a checkpoint fixes them, and only the
+    counts of ranges meet in one task."""
+    placed = cut(df.repartitionByRange(*by).sortWithinPartitions(*by)).withColumn("_place", F.monotonically_increasing_id())
+    placed = placed.withColumns({"_range": F.shiftright("_place", 33), "_place": F.col("_place").bitwiseAND((1 << 33) - 1)})
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(counts.select("_range", before.alias("_before")), "_range").withColumn(name, F.col("_before") + F.col("_place") + start).drop("_range", "_place", "_before")
+
+
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
-    """url, depth of all pages that links lead to, level by level; each level is written to cut the plan.
-
-    edges (src, dst), seeds (url).  most: stop before the level that would exceed that many pages in all (the crawl
-    limit); what was found and not taken is not returned."""
-    seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    seen = cut(seen)
-    front, depth, total = seen, 0, seen.count()
-    while True:
-        depth += 1
-        step = edges.join(front.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
-        front = cut(step.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
-        n = front.count()
-        if not n or (most is not None and total >= most):
-            return seen
-        if most is not None and total + n > most:
-            front = cut(front.orderBy("url").limit(most - total))
-            n = most - total
-        seen, total = cut(seen.unionByName(front)), total + n
+    """url, depth, rank of the pages that links lead to, in the order in which a crawler with one queue finds them: the pages
+    that an earlier page names come first, then those that are named earlier on it.  most: the first so many alone.
+
+    edges (src, dst, pos), seeds (url, pos).  Links are dealt by src once and what was found is dealt by url, in tables of as many
+    buckets as shuffles have parts, so neither moves again; a level adds only its own rows to what was found."""
+    spark = edges.sparkSession
+    buckets, tag = int(spark.conf.get("spark.sql.shuffle.partitions")), uuid.uuid4().hex
+    links, found = f"links_{tag}", f"found_{tag}"
+    where = folder(spark, "found")
+
+    def add(name: str, df: DataFrame, by: str, path: str) -> None:
+        df.write.bucketBy(buckets, by).mode("append").option("path", path).saveAsTable(name)
+
+    try:
+        add(links, edges.select("src", "dst", "pos").where("src is not null and dst is not null").repartition(buckets, "src"), "src", folder(spark, "links"))
+        fresh, depth, total = seeds.where("url is not null").groupBy("url").agg(F.lit(0).cast("long").alias("parent"), F.min("pos").alias("pos")), 0, 0
+        while True:
+            level = numbered(fresh, ["parent", "pos", "url"], start=total).select("url", F.lit(depth).alias("depth"), F.col("rank").cast("long").alias("rank"))
+            level = written(level if most is None else level.where(F.col("rank") < most), "level")
+            n = level.count()
+            if n or not depth:
+                add(found, level.repartition(buckets, "url"), "url", where)
+            total, depth = total + n, depth + 1
+            if not n or (most is not None and total >= most):
+                return spark.read.schema(level.schema).parquet(where)
+            named = spark.table(links).join(level.select(F.col("url").alias("src"), F.col("rank").alias("parent")), "src")
+            first = named.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("parent", "pos")).alias("first"))
+            fresh = first.join(spark.table(found).select("url"), "url", "left_anti").select("url", "first.*")
+    finally:
+        for name in (links, found):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")  # the names alone: files outside the warehouse stay
 
 
 def set_difference(sitemap: DataFrame, crawl: DataFrame) -> DataFrame:

@@ -656,52 +656,79 @@ def roadmap_order(spark, d):
 
 # ---- robots, links, crawl -------------------------------------------------------------------------------------------
 
-ROBOTS = {
-    "open": "User-agent: *\nDisallow:\n", "closed": "User-agent: *\nDisallow: /\n", "mixed": "# c\nUser-agent: GPTBot\nDisallow: /\n\nUser-agent: *\nDisallow: /private/\nAllow: /private/ok$\nSitemap: https://x.example/s.xml\n",
-    "groups": "User-agent: Googlebot\nUser-agent: Bingbot\nDisallow: /\nAllow: /open/*.html\nUser-agent: Yeti\nAllow: /\n", "none": "",
-}
-AGENTS = ("GPTBot", "Googlebot", "Yeti", "PerplexityBot")
-TARGETS = ("/", "/private/x", "/private/ok", "/private/ok2", "/open/a.html", "/open/a")
-_POLICY = {
-    "open": ["star-allow"] * 4, "closed": ["star-block"] * 4, "mixed": ["explicit-block", "star-partial", "star-partial", "star-partial"],
-    "groups": ["none", "explicit-partial", "explicit-allow", "none"], "none": ["none"] * 4,
-}
-_BARRED = {("closed", a, t) for a in AGENTS for t in TARGETS} | {("mixed", "GPTBot", t) for t in TARGETS} | {("mixed", a, t) for a in AGENTS[1:] for t in ("/private/x", "/private/ok2")} | {("groups", "Googlebot", t) for t in TARGETS if t != "/open/a.html"}
+AGENTS = ("GPTBot", "Yeti")
 
+_RULES = f"""p AS (SELECT page_id, {HOST} AS site, {PATH} AS path, {PATH}||CASE WHEN regexp_extract(url,'{PARTS}',4)<>'' THEN '?'||regexp_extract(url,'{PARTS}',4) ELSE '' END AS target FROM pages),
+ u AS (SELECT site, 'GPTBot' AS agent, path, false AS allow, page_id FROM p WHERE page_id%3=0 UNION ALL SELECT site, 'GPTBot', '/'||split_part(path,'/',2)||'/*.html$', true, page_id FROM p WHERE page_id%5=0
+ UNION ALL SELECT site, 'GPTBot', '/', false, page_id FROM p WHERE page_id%9=1 UNION ALL SELECT site, '*', left(path,5), false, page_id FROM p WHERE page_id%2=0 UNION ALL SELECT site, '*', '/*?page=', page_id%14=0, page_id FROM p WHERE page_id%7=0
+ UNION ALL SELECT site, '*', path||'$', true, page_id FROM p WHERE page_id%4=0),
+ a AS (SELECT site, ua FROM (SELECT DISTINCT site FROM p), (VALUES ('GPTBot'),('Yeti')) x(ua)),
+ k AS (SELECT site, ua, EXISTS (SELECT 1 FROM u WHERE u.site=a.site AND agent=ua) AS own, EXISTS (SELECT 1 FROM u WHERE u.site=a.site AND agent='*') AS any_star FROM a),
+ r AS (SELECT k.site, ua, own, any_star, path, allow, length(replace(replace(path,'$',''),'*','')) AS n, '^'||replace(replace(replace(path,'.','\\.'),'?','\\?'),'*','.*') AS pat FROM k LEFT JOIN u ON u.site=k.site AND u.agent=CASE WHEN own THEN ua ELSE '*' END)"""
 
-def _robots(spark):
-    return spark.createDataFrame(list(ROBOTS.items()), "site string, raw string")
 
+def _robots(spark, d):
+    return _robots_of(_pages(spark, d))
 
-def _asked(spark):
-    agents = spark.createDataFrame([(a,) for a in AGENTS], "ua string")
-    return _robots(spark).select("site").crossJoin(F.broadcast(agents))
 
+def _robots_of(pages):
+    """site, raw: a robots file of each host, its rules from the paths of the host's pages; some hosts have no group for some."""
+    k, path = F.col("page_id"), F.col("path")
+    rule = lambda test, agent, line: F.when(test, F.struct(F.lit(agent).alias("agent"), k.alias("page_id"), line.alias("line")))
+    wild = F.concat(F.lit("/"), F.element_at(F.split("path", "/"), 2), F.lit("/*.html$"))
+    pages = pages.select(U.host_of("url").alias("site"), k, U.part("url", 3).alias("path"))
+    lines = F.array_compact(F.array(
+        rule(k % 3 == 0, "GPTBot", F.concat(F.lit("Disallow: "), path)), rule(k % 5 == 0, "GPTBot", F.concat(F.lit("allow:"), wild)), rule(k % 9 == 1, "GPTBot", F.lit("Disallow: / # all")),
+        rule(k % 2 == 0, "*", F.concat(F.lit("Disallow:"), F.substring("path", 1, 5))), rule(k % 7 == 0, "*", F.concat(F.when(k % 14 == 0, "Allow").otherwise("Disallow"), F.lit(": /*?page="))),
+        rule(k % 4 == 0, "*", F.concat(F.lit("Allow: "), path, F.lit("$")))))
+    groups = pages.select("site", F.explode(lines).alias("l")).groupBy("site", "l.agent").agg(F.array_sort(F.collect_list(F.struct("l.page_id", "l.line"))).alias("l"))
+    text = F.concat(F.lit("User-agent: "), "agent", F.lit("\n"), F.array_join(F.col("l.line"), "\n"), F.lit("\n"))
+    raw = groups.groupBy("site").agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("raw"))
+    return pages.select("site").distinct().join(raw, "site", "left").select("site", F.coalesce("raw", F.lit("")).alias("raw"))
 
-@query("SELECT * FROM (VALUES " + ",".join(f"('{s}','{a}','{p}')" for s, row in _POLICY.items() for a, p in zip(AGENTS, row)) + ") AS t(site,ua,policy)")
+
+def _crawlers(spark, d):
+    return _pages(spark, d).select(U.host_of("url").alias("site")).distinct().select("site", F.explode(F.array(*map(F.lit, AGENTS))).alias("ua"))
+
+
+@query(f"""WITH {_RULES}, e AS (SELECT site, ua, own, any_star, coalesce(arg_max(allow, n*2+allow::INT) FILTER (regexp_matches('/', pat)), true) AS open, coalesce(bool_or(allow),false) AS any_allow, coalesce(bool_or(path<>'/'),false) AS other FROM r GROUP BY 1,2,3,4)
+ SELECT site, ua, CASE WHEN own THEN 'explicit-' WHEN any_star THEN 'star-' ELSE 'none' END||CASE WHEN NOT own AND NOT any_star THEN '' WHEN NOT open THEN CASE WHEN any_allow THEN 'partial' ELSE 'block' END WHEN other THEN 'partial' ELSE 'allow' END AS policy FROM e""")
 def robots_policy_matrix(spark, d):
-    return R.policies(R.rules_table(_robots(spark)), _asked(spark))
+    return R.policies(R.rules_table(_robots(spark, d)), _crawlers(spark, d))
 
 
-@query("SELECT * FROM (VALUES " + ",".join(f"('{s}','{a}','{t}',{str((s, a, t) not in _BARRED).lower()})" for s in ROBOTS for a in AGENTS for t in TARGETS) + ") AS t(site,ua,target,allowed)")
+@query(f"""WITH {_RULES} SELECT t.site, r.ua, t.target, coalesce(arg_max(allow, n*2+allow::INT) FILTER (regexp_matches(t.target, pat)), true) AS allowed
+ FROM (SELECT DISTINCT site, target FROM p) t JOIN r USING (site) GROUP BY 1,2,3""")
 def robots_allowed(spark, d):
-    targets = spark.createDataFrame([(t,) for t in TARGETS], "target string")
-    return R.allowed(R.rules_table(_robots(spark)), _asked(spark).crossJoin(F.broadcast(targets)))
+    """Every path of the pages against the rules of its host."""
+    targets = _pages(spark, d).select(U.host_of("url").alias("site"), U.target_of("url").alias("target")).distinct()
+    return R.allowed(R.rules_table(_robots(spark, d)), targets.join(_crawlers(spark, d), "site"))
 
 
-@query("SELECT trim(l) AS line FROM (SELECT unnest(string_split(raw, chr(10))) AS l FROM (VALUES ('User-agent: *\nDisallow: /a\nDisallow: /b\n')) t(raw)) WHERE trim(l)<>'' AND trim(l) NOT IN ('User-agent: *','Disallow: /b')".replace("\n", "'||chr(10)||'"))
+@query(f"""WITH {_RULES} SELECT DISTINCT site, CASE WHEN allow THEN 'Allow: ' ELSE 'Disallow: ' END||path AS line FROM u WHERE agent='*' AND page_id%6=0 EXCEPT SELECT site, CASE WHEN allow THEN 'Allow: ' ELSE 'Disallow: ' END||path FROM u WHERE agent='*' AND page_id%6<>0""")
 def robots_lost_lines(spark, d):
-    lines = lambda raw: spark.range(1).select(F.explode(F.split(F.lit(raw), "\n")).alias("l")).select(X.collapse("l").alias("line")).where("line <> ''")
-    return lines("User-agent: *\nDisallow: /a\nDisallow: /b\n").join(lines("User-agent: *\nDisallow: /b\n"), "line", "left_anti").distinct()
+    """Rules for every crawler that a draft without those of every sixth page would lose."""
+    rules_of = R.rules_table(_robots(spark, d)).where("agent = '*'").select("site", F.concat(F.when(F.col("allow"), "Allow: ").otherwise("Disallow: "), "path").alias("line")).distinct()
+    kept = R.rules_table(_robots_of(_pages(spark, d).where("page_id % 6 <> 0"))).where("agent = '*'").select("site", F.concat(F.when(F.col("allow"), "Allow: ").otherwise("Disallow: "), "path").alias("line"))
+    return rules_of.join(kept, ["site", "line"], "left_anti")
+
+
+_LINKS = f"""l AS (SELECT {NORM} AS url, page_id, h.pos, h.href FROM (SELECT url, page_id, unnest(list_transform(regexp_extract_all(html,'<a href="([^"]*)"',1), lambda x, i: {{'pos': i, 'href': x}})) AS h FROM pages)),
+ e AS (SELECT DISTINCT url AS src, href AS dst FROM l UNION SELECT href, arg_max(url, page_id) FROM l GROUP BY 1)"""
 
 
-_EDGES = "('a','b'),('a','c'),('b','d'),('c','d'),('d','a'),('d','e'),('f','g'),('e','e')"
+def _links(spark, d):
+    """src, dst, pos: from each page to what it names, and from a name to the last page that has it."""
+    l = _pages(spark, d).select(U.normalize("url").alias("src"), "page_id", F.posexplode(P.hrefs("html")).alias("pos", "dst"))
+    back = l.groupBy(F.col("dst").alias("src")).agg(F.max_by("src", "page_id").alias("dst")).withColumn("pos", F.lit(0))
+    return l.select("src", "dst", "pos").unionByName(back)
 
 
-@query(f"WITH RECURSIVE e AS (SELECT * FROM (VALUES {_EDGES}) t(src,dst)), r(url,depth) AS (SELECT 'a',0 UNION SELECT e.dst, r.depth+1 FROM r JOIN e ON r.url=e.src WHERE r.depth<6) SELECT url, min(depth) AS depth FROM r GROUP BY 1")
+@query(f"WITH RECURSIVE {_LINKS}, r(url,depth) AS (SELECT {NORM}, 0 FROM pages WHERE page_id=0 UNION SELECT e.dst, r.depth+1 FROM r JOIN e ON r.url=e.src WHERE r.depth<24) SELECT url, CAST(min(depth) AS INT) AS depth FROM r GROUP BY 1")
 def crawl_bfs_levels(spark, d):
-    edges = spark.sql(f"SELECT * FROM VALUES {_EDGES} AS t(src,dst)")
-    return P.reach(edges, spark.sql("SELECT 'a' AS url"))
+    """What can be reached from the first page, and in how many steps."""
+    seeds = _pages(spark, d).where("page_id = 0").select(U.normalize("url").alias("url"), F.lit(0).alias("pos"))
+    return P.reach(_links(spark, d), seeds).select("url", "depth")
 
 
 @query("SELECT ua, count(*) AS n FROM (VALUES ('GET / gptbot/1.0'),('GET /a GPTBot'),('x PerplexityBot y'),('none')) t(v), (VALUES ('GPTBot'),('PerplexityBot'),('Yeti')) u(ua) WHERE contains(lower(v), lower(ua)) GROUP BY 1")

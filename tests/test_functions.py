@@ -68,6 +68,14 @@ def test_allowed(spark, rules, path, want):
     assert R.allowed(R.rules_table(robots), asked).first()["allowed"] is want
 
 
+def test_rules_of_another_crawler_bind_nobody_else(spark):
+    robots = spark.createDataFrame([("s", "User-agent: GPTBot\nDisallow: /"), ("t", ""), ("v", "User-agent: *\nDisallow: *.pdf$\nAllow: /a*c\nDisallow: /a")], "site string, raw string")
+    asked = [("s", "GPTBot", "/x"), ("s", "Yeti", "/x"), ("t", "Yeti", ""), ("v", "Yeti", "/x.pdf"), ("v", "Yeti", "/x.pdf?"), ("v", "Yeti", "/abc"), ("v", "Yeti", "/abd"), ("v", "Yeti", "")]
+    rows = spark.createDataFrame([*asked, asked[0]], "site string, ua string, target string")
+    got = {(r.site, r.ua, r.target): r.allowed for r in R.allowed(R.rules_table(robots), rows).collect()}
+    assert got == dict(zip(asked, [False, True, True, False, True, True, False, True]))
+
+
 @pytest.mark.parametrize("header,ua,has,lacks", [
     ("noindex", "googlebot", {"noindex"}, set()), ("otherbot: noindex, nofollow", "googlebot", set(), {"noindex", "nofollow"}), ("googlebot: noindex\nnosnippet", "googlebot", {"noindex", "nosnippet"}, set()),
     ("otherbot: noindex\nmax-snippet : 0", "googlebot", {"max-snippet:0"}, {"noindex"}), ("none", "googlebot", {"noindex", "nofollow"}, set()), ("a-bot: noindex, googlebot: nosnippet", "googlebot", {"nosnippet"}, {"noindex"})])

@@ -274,3 +274,22 @@ def test_sitemap_parts_and_index(spark, tmp_path):
     assert html.sitemap_content((tmp_path / "s" / "sitemap_index.xml").read_text())["locs"] == [f"https://s.example/{n}" for n in names[1:]]
     assert html.sitemap_content((tmp_path / "s" / "sitemap-3.xml").read_text())["locs"] == ["https://s.example/4?a&b"]
     assert generate.sitemap_files(rows.limit(0), str(tmp_path / "none"), "https://s.example") == ["sitemap.xml"]
+
+
+@pytest.mark.parametrize("most", [None, 1, 7, 25])
+def test_reach_in_the_order_of_a_queue(spark, most):
+    import random
+
+    rng = random.Random(3)
+    links = {f"n{k}": [f"n{rng.randrange(60)}" for _ in range(rng.choice([0, 1, 2, 4]))] for k in range(60)}
+    seeds = ["n5", "n1"]
+    queue, depth = list(seeds), dict.fromkeys(seeds, 0)
+    for page in queue:
+        for link in links[page]:
+            if link not in depth:
+                depth[link] = depth[page] + 1
+                queue.append(link)
+    edges = spark.createDataFrame([(s, d, k) for s, named in links.items() for k, d in enumerate(named)], "src string, dst string, pos int")
+    got = P.reach(edges, spark.createDataFrame(list(zip(seeds, range(2))), "url string, pos int"), most).orderBy("rank").collect()
+    assert [(r.url, r.depth, r["rank"]) for r in got] == [(u, depth[u], k) for k, u in enumerate(queue[:most])]
+    assert not P.reach(edges, spark.createDataFrame([], "url string, pos int")).count() and not [t for t in spark.catalog.listTables() if t.name.startswith(("links_", "found_"))]
