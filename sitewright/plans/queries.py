@@ -17,7 +17,7 @@ from ..operators import messages as N
 from ..operators import pages as P
 from ..operators import rules
 from ..operators import verify as V
-from ..sources import html, scratch, sinks, tables
+from ..sources import html, scratch, sinks, snapshots, tables
 from ..sources import standins as S
 from . import generate as G
 
@@ -892,13 +892,21 @@ def meta_files(spark, d):
 
 @query("SELECT ['audit','measure','verify'][user_id%3+1] AS kind, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) + CASE WHEN user_id%3=1 THEN 1000 ELSE 0 END AS n FROM events GROUP BY 1,2,user_id%3")
 def snapshot_store(spark, d):
-    """Snapshots by kind and date; those of one kind are replaced by force, the others stay."""
+    """Snapshots by kind and date; those of one kind are replaced by force, what may not be stored changes nothing."""
     kind = F.get(F.array(*map(F.lit, C.SNAPSHOT_KINDS)), (F.col("user_id") % 3).cast("int"))
     rows = S.table(spark, d, "events").groupBy(kind.alias("kind"), F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("n"))
+    rows = rows.select("kind", "date", F.lit("s.example").alias("host"), F.concat(F.lit("x/"), "kind", F.lit("/1")).alias("schema"), "n")
     path = scratch.folder(spark, "snapshots")
-    sinks.write_snapshot(rows, path)
-    sinks.write_snapshot(rows.where("kind = 'measure'").withColumn("n", F.col("n") + 1000), path, force=True)
-    return spark.read.parquet(path).select("kind", F.col("date").cast("string").alias("date"), "n")
+    snapshots.write(rows, path, "s.example")
+    more = rows.withColumn("n", F.col("n") + 1000)
+    for wrong in (more, more.withColumn("host", F.lit("t.example"))):  # exists already; another site's
+        try:
+            snapshots.write(wrong, path, "s.example", force=wrong is not more)
+        except (FileExistsError, ValueError):
+            continue
+        raise AssertionError("stored what it must not")
+    snapshots.write(more.where("kind = 'measure'"), path, "s.example", force=True)
+    return snapshots.read(spark, path, rows.schema).join(snapshots.damaged(spark, path, rows.schema), ["kind", "date"], "left_anti").select("kind", "date", "n")
 
 
 @query("""SELECT event_id, CASE WHEN event_type='error' THEN '' WHEN event_id%2=0 THEN 'https://a.example/'||(event_id%5)||' https://b.example/' ELSE 'https://c.example/'||user_id END AS cited_urls,

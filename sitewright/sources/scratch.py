@@ -89,3 +89,21 @@ def write_text(spark: SparkSession, where: str, text: str) -> None:
     finally:
         stream.close()
     rename(spark, f"{where}.next", where)
+
+
+def write_new(spark: SparkSession, where: str, text: str) -> None:
+    """A small file, written aside and then named; FileExistsError if the name is taken by then."""
+    aside = f"{where}.{uuid.uuid4().hex}"
+    write_text(spark, aside, text)
+    fs, path = _at(spark, where)
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf())
+    rename_of = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename_of, 1)
+    options[0] = rename_of.NONE
+    try:
+        context.rename(fs.makeQualified(_at(spark, aside)[1]), fs.makeQualified(path), options)
+    except Exception as e:
+        remove(spark, aside)
+        if fs.exists(path):
+            raise FileExistsError(where) from e
+        raise

@@ -79,24 +79,6 @@ def write_sitemaps(chunks: DataFrame, path: str, namespace: str, base: str | Non
     return files
 
 
-def write_snapshot(rows: DataFrame, path: str, force: bool = False) -> None:
-    """Rows with kind and date; a snapshot that exists stops the write unless force replaces just its partition."""
-    from pyspark.sql import functions as F
-
-    if not force:
-        spark = rows.sparkSession
-        try:
-            old = spark.read.parquet(path).select("kind", F.col("date").cast("string").alias("date")).distinct()
-        except Exception as e:  # the first snapshot of a host
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        else:
-            clash = rows.select("kind", "date").distinct().join(old, ["kind", "date"], "left_semi").limit(1).collect()
-            if clash:
-                raise FileExistsError(f"snapshot {clash[0]['kind']} {clash[0]['date']} exists")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "date").parquet(path)
-
-
 def category(name: str) -> str:
     """What made a file: all sitemap files are one kind, both meta drafts another, else the first part of the name decides."""
     if name.startswith("sitemap") and name.endswith(".xml"):

@@ -203,15 +203,6 @@ def test_documents(spark, analysed, tmp_path):
     assert sinks.collect_garbage(["jsonld/old.json", "../evil"], [], {"jsonld"}, tmp_path) == ["jsonld/old.json"]
 
 
-def test_snapshots(spark, tmp_path):
-    rows = spark.createDataFrame([("audit", "2026-01-01", "a")], "kind string, date string, file string")
-    sinks.write_snapshot(rows, str(tmp_path / "s"))
-    with pytest.raises(FileExistsError):
-        sinks.write_snapshot(rows, str(tmp_path / "s"))
-    sinks.write_snapshot(rows.withColumn("file", F.lit("b")), str(tmp_path / "s"), force=True)
-    assert [r["file"] for r in spark.read.parquet(str(tmp_path / "s")).collect()] == ["b"]
-
-
 def test_comparable(spark):
     shape = "cohorts array<string>, fingerprint string, errors int, unmeasured int, incompatible_rows int, regression_eligible boolean, cumulative boolean"
     good = spark.createDataFrame([(["c"], "f", 0, 0, 0, True, False)], shape)
