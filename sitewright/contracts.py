@@ -15,17 +15,16 @@ login_state string, search_enabled boolean, campaign_id string, query_fingerprin
 outcome string, error string, cited boolean, cited_urls array<string>, brand_mentioned boolean, competitor_domains array<string>,
 note string, recorded_at string"""
 
-FORM_COLUMNS = (
-    "date query_id query_text type engine run_no surface locale login_state search_enabled campaign_id cited cited_urls "
-    "brand_mentioned competitor_domains note"
-).split()
-
 QUERY = "id string, text string, type string, note string, fingerprint string"
 FINDING = "lane string, severity string, code string, count bigint, urls array<string>, data map<string,string>"
 CHECK = "id string, status string, evidence map<string,string>"
 SNAPSHOT = "kind string, date string, file string, sha256 string, label string"
 
 # What the audited data model names.
+FORM_COLUMNS = (
+    "date", "query_id", "query_text", "type", "engine", "run_no", "surface", "locale", "login_state", "search_enabled",
+    "campaign_id", "cited", "cited_urls", "brand_mentioned", "competitor_domains", "note",
+)
 ENGINES = ("chatgpt", "google_aio", "gemini", "claude", "perplexity", "naver_ai", "daum", "copilot", "other")
 DEFAULT_ENGINES, AUTOMATABLE = ENGINES[:2], ("chatgpt", "claude")
 QUERY_TYPES = ("brand", "nonbrand")
@@ -48,9 +47,10 @@ TITLE_SEPARATORS = ("|", "—", "–", "-", "·", ":")
 YES = ("y", "yes", "true", "1", "o", "예", "네", "인용", "있음")
 NO = ("n", "no", "false", "0", "x", "아니오", "아니요", "없음")
 ASSET_SUFFIXES = (
-    "jpg jpeg png gif webp avif svg ico bmp css js mjs map json xml txt pdf zip mp4 webm mp3 wav "
-    "woff woff2 ttf otf eot rss atom csv doc docx xls xlsx ppt pptx"
-).split()
+    "jpg", "jpeg", "png", "gif", "webp", "avif", "svg", "ico", "bmp", "css", "js", "mjs", "map", "json", "xml", "txt",
+    "pdf", "zip", "mp4", "webm", "mp3", "wav", "woff", "woff2", "ttf", "otf", "eot", "rss", "atom", "csv", "doc",
+    "docx", "xls", "xlsx", "ppt", "pptx",
+)
 METRIC_RULES = {"noindex": "up_bad", "jsonld_pages": "down_bad", "dup_titles": "up_bad", "sitemap_urls": "shrink20", "pages": "info"}
 REMEASURE_DAYS, STALE_DAYS, MIN_RUNS, MIN_DELTA = 14, 30, 5, 0.10
 SITEMAP_URLS, SITEMAP_BYTES = 45_000, 45 * 1024 * 1024
@@ -59,8 +59,8 @@ TODO = "<<TODO"
 # Order in which findings are worked off; True: needs access to the server.
 ROADMAP = (
     ("CRAWL_INCOMPLETE", 0, True), ("NOINDEX", 1, True), ("SNIPPET_RESTRICTED", 1, True), ("NAVER_CRAWLER_BLOCKED", 2, True),
-    ("AI_CRAWLER_BLOCKED", 3, True), ("THIN_TEXT", 4, True), ("SITEMAP_MISSING", 5, True), ("ROBOTS_MISSING", 6, True),
-    ("SITEMAP_NOT_DECLARED", 6, True), ("SITEMAP_CRAWL_MISMATCH", 7, True), ("HTTP_ERROR", 8, False), ("SOFT_404", 9, True),
+    ("AI_CRAWLER_BLOCKED", 3, True), ("THIN_TEXT", 4, True), ("SITEMAP_MISSING", 5, True), ("SITEMAP_NOT_DECLARED", 6, True),
+    ("ROBOTS_MISSING", 6, True), ("SITEMAP_CRAWL_MISMATCH", 7, True), ("HTTP_ERROR", 8, False), ("SOFT_404", 9, True),
     ("ALT_HOST_UNREACHABLE", 10, True), ("REDIRECT_HOPS", 11, True), ("TITLE_MISSING", 12, False), ("TITLE_DUPLICATE", 13, False),
     ("DESC_MISSING", 14, False), ("DESC_DUPLICATE", 15, False), ("TITLE_TOO_LONG", 16, False), ("TITLE_TOO_SHORT", 16, False),
     ("DESC_TOO_LONG", 17, False), ("DESC_TOO_SHORT", 17, False), ("H1_MISSING", 18, False), ("H1_MULTIPLE", 19, False),
