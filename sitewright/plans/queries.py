@@ -841,6 +841,16 @@ def engine_picks(spark, d):
 
 # ---- what is written is read again; inputs are judged -------------------------------------------------------------------
 
+@query(f"""WITH {_LOG}, o AS (SELECT *, row_number() OVER (PARTITION BY date,query_id,engine,run_no,locale,coalesce(CAST(search_enabled AS VARCHAR),'') ORDER BY event_id%3 DESC, event_id) AS rn FROM raw)
+ SELECT CAST(event_id AS VARCHAR) AS note, date, query_id, engine, run_no, locale, outcome FROM o WHERE rn=1""")
+def log_append_order(spark, d):
+    """A log of many files, in no order of time: of the rows of a key the one in the last line of the last file counts."""
+    key, path = F.col("event_id"), scratch.folder(spark, "log")
+    rows = S.log(spark, d).withColumn("note", key.cast("string")).orderBy(key % 3, key.desc())  # one file a range, names in order
+    sinks.append_log(rows.select(*spark.createDataFrame([], C.LOG).columns), path)
+    return M.last_wins(tables.read_log(spark, path), "file", "line").select("note", "date", "query_id", "engine", "run_no", "locale", "outcome")
+
+
 @query(f"""WITH {_LOG} SELECT date, query_id, engine, outcome, count(*) AS n, CAST(sum(CASE WHEN event_id%5<>3 THEN len(cited_urls) ELSE 0 END) AS BIGINT) AS urls FROM raw WHERE event_id%5<>4 AND event_id%7<>0 GROUP BY 1,2,3,4""")
 def log_round_trip(spark, d):
     """The log appended in two parts and read again; rows of an unknown version or engine, and broken lines, are left out."""

@@ -8,9 +8,16 @@ from .. import contracts as C
 from ..functions import text as X
 
 
+def line_place():
+    """Where a line stands in its file: the split's first byte, then the place in the split.  A split is read by one task from its
+    start, so this is the order of the file however splits are cut, or packed into tasks; compared, never counted."""
+    return F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSON-lines log with their place (file, offset order); what is no valid row is left out."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    """Rows of a JSON-lines log with file and line (`line_place`): later is a greater (file, line), files by name; what is no valid
+    row is left out."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), line_place().alias("line"))
     return valid_rows(lines.select("file", "line", F.from_json("value", C.LOG).alias("r")).select("file", "line", "r.*"))
 
 
@@ -38,10 +45,10 @@ def read_query_set(spark: SparkSession, path: str) -> DataFrame:
 def read_form(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Filled forms, all columns as text, with the file; a byte-order mark before the first name is removed."""
     raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(paths)
-    raw = raw.withColumn("file", F.col("_metadata.file_path"))
+    raw = raw.withColumns({"file": F.col("_metadata.file_path"), "line": line_place()})
     raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
     have = set(raw.columns)
-    return raw.select("file", F.monotonically_increasing_id().alias("line"), *[(F.col(c) if c in have else F.lit(None).cast("string")).alias(c) for c in C.FORM_COLUMNS])
+    return raw.select("file", "line", *[(F.col(c) if c in have else F.lit(None).cast("string")).alias(c) for c in C.FORM_COLUMNS])
 
 
 def read_documents(spark: SparkSession, path: str, family: str) -> DataFrame:

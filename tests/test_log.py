@@ -65,3 +65,27 @@ def test_daily_counts(spark, tmp_path):
     query.awaitTermination()
     row = spark.table("daily").first()
     assert (row["attempts"], row["runs"], row["cited"]) == (2, 2, 1)
+
+
+def test_last_line_wins_however_splits_are_cut(spark, tmp_path):
+    import random
+
+    rng, last = random.Random(5), {}
+    (tmp_path / "l").mkdir()
+    for file in range(3):
+        with open(tmp_path / "l" / f"log-{file}.jsonl", "w") as out:
+            for k in range(200):
+                row = {"schema": "sitewright/measure-row/2", "date": "2026-01-01", "query_id": f"q{rng.randrange(40)}", "engine": "gemini", "run_no": 1, "outcome": "observed", "note": f"{file}:{k}" + "x" * rng.randrange(90)}
+                last[row["query_id"]] = row["note"]
+                out.write(json.dumps(row) + "\n")
+    options = {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    try:
+        for name, value in options.items():
+            spark.conf.set(name, value)
+        log = tables.read_log(spark, str(tmp_path / "l"))
+        assert log.select("file", "line.block").distinct().count() > 20
+        got = M.last_wins(log, "file", "line").collect()
+    finally:
+        for name in options:
+            spark.conf.unset(name)
+    assert {r.query_id: r.note for r in got} == last
