@@ -284,3 +284,16 @@ def test_reach_in_the_order_of_a_queue(spark, most):
     got = P.reach(edges, spark.createDataFrame(list(zip(seeds, range(2))), "url string, pos int"), most).orderBy("rank").collect()
     assert [(r.url, r.depth, r["rank"]) for r in got] == [(u, depth[u], k) for k, u in enumerate(queue[:most])]
     assert not P.reach(edges, spark.createDataFrame([], "url string, pos int")).count() and not [t for t in spark.catalog.listTables() if t.name.startswith(("links_", "found_"))]
+
+
+def test_sitemap_entries_under_their_own_file(spark, tmp_path):
+    """Several files to a task: what Python parses keeps the name of its file."""
+    from sitewright.plans import queries as Q
+
+    urls = [f"https://s.example/{k:03d}" for k in range(330)]
+    spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.file, r.kind, r.url) for r in Q.sitemap_files(spark, str(tmp_path)).collect())
+    chunks = greedy([len(u) + 40 for u in urls], 40, 3000)
+    want = [(f"sitemap-{c + 1}.xml", "urlset", u) for c, u in zip(chunks, urls)]
+    want += [("sitemap_index.xml", "sitemapindex", f"https://s.example/a&b/sitemap-{c + 1}.xml") for c in sorted(set(chunks))]
+    assert chunks[-1] > 7 and got == sorted(want)
