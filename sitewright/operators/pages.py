@@ -220,8 +220,9 @@ def section_histogram(pages: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def breadcrumbs(pages: DataFrame) -> DataFrame:
-    """url, depth, item, name: the prefixes of a page's path, named by the page there (h1, else title), else by the segment."""
-    rows = pages.select("url", F.concat(U.scheme_of("url"), F.lit("://"), U.host_of("url")).alias("root"), F.filter(F.split(U.part("url", 3), "/"), lambda s: s != "").alias("segments"))
+    """url, depth, item, name: the prefixes of a page's path, named by the page there (h1, else title), else by the segment.  A URL
+    has its steps once, however many rows are of it."""
+    rows = pages.select("url").distinct().select("url", F.concat(U.scheme_of("url"), F.lit("://"), U.host_of("url")).alias("root"), F.filter(F.split(U.part("url", 3), "/"), lambda s: s != "").alias("segments"))
     steps = rows.select("url", "root", "segments", F.explode(F.sequence(F.lit(0), F.size("segments"))).alias("depth"))
     path = F.concat(F.col("root"), F.lit("/"), F.array_join(F.slice("segments", 1, F.col("depth")), "/"))
     steps = steps.select("url", "depth", path.alias("item"), F.when(F.col("depth") > 0, U.segment_label(F.get("segments", F.col("depth") - 1))).otherwise("").alias("segment"))

@@ -297,3 +297,17 @@ def test_sitemap_entries_under_their_own_file(spark, tmp_path):
     want = [(f"sitemap-{c + 1}.xml", "urlset", u) for c, u in zip(chunks, urls)]
     want += [("sitemap_index.xml", "sitemapindex", f"https://s.example/a&b/sitemap-{c + 1}.xml") for c in sorted(set(chunks))]
     assert chunks[-1] > 7 and got == sorted(want)
+
+
+def test_breadcrumbs_of_a_repeated_url(spark, tmp_path):
+    """Rows of one URL: its steps once, in the query for each row, and once in its file."""
+    from sitewright.plans import queries as Q
+
+    home, deep = "https://s.example/", "https://s.example/a/b"
+    html_of = "<title>{}</title>".format
+    spark.createDataFrame([(k, u, html_of("t")) for k, u in enumerate([home, deep, deep, deep, home, None])], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.depth) for r in Q.breadcrumb_depths(spark, str(tmp_path)).collect())
+    assert got == [(0, 0), (1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (3, 0), (3, 1), (3, 2), (4, 0)]
+    pages = spark.createDataFrame([(u, [], t) for u, t in ((home, "Home"), (deep, "Deep"), (deep, "Deep"))], "url string, h1 array<string>, title string")
+    files = generate.breadcrumb_files(pages).collect()
+    assert [[(i["position"], i["name"]) for i in json.loads(r.body)["itemListElement"]] for r in files] == [[(1, "Home"), (2, "a"), (3, "Deep")]]
