@@ -71,6 +71,18 @@ def test_filter_audit_like_brute_force(spark):
     assert got == slow_audit(rows, [(d, q, None if t is None else int(t)) for d, q, t in labels])
 
 
+def test_filter_audit_keeps_what_no_filter_so_far_fails(spark):
+    rows = audit_rows(2)
+    found = filter_audit.filter_audit(rows_frame(spark, rows), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    assert len(found) == 600 * len({lang or "" for _, _, lang, _ in rows})
+    own = defaultdict(list)
+    for doc_id, text, lang, _ in rows:
+        again = doc_id is not None and any(d is not None and d < doc_id and (t or "") == (text or "") for d, t, _, _ in rows)
+        own[lang or ""].append(dict(zip("ABCDE", [*fails(text or ""), again])))
+    for r in found:
+        assert r.kept == sum(not any(doc[f] for f in r.filter_order[: r.step]) for doc in own[r.part])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(0, 15), st.tuples(*[st.integers(0, 9)] * 3), min_size=1))
 def test_diagram_keeps_counts_through_swaps(counts):
